@@ -57,13 +57,13 @@ def fix_time(time: Column) -> Column:
 def to_iso(slashed: Column) -> Column:
     """DD/MM/YYYY -> YYYY-MM-DD, without a calendar check."""
     p = F.split(slashed, "/")
-    return F.concat_ws("-", F.get(p, F.lit(2)), F.get(p, F.lit(1)), F.get(p, F.lit(0)))
+    return F.concat(F.get(p, F.lit(2)), F.lit("-"), F.get(p, F.lit(1)), F.lit("-"), F.get(p, F.lit(0)))
 
 
 def to_slashed(iso: Column) -> Column:
     """YYYY-MM-DD -> DD/MM/YYYY."""
     p = F.split(iso, "-")
-    return F.concat_ws("/", F.get(p, F.lit(2)), F.get(p, F.lit(1)), F.get(p, F.lit(0)))
+    return F.concat(F.get(p, F.lit(2)), F.lit("/"), F.get(p, F.lit(1)), F.lit("/"), F.get(p, F.lit(0)))
 
 
 def local_arrival(received_at: Column) -> Column:
@@ -79,18 +79,16 @@ def arrival_time(received_at: Column) -> Column:
     return F.date_format(local_arrival(received_at), "HH:mm")
 
 
-def choose_date(date: Column, received_at: Column) -> Column:
-    """The stated date where one holds up, else the arrival date; NULL off the calendar."""
-    fixed = fix_date(date)
+def choose_date(fixed: Column, received_at: Column) -> Column:
+    """The fixed stated date where there is one, else the arrival date; NULL off the calendar."""
     return F.when(fixed.isNotNull(), F.try_to_date(fixed, "dd/MM/yyyy")).otherwise(
         arrival_date(received_at)
     )
 
 
-def choose_time(date: Column, time: Column, received_at: Column) -> Column:
+def choose_time(fixed_date: Column, fixed_time: Column, received_at: Column) -> Column:
     """A stated time counts only beside a stated date."""
-    fixed = F.when(fix_date(date).isNotNull(), fix_time(time))
-    return F.coalesce(fixed, arrival_time(received_at))
+    return F.coalesce(F.when(fixed_date.isNotNull(), fixed_time), arrival_time(received_at))
 
 
 def usage_month(ts: Column) -> Column:

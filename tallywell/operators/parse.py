@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywell.functions import eventtime, parse, transfer
 from tallywell.functions.text import fold, wide_trim
+from tallywell.plans.once import once
 from tallywell.schemas import PARSED_EXPENSE
 
 MONEY = "decimal(15,2)"
@@ -29,41 +30,39 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         **parse.time_captures(folded),
     }
     helpers += list(captures)
-    # One projection per step: each result is computed once and read by the next step.
-    return (
-        messages.withColumns(
-            {"_folded": fold(text), "_today": eventtime.arrival_date(F.col("received_at"))}
-        )
-        .withColumns({**captures, "parsed_source": parse.source(text)})
-        .withColumns(
-            {
-                "skip_reason": parse.skip_reason(folded),
-                "original_date": parse.original_date(folded, today),
-                "original_time": parse.original_time(folded),
-                "phone": transfer.phone(text),
-                "origin_account": transfer.origin_account(text),
-                "is_transfer": transfer.is_transfer(text),
-                "bank": parse.bank(folded, source),
-                "payment_type": parse.payment_type(folded, source),
-                "last_four": parse.last_four(text),
-                "account_type": parse.account_type(folded),
-            }
-        )
-        .withColumns(
-            {
-                "is_transaction": is_transaction,
-                "amount": F.when(is_transaction, parse.amount(folded)).otherwise(F.lit(0).cast(MONEY)),
-                "description": F.when(
-                    is_transaction, parse.description(text, source, F.col("phone"))
-                ).otherwise(""),
-                "confidence": parse.confidence(
-                    folded, source, F.col("skip_reason"), F.col("original_date")
-                ),
-            }
-        )
-        .withColumn("category", parse.category(fold(F.col("description"))))
-        .drop(*helpers)
+    # One step per layer: each result is computed once and read by the next layer.
+    base = messages.withColumns(
+        {"_folded": fold(text), "_today": eventtime.arrival_date(F.col("received_at"))}
+    ).withColumns({**captures, "parsed_source": parse.source(text)})
+    fields = once(
+        base,
+        {
+            "skip_reason": parse.skip_reason(folded),
+            "original_date": parse.original_date(folded, today),
+            "original_time": parse.original_time(folded),
+            "phone": transfer.phone(text),
+            "origin_account": transfer.origin_account(text),
+            "is_transfer": transfer.is_transfer(text),
+            "bank": parse.bank(folded, source),
+            "payment_type": parse.payment_type(folded, source),
+            "last_four": parse.last_four(text),
+            "account_type": parse.account_type(folded),
+        },
     )
+    described = once(
+        fields,
+        {
+            "is_transaction": is_transaction,
+            "amount": F.when(is_transaction, parse.amount(folded)).otherwise(F.lit(0).cast(MONEY)),
+            "description": F.when(
+                is_transaction, parse.description(text, source, F.col("phone"))
+            ).otherwise(""),
+            "confidence": parse.confidence(
+                folded, source, F.col("skip_reason"), F.col("original_date")
+            ),
+        },
+    ).drop(*helpers)
+    return once(described, {"category": parse.category(fold(F.col("description")))})
 
 
 def transactions_only(parsed: DataFrame) -> DataFrame:
@@ -119,13 +118,19 @@ def validate_parsed(parsed: DataFrame) -> DataFrame:
 
 def with_event_time(parsed: DataFrame) -> DataFrame:
     """Add ledger ``date`` and ``time``; ``date`` is NULL where the stated day does not exist."""
-    date, time, arrival = F.col("original_date"), F.col("original_time"), F.col("received_at")
-    return parsed.withColumns(
+    fixed = once(
+        parsed,
         {
-            "date": eventtime.choose_date(date, arrival),
-            "time": eventtime.choose_time(date, time, arrival),
-        }
+            "_date": eventtime.fix_date(F.col("original_date")),
+            "_time": eventtime.fix_time(F.col("original_time")),
+        },
     )
+    date, time, arrival = F.col("_date"), F.col("_time"), F.col("received_at")
+    chosen = {
+        "date": eventtime.choose_date(date, arrival),
+        "time": eventtime.choose_time(date, time, arrival),
+    }
+    return once(fixed, chosen).drop("_date", "_time")
 
 
 def with_preview_time(parsed: DataFrame) -> DataFrame:

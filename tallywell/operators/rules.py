@@ -72,7 +72,7 @@ def conditions_hold(
     low, high = F.get(part("amount_between"), F.lit(0)), F.get(part("amount_between"), F.lit(1))
     outside = F.coalesce(amount < low, F.lit(False)) | F.coalesce(amount > high, F.lit(False))
     pattern = part("description_regex")
-    fits_pattern = F.coalesce(description, F.lit("")).rlike(F.concat(F.lit("(?i)"), pattern))
+    fits_pattern = F.rlike(F.coalesce(description, F.lit("")), F.concat(F.lit("(?i)"), pattern))
     from_account = part("from_account")
     return (
         _keywords_hold(part("description_contains"), description, rule.getField("logic"))

@@ -304,15 +304,15 @@ FROM (SELECT user_id, import_id, count(*) AS n FROM import_row GROUP BY ALL) w L
 # -- statements --------------------------------------------------------------------------
 STATEMENT_SLUG = 'CASE "Category" ' + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in fv.STATEMENT_CATEGORIES.items()) + " ELSE 'other' END"
 IMPORTED = f"""
-filled AS (SELECT *, CAST(coalesce(try_strptime("Date", '%Y-%m-%d'), try_strptime("Date", '%-m/%-d/%Y')) AS DATE) AS date,
-    abs(TRY_CAST(nullif(regexp_extract("Amount", '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DECIMAL(15,2))) AS amount,
+filled AS (SELECT *, CAST(coalesce(try_strptime("Date", '%Y-%m-%d'), try_strptime("Date", '%-m/%-d/%Y')) AS DATE) AS d,
+    abs(TRY_CAST(nullif(regexp_extract("Amount", '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DECIMAL(15,2))) AS amt,
     coalesce(nullif("Note", ''), "Category", '') || coalesce(' (' || "Labels" || ')', '') AS words, {STATEMENT_SLUG} AS slug,
     CASE WHEN contains(lower("Account"), 'bancolombia') THEN 'bancolombia' WHEN contains(lower("Account"), 'nequi') THEN 'nequi'
       WHEN contains(lower("Account"), 'cash') OR contains(lower("Account"), 'efectivo') THEN 'cash' ELSE 'bancolombia' END AS bank FROM import_row),
 usual AS (SELECT user_id, institution, min_by(account_id, (name, account_id)) AS account_id FROM live_account GROUP BY ALL),
-imported AS (SELECT import_id, row_id, date, amount, upper(words[1]) || lower(words[2:]) AS description, f.slug AS category, o.category_id, u.account_id,
-    concat_ws('; ', CASE WHEN date IS NULL THEN 'invalid date' END, CASE WHEN amount IS NULL THEN 'invalid amount' END,
-      CASE WHEN amount <= 0 THEN 'amount not positive' END, CASE WHEN u.account_id IS NULL THEN 'no account' END) AS reasons
+imported AS (SELECT import_id, row_id, d AS date, amt AS amount, upper(words[1]) || lower(words[2:]) AS description, f.slug AS category, o.category_id, u.account_id,
+    concat_ws('; ', CASE WHEN d IS NULL THEN 'invalid date' END, CASE WHEN amt IS NULL THEN 'invalid amount' END,
+      CASE WHEN amt <= 0 THEN 'amount not positive' END, CASE WHEN u.account_id IS NULL THEN 'no account' END) AS reasons
   FROM filled f LEFT JOIN usual u ON u.user_id = f.user_id AND u.institution = f.bank LEFT JOIN owned_category o ON o.user_id = f.user_id AND o.slug = f.slug)"""
 oracle("csv_import", IMPORT, ACCOUNT, LIVE_ACCOUNT, OWNED_CATEGORY, IMPORTED, select="SELECT row_id, date, amount, description, category, category_id, account_id, reasons FROM imported")
 oracle("import_audit", IMPORT, ACCOUNT, LIVE_ACCOUNT, OWNED_CATEGORY, IMPORTED, """

@@ -91,6 +91,7 @@ def conditions_hold(
     )
 
 
+FOLDED = ["type", "category_id", "account_id", "transfer_to_account_id", "transfer_id", "notes"]
 RULE_FIELDS = ["rule_id", "name", "priority", "transfer_to_account_id", "actions",
                "cond", "act", "has_amount_equals", "has_set_category", "logic"]
 
@@ -144,13 +145,10 @@ def apply_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
         if "applied_rules" in transactions.columns
         else F.lit(None).cast(APPLIED_RULES)
     )
+    # a rule may clear a field, so the accumulator's fields must be nullable even where the
+    # incoming column is not; no text holds a NUL
     start = F.struct(
-        F.col("type").cast("string").alias("type"),
-        F.col("category_id").cast("string").alias("category_id"),
-        F.col("account_id").cast("string").alias("account_id"),
-        F.col("transfer_to_account_id").cast("string").alias("transfer_to_account_id"),
-        F.col("transfer_id").cast("string").alias("transfer_id"),
-        F.col("notes").cast("string").alias("notes"),
+        *[F.nullif(F.col(f).cast("string"), F.lit("\0")).alias(f) for f in FOLDED],
         F.array().cast(APPLIED_RULES).alias("applied"),
     )
 
@@ -199,11 +197,10 @@ def apply_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     def final(name: str) -> Column:
         return F.when(F.col("_done").isNull(), F.col(name)).otherwise(F.col("_done")[name]).alias(name)
 
-    changed = {"type", "category_id", "account_id", "transfer_to_account_id", "transfer_id", "notes"}
     fired = F.col("_done")["applied"]
     applied = F.when(earlier.isNotNull(), earlier).when(F.size(fired) > 0, fired)
     return folded.select(
-        *[final(c) if c in changed else F.col(c) for c in carried], applied.alias("applied_rules")
+        *[final(c) if c in FOLDED else F.col(c) for c in carried], applied.alias("applied_rules")
     )
 
 

@@ -87,26 +87,31 @@ FROM cascaded c LEFT JOIN owned_category o ON o.user_id = c.user_id AND o.slug =
 # -- transfers ---------------------------------------------------------------------------
 oracle("transfer_extract", SHAPE, READ, select=f"""
 SELECT message_id, {PHONE} AS phone, {ORIGIN} AS origin_account, {has('lower(text)', fv.TRANSFER_KEYWORDS)} AS is_transfer FROM readable""")
-LEGS = f"""
+def legs(source: str, account: str, category: str, notes: str, more: str = "") -> str:
+    """``legs``: the rows of ``source`` as ledger legs; ``more`` names columns to carry along."""
+    return f"""
 phone_rule AS (SELECT * FROM live_rule WHERE match_phone IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY user_id, match_phone ORDER BY priority DESC, rule_id) = 1),
-base AS (SELECT p.*, CASE WHEN p.message_id % 3 = 0 THEN 'nota' END AS notes, r.rule_id, r.name AS rule_name, r.transfer_to_account_id AS target,
+base AS (SELECT p.*, {notes} AS notes, r.rule_id, r.name AS rule_name, r.transfer_to_account_id AS target,
     m.category_id AS missing, coalesce(t.category_id, m.category_id) AS pair_category
-  FROM parsed p LEFT JOIN phone_rule r ON r.user_id = p.user_id AND r.match_phone = p.phone
+  FROM {source} p LEFT JOIN phone_rule r ON r.user_id = p.user_id AND r.match_phone = p.phone
   LEFT JOIN owned_category m ON m.user_id = p.user_id AND m.slug = 'missing'
   LEFT JOIN owned_category t ON t.user_id = p.user_id AND t.slug = 'transfer' WHERE p.is_transaction),
 legs AS (
-  SELECT message_id, CAST(0 AS BIGINT) AS leg, 'expense' AS type, category AS category_id, bank AS account_id, NULL AS transfer_to_account_id, NULL AS transfer_id,
-    description, notes, amount FROM base WHERE NOT (is_transfer OR category = 'transfer')
-  UNION ALL SELECT message_id, 0, 'expense', missing, bank, NULL, NULL, description, concat_ws(chr(10), notes, 'Transfer - no matching phone found'), amount
+  SELECT message_id, CAST(0 AS BIGINT) AS leg, 'expense' AS type, {category} AS category_id, {account} AS account_id, NULL AS transfer_to_account_id, NULL AS transfer_id,
+    description, notes, amount{more} FROM base WHERE NOT (is_transfer OR category = 'transfer')
+  UNION ALL SELECT message_id, 0, 'expense', missing, {account}, NULL, NULL, description, concat_ws(chr(10), notes, 'Transfer - no matching phone found'), amount{more}
     FROM base WHERE (is_transfer OR category = 'transfer') AND phone IS NULL
-  UNION ALL SELECT message_id, 0, 'expense', missing, bank, NULL, NULL, description, concat_ws(chr(10), notes, 'Transfer to ' || phone || ' - no matching rule'), amount
+  UNION ALL SELECT message_id, 0, 'expense', missing, {account}, NULL, NULL, description, concat_ws(chr(10), notes, 'Transfer to ' || phone || ' - no matching rule'), amount{more}
     FROM base WHERE (is_transfer OR category = 'transfer') AND phone IS NOT NULL AND rule_id IS NULL
-  UNION ALL SELECT message_id, 0, 'transfer', pair_category, bank, target, sha256('transfer|' || CAST(message_id AS VARCHAR)), 'Transfer to ' || rule_name,
-    concat_ws(chr(10), notes, 'Internal transfer to ' || phone), amount FROM base WHERE (is_transfer OR category = 'transfer') AND rule_id IS NOT NULL
+  UNION ALL SELECT message_id, 0, 'transfer', pair_category, {account}, target, sha256('transfer|' || CAST(message_id AS VARCHAR)), 'Transfer to ' || rule_name,
+    concat_ws(chr(10), notes, 'Internal transfer to ' || phone), amount{more} FROM base WHERE (is_transfer OR category = 'transfer') AND rule_id IS NOT NULL
   UNION ALL SELECT message_id, 1, 'transfer', pair_category, target, NULL, sha256('transfer|' || CAST(message_id AS VARCHAR)),
     'Transfer from ' || CASE WHEN description = '' THEN 'Bancolombia' ELSE description END,
-    'Internal transfer from account ending in ' || coalesce(origin_account, 'unknown'), amount FROM base WHERE (is_transfer OR category = 'transfer') AND rule_id IS NOT NULL)"""
+    'Internal transfer from account ending in ' || coalesce(origin_account, 'unknown'), amount{more} FROM base WHERE (is_transfer OR category = 'transfer') AND rule_id IS NOT NULL)"""
+
+
+LEGS = legs("parsed", "bank", "category", "CASE WHEN p.message_id % 3 = 0 THEN 'nota' END")
 ID = "CAST(message_id AS VARCHAR) || '-' || CAST(leg AS VARCHAR)"
 oracle("transfer_split", MESSAGES, RULES, OWNED_CATEGORY, LEGS, select=f"SELECT {ID} AS id, * FROM legs")
 oracle("transfer_pairs", MESSAGES, RULES, OWNED_CATEGORY, LEGS, select=f"""
@@ -404,3 +409,33 @@ shown AS (SELECT d.*, coalesce(a.balance, 0) AS shown_balance FROM dup d LEFT JO
 SELECT id, CASE WHEN phone IS NOT NULL THEN concat_ws(chr(10), 'Internal Transfer', {_pesos('amount')}, 'Ahorro', 'To: ' || phone, strftime(date, '%d/%m/%Y') || ' ' || time, 'Balance: ' || {_pesos('shown_balance')})
   ELSE concat_ws(chr(10), 'Expense registered', {_pesos('amount')}, description, strftime(date, '%d/%m/%Y') || ' ' || time, category, bank || ' - ' || payment_type, 'Balance: ' || {_pesos('shown_balance')}) END AS confirmation
 FROM shown""")
+
+# -- the whole path ----------------------------------------------------------------------
+FLOW = (
+    MESSAGES, RULES, DETECTED, TIMED.replace("FROM parsed", "FROM detected"), """
+banked AS (SELECT * REPLACE (CASE WHEN channel = 'email' THEN 'bancolombia' ELSE bank END AS bank, coalesce(source, parsed_source) AS source) FROM event)""",
+    ACCOUNT, LIVE_ACCOUNT, cascade("banked"), FALLBACK, OWNED_CATEGORY, """
+resolved AS (SELECT p.*, o.category_id, CASE WHEN NOT is_transaction THEN NULL WHEN coalesce(amount, 0) <= 0 THEN 'Invalid amount' WHEN description = '' THEN 'Missing description'
+    WHEN date IS NULL THEN 'Invalid date' WHEN account_id IS NULL THEN 'No account' END AS reject
+  FROM placed p LEFT JOIN owned_category o ON o.user_id = p.user_id AND o.slug = p.category),
+good AS (SELECT * FROM resolved WHERE is_transaction AND reject IS NULL)""",
+    legs("good", "account_id", "p_category", "CAST(NULL AS VARCHAR)",
+         ", user_id, channel, source, date, time, text AS raw_text, received_at, account_id AS parsed_account_id").replace("SELECT p.*,", "SELECT p.*, p.category_id AS p_category,"),
+    f"flow AS (SELECT *, {ID} AS id FROM legs)", applied("flow"), """
+posted AS (SELECT w.* REPLACE (f.type AS type, f.category_id AS category_id, f.account_id AS account_id, f.transfer_to_account_id AS transfer_to_account_id,
+    f.transfer_id AS transfer_id, f.notes AS notes) FROM flow w JOIN final f ON f.id = w.id),
+sound AS (SELECT * FROM posted WHERE message_id NOT IN (SELECT message_id FROM posted WHERE account_id IS NULL))""",
+)
+oracle("ledger_posted", *FLOW, """
+exact AS (SELECT n.id, min_by(s.id, (s.received_at, s.message_id, s.id)) AS exact_of FROM sound n JOIN sound s ON s.user_id = n.user_id AND s.source = n.source AND s.raw_text = n.raw_text
+  AND (s.received_at, s.message_id) < (n.received_at, n.message_id) WHERE n.channel = 'api' GROUP BY n.id),
+near AS (SELECT n.id, min_by(s.id, (s.received_at, s.message_id, s.id)) AS near_of FROM sound n JOIN sound s ON s.user_id = n.user_id AND s.date = n.date AND s.amount = n.amount
+  AND s.account_id = n.parsed_account_id AND (s.received_at, s.message_id) < (n.received_at, n.message_id) WHERE n.channel = 'api' GROUP BY n.id)""",
+       recursive=True, select="""
+SELECT id, message_id, user_id, channel, source, date, time, amount, type, account_id, category_id, transfer_to_account_id, description, notes,
+  CASE WHEN coalesce(exact_of, near_of) IS NOT NULL THEN 'pending_review' END AS duplicate_status, coalesce(exact_of, near_of) AS duplicate_of
+FROM sound LEFT JOIN exact USING (id) LEFT JOIN near USING (id)""")
+oracle("ledger_rejects", *FLOW, recursive=True, select="""
+SELECT message_id, channel, user_id, problem AS reason FROM shaped WHERE problem IS NOT NULL
+UNION ALL SELECT message_id, channel, user_id, reject FROM resolved WHERE reject IS NOT NULL
+UNION ALL SELECT DISTINCT message_id, channel, user_id, 'No destination account' FROM posted WHERE message_id IN (SELECT message_id FROM posted WHERE account_id IS NULL)""")

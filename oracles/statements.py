@@ -439,3 +439,10 @@ oracle("ledger_rejects", *FLOW, recursive=True, select="""
 SELECT message_id, channel, user_id, problem AS reason FROM shaped WHERE problem IS NOT NULL
 UNION ALL SELECT message_id, channel, user_id, reject FROM resolved WHERE reject IS NOT NULL
 UNION ALL SELECT DISTINCT message_id, channel, user_id, 'No destination account' FROM posted WHERE message_id IN (SELECT message_id FROM posted WHERE account_id IS NULL)""")
+
+# -- streams: an available-now run over the whole table equals the batch result ------------
+ORACLES["stream_ingest"] = ORACLES["ledger_posted"]
+ORACLES["stream_dedup"] = ORACLES["ttl_cache_hits"]
+ORACLES["stream_quota"] = ORACLES["quota_admission"]
+oracle("stream_balances", TXN, EFFECTS, select="""
+SELECT effect_account_id AS account_id, CAST(sum(delta) AS DECIMAL(38,2)) AS delta, count(*) AS effects FROM effect GROUP BY ALL""")

@@ -23,8 +23,10 @@ from tallywell.operators import (
     usage,
 )
 from tallywell.plans import flows
+from tallywell.session import shared_dir
 from tallywell.sources import messages as src
 from tallywell.sources import staging as st
+from tallywell.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -525,10 +527,7 @@ def dup_side_by_side(spark, sf):
 
 @query
 def ttl_cache_hits(spark, sf):
-    rows = parsed(spark, sf).select(
-        "message_id", "is_transaction", dedup.cache_key(F.col("text")).alias("cache_key"),
-        F.floor(F.unix_micros(F.col("received_at").cast("timestamp")) / 1000000).cast("bigint").alias("second"),
-    )
+    rows = keyed_messages(shaped(spark, sf))
     return dedup.cache_hits(rows).select("message_id", "cache_key", "cache_hit")
 
 
@@ -808,3 +807,63 @@ def ledger_posted(spark, sf):
 @query
 def ledger_rejects(spark, sf):
     return ingested(spark, sf).rejects
+
+
+# -- streams -----------------------------------------------------------------------------
+def stream_of(spark, sf, table):
+    """The table's file as a stream, run to its end by an available-now trigger."""
+    reader = spark.readStream.schema(st.raw(spark, sf, table).schema)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+
+
+def stream_message(spark, sf):
+    return st.stage_from(spark, "message", events=stream_of(spark, sf, "events"))
+
+
+@query
+def stream_ingest(spark, sf):
+    out = shared_dir(spark, "stream-ingest")
+    jobs.ingest_stream(
+        src.by_channel(stream_message(spark, sf)), st.stage(spark, sf, "account"), st.slug_categories(spark, sf),
+        st.rules(spark, sf), out, f"{out}/checkpoint",
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/ledger").select(
+        "id", "message_id", "user_id", "channel", "source", "date", "time", "amount", "type", "account_id", "category_id",
+        "transfer_to_account_id", "description", "notes", "duplicate_status", "duplicate_of",
+    )
+
+
+def keyed_messages(rows):
+    return parse.parse_messages(rows.filter(F.col("problem").isNull())).select(
+        "message_id", "is_transaction", dedup.cache_key(F.col("text")).alias("cache_key"),
+        eventtime.epoch_second(F.col("received_at")).alias("second"),
+    )
+
+
+@query
+def stream_dedup(spark, sf):
+    out = shared_dir(spark, "stream-dedup")
+    rows = keyed_messages(src.by_channel(stream_message(spark, sf)))
+    jobs.cache_stream(rows, out, f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/flagged").select("message_id", "cache_key", "cache_hit")
+
+
+@query
+def stream_balances(spark, sf):
+    out = shared_dir(spark, "stream-balances")
+    ledger = st.stage_from(
+        spark, "txn", orders=stream_of(spark, sf, "orders"), customer=st.raw(spark, sf, "customer")
+    )
+    jobs.balance_stream(ledger, out, f"{out}/checkpoint").awaitTermination()
+    return jobs.latest_balances(spark, out)
+
+
+@query
+def stream_quota(spark, sf):
+    out = shared_dir(spark, "stream-quota")
+    requests = st.stage_from(spark, "parse_request", events=stream_of(spark, sf, "events"))
+    jobs.quota_stream(
+        requests, st.stage(spark, sf, "usage_stored"), st.stage(spark, sf, "subscription"), st.settings(spark),
+        out, f"{out}/checkpoint",
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/decided").select("request_id", "user_id", "month", "allowed", "used", "limit")

@@ -94,3 +94,10 @@ def choose_time(fixed_date: Column, fixed_time: Column, received_at: Column) ->
 def usage_month(ts: Column) -> Column:
     """Usage is charged to the UTC arrival month, not to the ledger date."""
     return F.date_format(ts, "yyyy-MM")
+
+
+def epoch_second(ts: Column) -> Column:
+    """Whole seconds since 1970 of a UTC wall-clock time, whatever the session's zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    of_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return days * 86_400 + of_day

@@ -97,7 +97,9 @@ def cache_key(text: Column, prompts: Column | None = None) -> Column:
     return F.concat(F.lit("gemini:"), F.sha2(F.lower(wide_trim(sent)), 256))
 
 
-def cache_hits(messages: DataFrame, min_chunked: int = FOLD_SECONDS) -> DataFrame:
+def cache_hits(
+    messages: DataFrame, min_chunked: int = FOLD_SECONDS, before: DataFrame | None = None
+) -> DataFrame:
     """Add ``cache_hit`` to messages with cache_key, second, message_id and is_transaction.
 
     A miss stores its result for 24 hours and hits do not prolong it, so the stored moments
@@ -110,7 +112,7 @@ def cache_hits(messages: DataFrame, min_chunked: int = FOLD_SECONDS) -> DataFram
         .groupBy("cache_key", "second")
         .agg(F.min("message_id").alias("first_id"))
     )
-    anchors = cache_anchors(seconds.select("cache_key", "second"), min_chunked)
+    anchors = cache_anchors(seconds.select("cache_key", "second"), min_chunked, before)
     misses = (
         seconds.join(anchors, ["cache_key", "second"], "left_semi")
         .select("cache_key", F.col("first_id").alias("message_id"))

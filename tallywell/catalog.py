@@ -23,7 +23,7 @@ from tallywell.operators import (
     usage,
 )
 from tallywell.plans import flows
-from tallywell.session import shared_dir
+from tallywell.session import materialise, shared_dir
 from tallywell.sources import messages as src
 from tallywell.sources import staging as st
 from tallywell.streaming import jobs
@@ -37,7 +37,7 @@ def query(fn):
 
 
 def shaped(spark, sf):
-    return src.by_channel(st.stage(spark, sf, "message"))
+    return src.by_channel(st.stage(spark, sf, "message", busy=True))
 
 
 def readable(spark, sf):
@@ -399,11 +399,11 @@ def localised_names(spark, sf):
 # -- rules -------------------------------------------------------------------------------
 @query
 def rule_match(spark, sf):
-    return rules.match_rules(st.stage(spark, sf, "txn"), st.rules(spark, sf)).select("id", "rule_id")
+    return rules.match_rules(st.stage(spark, sf, "txn", busy=True), st.rules(spark, sf)).select("id", "rule_id")
 
 
 def ruled(spark, sf):
-    return rules.apply_rules(st.stage(spark, sf, "txn"), st.rules(spark, sf))
+    return rules.apply_rules(st.stage(spark, sf, "txn", busy=True), st.rules(spark, sf))
 
 
 @query
@@ -491,14 +491,16 @@ def rules_listed(spark, sf):
 
 # -- duplicates and the parse cache ------------------------------------------------------
 def dup_rows(spark, sf):
+    """Dated transactions, written once: duplicate search reads them from several sides."""
     rows = parse.transactions_only(dated(spark, sf)).filter(F.col("date").isNotNull())
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "id": F.col("message_id").cast("string"), "source": F.coalesce("source", "parsed_source"),
             "raw_text": F.col("text"), "created_at": F.col("received_at"), "account_id": F.col("bank"),
             "deleted_at": F.when(F.col("message_id") % 31 == 0, F.col("received_at")),
         }
     )
+    return materialise(rows, "dup-rows")
 
 
 @query
@@ -527,7 +529,7 @@ def dup_side_by_side(spark, sf):
 
 @query
 def ttl_cache_hits(spark, sf):
-    rows = keyed_messages(shaped(spark, sf))
+    rows = materialise(keyed_messages(shaped(spark, sf)), "cache-rows")
     return dedup.cache_hits(rows).select("message_id", "cache_key", "cache_hit")
 
 
@@ -609,7 +611,7 @@ def limit_enforcement(spark, sf):
 # -- statements --------------------------------------------------------------------------
 def imported(spark, sf):
     return statement.import_statement(
-        st.stage(spark, sf, "import_row"), st.stage(spark, sf, "account"), st.slug_categories(spark, sf)
+        st.stage(spark, sf, "import_row", busy=True), st.stage(spark, sf, "account"), st.slug_categories(spark, sf)
     )
 
 

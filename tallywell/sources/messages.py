@@ -40,6 +40,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than the cluster has cores, dealt out to all of them.
+
+    Parsing and rule application cost far more per row than moving the row, so a few large
+    row groups should not leave cores idle. A scan with enough splits is returned as it is.
+    Only for scans: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 # -- API ---------------------------------------------------------------------------------
 def api_messages(df: DataFrame) -> DataFrame:
     """Source defaults to 'api'; ``problem`` marks an empty text."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywell.operators.categories import default_template, provision_categories
 from tallywell.plans.once import once
+from tallywell.sources.messages import spread
 
 
 SOURCES = {
@@ -189,9 +190,13 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stage(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """One ledger table."""
-    return stage_from(spark, view, **{t: raw(spark, sf_dir, t) for t in SOURCES[view]})
+def stage(spark: SparkSession, sf_dir: str, view: str, busy: bool = False) -> DataFrame:
+    """One ledger table; ``busy`` spreads its main scan for work that is heavy per row."""
+    tables = {t: raw(spark, sf_dir, t) for t in SOURCES[view]}
+    main = SOURCES[view][0]
+    if busy:
+        tables[main] = spread(tables[main])
+    return stage_from(spark, view, **tables)
 
 
 def stage_from(spark: SparkSession, view: str, **tables: DataFrame) -> DataFrame:

@@ -272,7 +272,7 @@ SELECT a.account_id, a.balance, CAST(coalesce(a.balance, 0) + coalesce(d, 0) AS
 LEFT JOIN (SELECT effect_account_id, sum(delta) AS d FROM effect GROUP BY ALL) e ON e.effect_account_id = a.account_id""")
 oracle("account_sums", TXN, select="SELECT account_id, type, CAST(sum(amount) AS DECIMAL(38,2)) AS total, count(*) AS transactions FROM txn GROUP BY ALL")
 oracle("running_balance", ACCOUNT, TXN, EFFECTS, select="""
-SELECT id, effect_account_id, delta, CAST(coalesce(a.balance, 0) + sum(delta) OVER (PARTITION BY effect_account_id ORDER BY created_at, id
+SELECT id, effect_account_id, delta, CAST(coalesce(a.balance, 0) + sum(delta) OVER (PARTITION BY effect_account_id ORDER BY created_at, seq
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS balance_after FROM effect LEFT JOIN account a ON a.account_id = effect_account_id""")
 oracle("month_closing", ACCOUNT, TXN, EFFECTS, """
 monthly AS (SELECT effect_account_id AS account_id, strftime(date, '%Y-%m') AS month, sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS money_in,

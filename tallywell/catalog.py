@@ -553,8 +553,11 @@ def account_sums(spark, sf):
 
 @query
 def running_balance(spark, sf):
-    levels = [F.trunc("created_at", "month"), F.to_date("created_at")]
-    total = posting.running_balance(st.stage(spark, sf, "txn"), st.stage(spark, sf, "account"), levels)
+    # rows of a day follow their sequence number, so a chunk never holds more than 2^20 of it
+    levels = [F.col("created_at"), F.shiftright("seq", 20)]
+    total = posting.running_balance(
+        st.stage(spark, sf, "txn"), st.stage(spark, sf, "account"), levels, ["created_at", "seq"]
+    )
     return total.select("id", "effect_account_id", "delta", "balance_after")
 
 

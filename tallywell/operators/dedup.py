@@ -11,6 +11,7 @@ from tallywell.fixed_values import CACHE_TTL_SECONDS
 from tallywell.functions.text import wide_trim
 from tallywell.operators.resolve import not_deleted
 from tallywell.plans.skew import hot_split_join
+from tallywell.session import materialise
 
 
 def _earliest(stored: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -52,7 +53,12 @@ def exact_duplicates(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.withColumn("exact_of", exact).drop("_text", "_first")
 
 
-def near_duplicates(rows: DataFrame, stored: DataFrame, account: str = "account_id") -> DataFrame:
+def near_duplicates(
+    rows: DataFrame,
+    stored: DataFrame,
+    account: str = "account_id",
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Add ``near_of``: the earliest older stored row with the same owner, day, amount, account.
 
     The new row counts with the account it had before rules (``account``), the stored one
@@ -60,14 +66,14 @@ def near_duplicates(rows: DataFrame, stored: DataFrame, account: str = "account_
     """
     keys = ["user_id", "date", "amount", account]
     known = not_deleted(stored).withColumn(account, F.col("account_id"))
-    joined = hot_split_join(rows, _earliest(known, keys, "_first"), keys)
+    joined = hot_split_join(rows, _earliest(known, keys, "_first"), keys, counted=counted)
     near = F.when(_came_before(F.col("_first")), F.col("_first.id"))
     return joined.withColumn("near_of", near).drop("_first")
 
 
 def flag_duplicates(rows: DataFrame, stored: DataFrame, account: str = "account_id") -> DataFrame:
     """Add ``duplicate_status`` and ``duplicate_of``: exact first, else near."""
-    both = near_duplicates(exact_duplicates(rows, stored), stored, account)
+    both = near_duplicates(exact_duplicates(rows, stored), stored, account, counted=rows)
     of = F.coalesce("exact_of", "near_of")
     return both.withColumns(
         {"duplicate_of": of, "duplicate_status": F.when(of.isNotNull(), "pending_review")}
@@ -107,10 +113,11 @@ def cache_hits(
     hours after the last anchor, and so on. Non-transactions are never stored. The clock
     ticks in whole seconds; among arrivals in an anchor's second the first is the miss.
     """
-    seconds = (
+    seconds = materialise(
         messages.filter("is_transaction")
         .groupBy("cache_key", "second")
-        .agg(F.min("message_id").alias("first_id"))
+        .agg(F.min("message_id").alias("first_id")),
+        "cache-seconds",
     )
     anchors = cache_anchors(seconds.select("cache_key", "second"), min_chunked, before)
     misses = (

@@ -68,20 +68,22 @@ def account_sums(ledger: DataFrame) -> DataFrame:
     )
 
 
-def running_balance(ledger: DataFrame, accounts: DataFrame, levels: list[Column]) -> DataFrame:
-    """Each effect with its account's balance after it, in posting order (created_at, id).
+def running_balance(
+    ledger: DataFrame, accounts: DataFrame, levels: list[Column], order: list[str]
+) -> DataFrame:
+    """Each effect with its account's balance after it, in posting ``order``.
 
     ``levels`` cut an account's history into chunks that follow the posting order.
     """
     effects = balance_effects(ledger).filter(F.col("effect_account_id").isNotNull())
     total = running_total(
-        effects, ["effect_account_id"], levels, ["created_at", "id"], F.col("delta"), "moved"
+        effects, ["effect_account_id"], levels, order, F.col("delta"), "moved"
     )
     opening = accounts.select(
         F.col("account_id").alias("effect_account_id"),
         F.coalesce("balance", F.lit(0).cast(MONEY)).alias("opening"),
     )
-    return lookup(total, opening, ["effect_account_id"]).withColumn(
+    return lookup(total, opening, ["effect_account_id"], costly=True).withColumn(
         "balance_after",
         (F.coalesce(F.col("opening"), F.lit(0).cast(MONEY)) + F.col("moved")).cast(TOTAL),
     )

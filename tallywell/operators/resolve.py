@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywell.fixed_values import FREE_AI_PARSES_LIMIT, FREE_TRANSACTIONS_LIMIT
 from tallywell.plans.skew import is_small, lookup
+from tallywell.session import materialise
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -88,6 +89,7 @@ def resolve_accounts(facts: DataFrame, accounts: DataFrame) -> DataFrame:
 
     if small:
         return cascade(facts)
+    facts = materialise(facts, "facts")
     # NULL parts cannot be joined back on, so they travel as a marker no bank or type uses
     marked = {c: F.coalesce(F.col(c), F.lit("\0")) for c in ACCOUNT_PROBE[1:]}
     plain = {c: F.nullif(F.col(c), F.lit("\0")) for c in ACCOUNT_PROBE[1:]}
@@ -113,7 +115,8 @@ def with_fallback(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     ``detected_account_id``. API and chat prefer a detected account; API and the preview
     fall back to cash, then bancolombia; chat to cash only; e-mail not at all.
     """
-    joined = lookup(facts, default_accounts(accounts), ["user_id"])
+    small = is_small(live(accounts).select("user_id"))
+    joined = lookup(facts, default_accounts(accounts), ["user_id"], known_small=small, costly=True)
     channel, cascade = F.col("channel"), F.col("cascade_account_id")
     cash, bank = F.col("cash_account_id"), F.col("bancolombia_account_id")
     detected = (
@@ -144,8 +147,9 @@ def resolve_categories(
     facts: DataFrame, categories: DataFrame, slug: str = "category", out: str = "category_id"
 ) -> DataFrame:
     """Add the id of the user's live category with the slug, NULL where there is none."""
-    ids = _first_id(live(categories), ["user_id", "slug"], "category_id", out)
-    return lookup(facts, ids.withColumnRenamed("slug", slug), ["user_id", slug])
+    known = live(categories)
+    ids = _first_id(known, ["user_id", "slug"], "category_id", out).withColumnRenamed("slug", slug)
+    return lookup(facts, ids, ["user_id", slug], known_small=is_small(known), costly=True)
 
 
 def named_category(categories: DataFrame, slug: str, out: str) -> DataFrame:
@@ -189,5 +193,5 @@ def pro_users(subscriptions: DataFrame) -> DataFrame:
 
 
 def with_pro_flag(facts: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    joined = lookup(facts, pro_users(subscriptions), ["user_id"])
+    joined = lookup(facts, pro_users(subscriptions), ["user_id"], costly=True)
     return joined.withColumn("is_pro", F.coalesce("is_pro", F.lit(False)))

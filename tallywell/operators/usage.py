@@ -67,7 +67,7 @@ def quota_admission(
         "n",
     )
     prior = stored.select("user_id", "month", F.col("ai_parses_used").cast("bigint").alias("prior"))
-    known = with_pro_flag(lookup(ordered, prior, ["user_id", "month"]), subscriptions)
+    known = with_pro_flag(lookup(ordered, prior, ["user_id", "month"], costly=True), subscriptions)
     before = F.coalesce("prior", F.lit(0).cast("bigint"))
     limit = setting(settings, "free_ai_parses_limit", 15).cast("bigint")
     reached = before + F.col("n")

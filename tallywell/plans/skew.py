@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywell.session import materialise
+
 BROADCAST_ROWS = 200_000  # narrow rows: some tens of megabytes at most
 HOT_KEYS = 1_000  # keys treated one by one; their rows fit any executor
 HOT_MIN_ROWS = 1_000_000  # below this a key is one ordinary task's work
@@ -24,16 +26,17 @@ def lookup(
     on: Sequence[str],
     how: str = "left",
     known_small: bool = False,
+    costly: bool = False,
 ) -> DataFrame:
     """Join facts to a table with at most one row per key.
 
     A dimension that is counted and found small (or reduced from a table that was) is
     broadcast, so facts do not move. A larger one is joined by shuffle with the heavy keys
-    taken out first.
+    taken out first, which reads the facts twice: ``costly`` facts are written down before.
     """
     if known_small or is_small(dim):
         return facts.join(F.broadcast(dim), list(on), how)
-    return hot_split_join(facts, dim, on, how)
+    return hot_split_join(materialise(facts, "facts") if costly else facts, dim, on, how)
 
 
 def hot_split_join(
@@ -42,13 +45,15 @@ def hot_split_join(
     on: Sequence[str],
     how: str = "left",
     min_rows: int = HOT_MIN_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join to a unique-key table, exact for any skew on the fact side.
 
     The heaviest keys (at most ``HOT_KEYS``, found by a pre-aggregated count) get their
     dimension row by broadcast; their fact rows, and rows with a NULL key, carry a non-zero
     slice number so that they spread over all partitions instead of meeting in one. Every
-    other row joins by plain equality in the same pass.
+    other row joins by plain equality in the same pass. ``counted`` may give a table that
+    is cheaper to read than the facts and holds the same keys as often.
     """
     on = list(on)
     values = [c for c in dim.columns if c not in on]
@@ -57,7 +62,8 @@ def hot_split_join(
         has_key = has_key & F.col(name).isNotNull()
 
     heavy = (
-        facts.filter(has_key)
+        (facts if counted is None else counted)
+        .filter(has_key)
         .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") >= min_rows)

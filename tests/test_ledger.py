@@ -109,7 +109,7 @@ def test_effects_and_balances(spark, accounts):
     assert sorted(effects) == [("a", "1", -30), ("b", "1", 50), ("c", "1", -20), ("c", "4", 20)]
     after = {r.account_id: r.new_balance for r in posting.apply_balances(accounts, ledger).collect()}
     assert after["1"] == 100 and after["4"] == 20 and after["2"] == 100
-    run = posting.running_balance(ledger, accounts, [F.to_date("created_at")])
+    run = posting.running_balance(ledger, accounts, [F.to_date("created_at")], ["created_at", "id"])
     assert sorted((r.effect_account_id, r.id, int(r.balance_after)) for r in run.collect()) == [("1", "a", 70), ("1", "b", 120), ("1", "c", 100), ("4", "c", 20)]
 
 

@@ -102,43 +102,25 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order``, without one task per key.
 
-    ``levels`` are expressions whose tuple never decreases along ``order`` (month, day, ...).
-    They cut a key's rows into chunks: chunk sums are pre-aggregated on the map side, a
-    window over the few chunks of each parent gives what is carried in, and the row-level
-    window then runs inside a chunk. The fact rows are shuffled once, by (key, chunk).
+    ``levels`` are expressions whose tuple never decreases along ``order`` (day and minute,
+    day and a block of sequence numbers). They cut a key's rows into chunks: chunk sums are
+    pre-aggregated on the map side, one window over a key's chunk sums gives what is carried
+    into each, and the row-level window runs inside a chunk. Choose levels that keep a chunk
+    within one task's work and a key's chunks within some millions. The fact rows are
+    shuffled once, by (key, chunk).
     """
     keys = list(keys)
     names = [f"_chunk{i}" for i in range(len(levels))]
     rows = rows.withColumns({**dict(zip(names, levels)), "_value": value})
     chunk = keys + names
     sums = rows.groupBy(*chunk).agg(F.sum("_value").alias("_sum"))
-
-    carried, carry_names = None, []
-    for depth in reversed(range(len(names))):
-        prefix = keys + names[: depth + 1]
-        if depth < len(names) - 1:
-            sums = sums.groupBy(*prefix).agg(F.sum("_sum").alias("_sum"))
-        before = Window.partitionBy(*prefix[:-1]).orderBy(prefix[-1]).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        carry = f"_carry{depth}"
-        carry_names.append(carry)
-        level = sums.select(
-            *prefix, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(carry)
-        )
-        carried = level if carried is None else carried.join(level, prefix)
-
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
     inside = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    total = F.sum("_value").over(inside)
-    for carry in carry_names:
-        total = total + F.col(carry)
-    return (
-        rows.join(carried, chunk)
-        .withColumn(out, total)
-        .drop(*names, *carry_names, "_value")
-    )
+    total = F.sum("_value").over(inside) + F.col("_carry")
+    return rows.join(carried, chunk).withColumn(out, total).drop(*names, "_carry", "_value")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

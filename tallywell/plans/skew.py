@@ -12,7 +12,8 @@ from tallywell.session import materialise
 BROADCAST_ROWS = 200_000  # narrow rows: some tens of megabytes at most
 HOT_KEYS = 1_000  # keys treated one by one; their rows fit any executor
 HOT_MIN_ROWS = 1_000_000  # below this a key is one ordinary task's work
-SPREAD = 64  # slices a hot or NULL key is cut into
+SPREAD = 256  # slices a hot or NULL key is cut into
+ROW_IDS = ("message_id", "id", "request_id", "row_id")  # what tells rows of one key apart
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -39,6 +40,25 @@ def lookup(
     return hot_split_join(materialise(facts, "facts") if costly else facts, dim, on, how)
 
 
+def heavy_keys(facts: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame | None:
+    """The keys with at least ``min_rows`` rows, heaviest first, at most ``HOT_KEYS`` of them.
+
+    Counted with partial sums on the map side over the key columns alone. The few keys found
+    come back as a literal table, so the count does not run again inside the join.
+    """
+    heavy = (
+        facts.dropna(subset=list(on))
+        .groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") >= min_rows)
+        .orderBy(F.desc("_n"))
+        .limit(HOT_KEYS)
+        .select(*on)
+    )
+    found = heavy.collect()
+    return facts.sparkSession.createDataFrame(found, heavy.schema) if found else None
+
+
 def hot_split_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -49,41 +69,37 @@ def hot_split_join(
 ) -> DataFrame:
     """Shuffle join to a unique-key table, exact for any skew on the fact side.
 
-    The heaviest keys (at most ``HOT_KEYS``, found by a pre-aggregated count) get their
-    dimension row by broadcast; their fact rows, and rows with a NULL key, carry a non-zero
-    slice number so that they spread over all partitions instead of meeting in one. Every
-    other row joins by plain equality in the same pass. ``counted`` may give a table that
-    is cheaper to read than the facts and holds the same keys as often.
+    The heaviest keys get their dimension row by broadcast; their fact rows, and rows with a
+    NULL key, carry a non-zero slice number so that they spread over all partitions instead
+    of meeting in one. Every other row joins by plain equality in the same pass. ``counted``
+    may give a table that is cheaper to read than the facts and holds the same keys as often.
     """
     on = list(on)
     values = [c for c in dim.columns if c not in on]
-    has_key = F.lit(True)
+    spread_by = [c for c in ROW_IDS if c in facts.columns] or [
+        f.name for f in facts.schema.fields if f.dataType.typeName() != "map"
+    ]
+    slice_no = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1
+    no_slice = F.lit(0).cast("bigint")
+    no_key = F.lit(False)
     for name in on:
-        has_key = has_key & F.col(name).isNotNull()
+        no_key = no_key | F.col(name).isNull()
 
-    heavy = (
-        (facts if counted is None else counted)
-        .filter(has_key)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
-        .select(*on)
-    )
     packed = dim.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_row"))
-    heavy_rows = heavy.join(packed.join(F.broadcast(heavy), on, "left_semi"), on, "left").select(
-        *on, F.lit(True).alias("_is_hot"), F.col("_row").alias("_hot")
-    )
-    spreadable = [f.name for f in facts.schema.fields if f.dataType.typeName() != "map"]
-    slice_no = F.pmod(F.xxhash64(*spreadable), F.lit(SPREAD)) + 1
-    marked = facts.join(F.broadcast(heavy_rows), on, "left").withColumn(
-        "_slice",
-        F.when(F.col("_is_hot") | ~has_key, slice_no).otherwise(F.lit(0).cast("bigint")),
-    )
-    cold = packed.withColumnRenamed("_row", "_cold").withColumn("_slice", F.lit(0).cast("bigint"))
-    joined = marked.join(cold, [*on, "_slice"], "left")
-    row = F.when(F.col("_is_hot"), F.col("_hot")).otherwise(F.col("_cold"))
+    hot = heavy_keys(facts if counted is None else counted, on, min_rows)
+    if hot is None:
+        marked = facts.withColumn("_slice", F.when(no_key, slice_no).otherwise(no_slice))
+        row = F.col("_row")
+    else:
+        hot_rows = packed.join(F.broadcast(hot), on, "left_semi").withColumnRenamed("_row", "_hot")
+        is_hot = F.col("_is_hot").isNotNull()
+        marked = (
+            facts.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), on, "left")
+            .join(F.broadcast(hot_rows), on, "left")
+            .withColumn("_slice", F.when(is_hot | no_key, slice_no).otherwise(no_slice))
+        )
+        row = F.when(is_hot, F.col("_hot")).otherwise(F.col("_row"))
+    joined = marked.join(packed.withColumn("_slice", no_slice), [*on, "_slice"], "left")
     if how == "inner":
         joined = joined.filter(row.getField("_hit"))
     out = [F.col(c) for c in on]

@@ -192,10 +192,10 @@ incoming AS (SELECT CAST(message_id AS VARCHAR) AS id, user_id, 'expense' AS typ
   CAST(NULL AS VARCHAR) AS transfer_to_account_id, CAST(NULL AS VARCHAR) AS transfer_id, CAST(NULL AS VARCHAR) AS notes,
   description, text AS raw_text, amount, source FROM parsed WHERE is_transaction)""", applied("incoming"), recursive=True,
        select="SELECT id, type, category_id, account_id, notes, ltrim(fired, ',') AS fired FROM final")
-oracle("override_flags", TXN, ACCOUNT, RULES, APPLIED, recursive=True, select="""
+oracle("override_flags", TXN, ACCOUNT, CATEGORY, RULES, APPLIED, recursive=True, select="""
 SELECT f.id, f.type IS DISTINCT FROM t.type AS type_changed, f.category_id IS DISTINCT FROM t.category_id AS category_id_changed,
-  f.account_id IS DISTINCT FROM t.account_id AS account_id_changed, a.name AS account_name
-FROM final f JOIN txn t ON t.id = f.id LEFT JOIN account a ON a.account_id = f.account_id""")
+  f.account_id IS DISTINCT FROM t.account_id AS account_id_changed, a.name AS account_name, c.name AS category_name
+FROM final f JOIN txn t ON t.id = f.id LEFT JOIN account a ON a.account_id = f.account_id LEFT JOIN category c ON c.category_id = f.category_id""")
 oracle("applied_rule_audit", TXN, RULES, APPLIED, """
 hits AS (SELECT unnest(string_split(ltrim(fired, ','), ',')) AS rule_id FROM final WHERE fired <> '')""", recursive=True, select="""
 SELECT h.rule_id, r.name AS rule_name, count(*) AS times FROM hits h JOIN rule r ON r.rule_id = h.rule_id GROUP BY ALL""")
@@ -440,6 +440,19 @@ SELECT message_id, channel, user_id, problem AS reason FROM shaped WHERE problem
 UNION ALL SELECT message_id, channel, user_id, reject FROM resolved WHERE reject IS NOT NULL
 UNION ALL SELECT DISTINCT message_id, channel, user_id, 'No destination account' FROM posted WHERE message_id IN (SELECT message_id FROM posted WHERE account_id IS NULL)""")
 
+ADMITTED = """
+numbered AS (SELECT *, strftime(received_at, '%Y-%m') AS month, row_number() OVER (PARTITION BY user_id, strftime(received_at, '%Y-%m') ORDER BY received_at, message_id) AS n
+  FROM shaped WHERE problem IS NULL),
+judged AS (SELECT n.*, coalesce(u.ai_parses_used, 0) AS prior, EXISTS (SELECT 1 FROM subscription s WHERE s.user_id = n.user_id AND plan = 'pro' AND status = 'active') AS pro
+  FROM numbered n LEFT JOIN usage_stored u ON u.user_id = n.user_id AND u.month = n.month)"""
+oracle("preview_denied", SHAPE, USAGE, SUBSCRIPTION, ADMITTED, select="""
+SELECT message_id, user_id, CAST(greatest(15, prior) AS BIGINT) AS used, CAST(15 AS BIGINT) AS "limit", 'PARSE_LIMIT_REACHED' AS reason FROM judged WHERE NOT pro AND prior + n > 15""")
+oracle("preview_resolved", MESSAGES, USAGE, SUBSCRIPTION, ADMITTED, RULES, DETECTED, ACCOUNT, LIVE_ACCOUNT, OWNED_CATEGORY,
+       "wanted AS (SELECT d.* REPLACE ('parse' AS channel) FROM detected d JOIN judged j ON j.message_id = d.message_id WHERE d.is_transaction AND (pro OR prior + n <= 15))",
+       cascade("wanted"), FALLBACK, select=f"""
+SELECT message_id, p.user_id, amount, category, coalesce({fix_date('original_date')}, original_date) AS original_date, account_id, o.category_id
+FROM placed p LEFT JOIN owned_category o ON o.user_id = p.user_id AND o.slug = p.category""")
+
 # -- streams: an available-now run over the whole table equals the batch result ------------
 ORACLES["stream_ingest"] = ORACLES["ledger_posted"]
 ORACLES["stream_dedup"] = ORACLES["ttl_cache_hits"]

@@ -234,6 +234,25 @@ def parse_preview(spark, sf):
     )
 
 
+def previewed(spark, sf):
+    return flows.preview(
+        readable(spark, sf), st.stage(spark, sf, "account"), st.slug_categories(spark, sf), st.rules(spark, sf),
+        st.stage(spark, sf, "usage_stored"), st.stage(spark, sf, "subscription"), st.settings(spark),
+    )
+
+
+@query
+def preview_resolved(spark, sf):
+    return previewed(spark, sf).previews.select(
+        "message_id", "user_id", "parsed.amount", "parsed.category", "parsed.original_date", "resolved.account_id", "resolved.category_id"
+    )
+
+
+@query
+def preview_denied(spark, sf):
+    return previewed(spark, sf).denied
+
+
 # -- transfers ---------------------------------------------------------------------------
 @query
 def transfer_extract(spark, sf):
@@ -434,10 +453,11 @@ def rule_apply_messages(spark, sf):
 def override_flags(spark, sf):
     before = st.stage(spark, sf, "txn")
     flags = rules.override_flags(before, ruled(spark, sf))
-    named = flags.withColumn("account_id", F.col("account_id"))
     accounts = st.stage(spark, sf, "account").select("account_id", F.col("name").alias("account_name"))
-    return resolve.lookup(named, accounts, ["account_id"]).select(
-        "id", "type_changed", "category_id_changed", "account_id_changed", "account_name"
+    named = resolve.lookup(flags, accounts, ["account_id"], costly=True)
+    held = st.stage(spark, sf, "category").select("category_id", F.col("name").alias("category_name"))
+    return resolve.lookup(named, held, ["category_id"], costly=True).select(
+        "id", "type_changed", "category_id_changed", "account_id_changed", "account_name", "category_name"
     )
 
 

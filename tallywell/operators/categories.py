@@ -156,8 +156,9 @@ def localise_names(categories: DataFrame, locale: str) -> DataFrame:
 def default_phone_rules(accounts: DataFrame, categories: DataFrame, phone: str) -> DataFrame:
     """A transfer rule to each owner's wallet account, where the owner has a transfer category."""
     wallets = accounts.filter(F.col("institution") == "nequi").select("user_id", "account_id")
-    category = categories.filter(F.col("slug") == "transfer").select("user_id", "category_id")
-    return lookup(wallets, category.dropDuplicates(["user_id"]), ["user_id"], "inner").select(
+    chosen = categories.filter(F.col("slug") == "transfer")
+    category = chosen.groupBy("user_id").agg(F.min("category_id").alias("category_id"))
+    return lookup(wallets, category, ["user_id"], "inner").select(
         F.sha2(F.concat_ws("|", F.lit("wallet-rule"), "account_id"), 256).alias("rule_id"),
         "user_id",
         F.lit("Transfer to Personal Nequi").alias("name"),

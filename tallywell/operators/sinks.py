@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def append_ledger(ledger: DataFrame, path: str) -> None:
-    """Append, one folder per ledger month so that period filters prune."""
+    """Append, one folder per ledger month so that period filters prune.
+
+    Rows are rebalanced by month first: small months share a task, a huge one is split, and
+    no task writes a file into every folder.
+    """
     months = ledger.withColumn("month", F.date_format("date", "yyyy-MM"))
-    months.write.mode("append").partitionBy("month").parquet(path)
+    months.hint("rebalance", F.col("month")).write.mode("append").partitionBy("month").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, mode: str = "overwrite") -> None:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywell.operators import dedup, parse, posting, resolve, rules, transfers
+from tallywell.operators import dedup, parse, posting, resolve, rules, transfers, usage
 from tallywell.session import materialise
 
 
@@ -109,6 +109,49 @@ def ingest(
     )
 
 
+@dataclass
+class Previewed:
+    """What one run of parse-only requests produced."""
+
+    previews: DataFrame
+    skipped: DataFrame
+    denied: DataFrame
+
+
+def preview(
+    requests: DataFrame, accounts: DataFrame, categories: DataFrame, rule_table: DataFrame,
+    stored_usage: DataFrame, subscriptions: DataFrame, settings: DataFrame,
+) -> Previewed:
+    """Parse-only requests: quota first, then the parse, nothing posted.
+
+    A request over its owner's monthly limit is denied before its text is looked at; skipped
+    messages have used up their admission. Previews are nested: ``parsed`` and ``resolved``.
+    """
+    asked = requests.withColumn("request_id", F.col("message_id"))
+    decided = materialise(
+        usage.quota_admission(asked, stored_usage, subscriptions, settings), "decided"
+    )
+    detected = rules.detect_accounts(decided.filter("allowed"), rule_table)
+    parsed = parse.with_preview_time(parse.parse_messages(detected.withColumn("channel", F.lit("parse"))))
+    wanted = parse.transactions_only(parsed)
+    placed = resolve.with_fallback(resolve.resolve_accounts(wanted, accounts), accounts)
+    known = resolve.resolve_categories(placed, categories)
+    fields = ["amount", "description", "category", "bank", "payment_type", "confidence",
+              "original_date", "original_time", "last_four", "account_type", "is_transaction"]
+    return Previewed(
+        previews=known.select(
+            "message_id",
+            "user_id",
+            F.struct(*fields, F.col("parsed_source").alias("source")).alias("parsed"),
+            F.struct("account_id", "category_id").alias("resolved"),
+        ),
+        skipped=parse.skipped(parsed),
+        denied=decided.filter("NOT allowed").select(
+            "message_id", "user_id", "used", "limit", F.lit("PARSE_LIMIT_REACHED").alias("reason")
+        ),
+    )
+
+
 def month_closing(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     """Per account and month: income, expense, net and the closing balance.
 

@@ -197,3 +197,25 @@ def test_channel_readers_agree_with_the_mixed_one(spark):
     assert {r.message_id: (r.text, r.problem) for r in apart.collect()} == mixed
     assert mixed == {1: ("x", None), 2: ("", "Missing text"), 3: ("Bancolombia: pagaste $5 en X", None), 4: (None, "not_bancolombia"),
                      5: (None, "no_text_extracted"), 6: ("", "Missing text")}
+
+
+def test_settings_fall_back(spark):
+    rows = spark.createDataFrame([("free_ai_parses_limit", "20"), ("free_accounts_limit", "x"), ("support_email", '"a"')], "key string, value string")
+    row = resolve.settings_row(rows).head()
+    assert (row.free_ai_parses_limit, row.free_transactions_limit, row.free_accounts_limit) == (20, 50, None)
+    one = spark.range(1).select(resolve.setting(rows, "free_ai_parses_limit", 15), resolve.setting(rows, "free_transactions_limit", 50))
+    assert tuple(one.head()) == (20, 50)
+
+
+def test_balance_edits(spark, accounts):
+    targets = spark.createDataFrame([("1", Decimal("130")), ("2", Decimal("100")), ("4", Decimal("-5"))], "account_id string, target_balance decimal(15,2)")
+    moves = {r.account_id: (int(r.amount), r.type) for r in mutate.adjust_balances(accounts, targets).collect()}
+    assert moves == {"1": (30, "income"), "4": (5, "expense")}
+    direct = {r.account_id: r.balance for r in mutate.set_balances(accounts, targets).collect()}
+    assert direct["1"] == 130 and direct["4"] == -5 and direct["3"] == 100
+
+
+def test_column_defaults_and_stamp(spark):
+    rows = spark.createDataFrame([("1", None, None, None), ("2", "USD", Decimal(3), False)], "id string, currency string, balance decimal(15,2), is_active boolean")
+    got = [tuple(r) for r in mutate.with_account_defaults(rows).orderBy("id").collect()]
+    assert got == [("1", "COP", 0, True), ("2", "USD", 3, False)]

@@ -6,7 +6,7 @@ import re
 
 from tallywell import fixed_values as fv
 from tallywell.functions import parse as p
-from tallywell.sources.staging import RULE_COLUMNS, RULE_TEMPLATES, SETTINGS, STAGING
+from tallywell.sources.staging import RULE_COLUMNS, RULE_TEMPLATES, STAGING
 
 
 def q(text: str) -> str:
@@ -352,7 +352,6 @@ owned_category AS (
   FROM (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS user_id FROM customer) CROSS JOIN tree)"""
 
 LIVE_CATEGORY = "live_category AS (SELECT * FROM category WHERE is_active AND deleted_at IS NULL)"
-SETTING_ROWS = "setting(key, value) AS (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in SETTINGS) + ")"
 
 EFFECTS = """
 effect AS (

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from oracles.blocks import (
     DETECTED, EFFECTS, LIVE_ACCOUNT, LIVE_CATEGORY, MESSAGES, ORIGIN, OWNED_CATEGORY, PHONE,
-    RULES, SETTING_ROWS, SHAPED, TIMED, act, applied, cascade, fix_date, fix_time, has, holds, q,
+    RULES, SHAPED, TIMED, act, applied, cascade, fix_date, fix_time, has, holds, q,
     staged, wide_trim,
 )
 from tallywell import fixed_values as fv
-from tallywell.operators.statement import STATEMENT_COLUMNS  # noqa: F401
 
 ORACLES: dict[str, str] = {}
 
@@ -147,6 +146,7 @@ LEFT JOIN owned_category a ON a.user_id = p.user_id AND a.slug = p.category
 LEFT JOIN owned_category b ON b.user_id = p.user_id AND b.slug = {RENAMED}""")
 oracle("category_tree", CATEGORY, select="""
 SELECT c.category_id, c.slug, p.slug AS parent_slug, p.name AS parent_name FROM category c LEFT JOIN category p ON p.category_id = c.parent_id""")
+oracle("categories_listed", CATEGORY, select="SELECT category_id, user_id, name, is_active FROM category WHERE deleted_at IS NULL")
 OFFERED = """
 offer AS (SELECT CAST(c_nationkey % 7 AS BIGINT) AS user_id, 'nation-' || CAST(c_custkey % 40 AS VARCHAR) AS slug, 'New nation-' || CAST(c_custkey % 40 AS VARCHAR) AS name,
   'expense' AS type, 'must' AS spending_nature, min(CASE c_custkey % 3 WHEN 1 THEN 'nation-3' WHEN 2 THEN 'nowhere' END) AS parent_slug
@@ -258,7 +258,7 @@ oracle("dup_side_by_side", TXN, select="""
 SELECT f.id, f.duplicate_status, f.duplicate_of, f.date, f.amount, f.account_id, f.description, o.date AS original_date, o.amount AS original_amount,
   o.account_id AS original_account_id, o.description AS original_description FROM txn f LEFT JOIN txn o ON o.id = f.duplicate_of WHERE f.duplicate_status IS NOT NULL""")
 oracle("ttl_cache_hits", MESSAGES, f"""
-arrival AS (SELECT message_id, is_transaction, 'gemini:' || sha256(lower({wide_trim('text')})) AS cache_key, CAST(floor(epoch_us(received_at) / 1000000.0) AS BIGINT) AS second FROM parsed),
+arrival AS (SELECT message_id, is_transaction, {q(fv.CACHE_KEY_PREFIX)} || sha256(lower({wide_trim('text')})) AS cache_key, CAST(floor(epoch_us(received_at) / 1000000.0) AS BIGINT) AS second FROM parsed),
 moment AS (SELECT cache_key, second, min(message_id) AS first_id FROM arrival WHERE is_transaction GROUP BY ALL),
 anchor AS (SELECT cache_key, min(second) AS second FROM moment GROUP BY cache_key
   UNION ALL SELECT a.cache_key, (SELECT min(m.second) FROM moment m WHERE m.cache_key = a.cache_key AND m.second >= a.second + 86400) FROM anchor a WHERE a.second IS NOT NULL),

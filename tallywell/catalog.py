@@ -348,6 +348,13 @@ def category_tree(spark, sf):
     return tree.select("category_id", "slug", "parent_slug", "parent_name")
 
 
+@query
+def categories_listed(spark, sf):
+    held = st.stage(spark, sf, "category")
+    shown, hidden = (reports.categories_by_visibility(held, a) for a in (True, False))
+    return shown.unionByName(hidden).select("category_id", "user_id", "name", "is_active")
+
+
 def offered_categories(spark, sf):
     """What a category upsert is offered: a template row per customer's nation and segment."""
     customer = st.raw(spark, sf, "customer")

@@ -22,6 +22,7 @@ FREE_ACCOUNTS_LIMIT = 4
 FREE_RULES_LIMIT = 5
 FREE_CATEGORIES_LIMIT = 15
 CACHE_TTL_SECONDS = 86_400
+CACHE_KEY_PREFIX = "gemini:"
 RETENTION_MONTHS = 12
 LOCAL_ZONE = "America/Bogota"
 

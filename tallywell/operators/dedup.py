@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.fixed_values import CACHE_TTL_SECONDS
+from tallywell.fixed_values import CACHE_KEY_PREFIX, CACHE_TTL_SECONDS
 from tallywell.functions.text import wide_trim
 from tallywell.operators.resolve import not_deleted
 from tallywell.plans.skew import hot_split_join
@@ -100,7 +100,7 @@ FOLD_SECONDS = 50_000  # arrival seconds a key may have to be folded in one arra
 def cache_key(text: Column, prompts: Column | None = None) -> Column:
     """Cache key of a text and the prompts sent with it: SHA-256 of the trimmed lower case."""
     sent = text if prompts is None else F.concat(text, F.coalesce(prompts, F.lit("")))
-    return F.concat(F.lit("gemini:"), F.sha2(F.lower(wide_trim(sent)), 256))
+    return F.concat(F.lit(CACHE_KEY_PREFIX), F.sha2(F.lower(wide_trim(sent)), 256))
 
 
 def cache_hits(

@@ -135,6 +135,12 @@ def rules_by_kind(rules: DataFrame, rule_type: str | None = None, active: bool |
     return out
 
 
+def categories_by_visibility(categories: DataFrame, active: bool) -> DataFrame:
+    """Category listing under the visibility filter, by name."""
+    kept = categories.filter(F.col("deleted_at").isNull() & (F.col("is_active") == F.lit(active)))
+    return kept.orderBy("name", "category_id")
+
+
 def applied_rule_audit(ledger: DataFrame) -> DataFrame:
     """How often each rule fired."""
     return (

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallywell.operators.parse import strip_fence
 from tallywell.operators.resolve import live
-from tallywell.plans.skew import is_small, lookup
+from tallywell.plans.skew import BROADCAST_RULES, is_small, lookup
 from tallywell.schemas import ACTIONS, APPLIED_RULES, CONDITIONS, GENERATED_RULE
 
 
@@ -116,7 +116,7 @@ def rules_per_user(rules: DataFrame, rule_types: list[str] | None, out: str = "r
 def match_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per (transaction, fitting rule), looking at the record as it came in."""
     joined = lookup(
-        transactions, rules_per_user(rules, None), ["user_id"], "inner", is_small(rules), costly=True
+        transactions, rules_per_user(rules, None), ["user_id"], "inner", is_small(rules, BROADCAST_RULES), costly=True
     )
     fitting = F.filter(
         "rules",
@@ -142,7 +142,7 @@ def apply_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     """
     carried = [c for c in transactions.columns if c != "applied_rules"]
     joined = lookup(
-        transactions, rules_per_user(rules, None), ["user_id"], known_small=is_small(rules), costly=True
+        transactions, rules_per_user(rules, None), ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True
     )
     earlier = (
         F.col("applied_rules")
@@ -234,7 +234,7 @@ def detect_accounts(messages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     first = F.get(fitting, F.lit(0))
     return (
-        lookup(messages, per_user, ["user_id"], known_small=is_small(rules), costly=True)
+        lookup(messages, per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True)
         .withColumn("_rule", first)
         .withColumns(
             {
@@ -481,7 +481,7 @@ def parse_context(messages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     stated = F.filter(sections, lambda s: F.coalesce(s, F.lit("")) != "")
     return (
-        lookup(detect_accounts(messages, rules), per_user, ["user_id"], known_small=is_small(rules), costly=True)
+        lookup(detect_accounts(messages, rules), per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True)
         .withColumn("context", F.array_join(stated, "\n\n"))
         .drop("prompts", "transfer_digest", "rule_digest")
     )

@@ -12,8 +12,9 @@ from tallywell.operators.resolve import resolve_accounts, resolve_categories
 
 MONEY = "decimal(15,2)"
 STATEMENT_COLUMNS = ["Date", "Amount", "Category", "Account", "Note", "Labels"]
-# ISO days and instants, then the month-first form statement exports use
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy"]
+# ISO days and wall-clock times, then the month-first form statement exports use
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm[:ss][.SSS]", "yyyy-MM-dd HH:mm[:ss]", "M/d/yyyy"]
+ZONED = r"T.*(?:Z|[+-]\d{2}:?\d{2})$"
 
 
 def statement_amount(text: Column) -> Column:
@@ -22,8 +23,11 @@ def statement_amount(text: Column) -> Column:
 
 
 def statement_date(text: Column) -> Column:
+    """The UTC calendar day of the stated moment; a time without a zone is taken as UTC."""
     clean = F.trim(text)
-    return F.coalesce(*[F.try_to_date(clean, f) for f in DATE_FORMATS])
+    instant = F.to_utc_timestamp(F.try_to_timestamp(clean), F.current_timezone())
+    wall_clock = F.coalesce(*[F.try_to_date(clean, f) for f in DATE_FORMATS])
+    return F.when(clean.rlike(ZONED), F.to_date(instant)).otherwise(wall_clock)
 
 
 def statement_category(name: Column) -> Column:

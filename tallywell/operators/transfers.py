@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallywell.functions import transfer
 from tallywell.operators.resolve import named_category
 from tallywell.operators.rules import phone_rules
-from tallywell.plans.skew import is_small, lookup
+from tallywell.plans.skew import BROADCAST_RULES, is_small, lookup
 
 
 def phone_rule_lookup(rules: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def split_transfers(
         transactions.withColumn("phone", transfer.plain_phone(F.col("phone"))),
         phone_rule_lookup(rules),
         ["user_id", "phone"],
-        known_small=is_small(rules),
+        known_small=is_small(rules, BROADCAST_RULES),
         costly=True,
     )
     joined = lookup(joined, user_categories, ["user_id"], known_small=is_small(categories), costly=True)

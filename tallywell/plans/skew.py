@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywell.session import materialise
 
 BROADCAST_ROWS = 200_000  # narrow rows: some tens of megabytes at most
+BROADCAST_RULES = 50_000  # rule rows carry JSON documents, so fewer of them
 HOT_KEYS = 1_000  # keys treated one by one; their rows fit any executor
 HOT_MIN_ROWS = 1_000_000  # below this a key is one ordinary task's work
 SPREAD = 256  # slices a hot or NULL key is cut into

@@ -108,7 +108,8 @@ def test_chat_text(evaluate):
 def test_statement_fields(evaluate):
     amounts = evaluate(statement.statement_amount, ["-12.50 COP", "7", ".5x", "abc", "", None, "+3."])
     assert [None if a is None else float(a) for a in amounts] == [12.5, 7, 0.5, None, None, None, 3]
-    days = evaluate(lambda c: statement.statement_date(c).cast("string"), ["2024-02-29", "2/3/2024", "2024-01-05T10:00:00", "no"])
-    assert days == ["2024-02-29", "2024-02-03", "2024-01-05", None]
+    days = evaluate(lambda c: statement.statement_date(c).cast("string"), 
+                    ["2024-02-29", "2/3/2024", "2024-01-05T10:00:00", "no", "2024-01-05T23:30:00.000Z", "2024-01-05T23:30:00-05:00", "2024-01-05 10:00"])
+    assert days == ["2024-02-29", "2024-02-03", "2024-01-05", None, "2024-01-05", "2024-01-06", "2024-01-05"]
     assert evaluate(statement.statement_category, ["Rent", "Salary", "?", None]) == ["home", "salary", "other", "other"]
     assert evaluate(statement.statement_institution, ["Mi NEQUI", "Efectivo", "x", None]) == ["nequi", "cash", "bancolombia", "bancolombia"]

@@ -134,6 +134,36 @@ STATEMENT_CATEGORIES = {
     "Travel": "other",
 }
 
+# ---- fixed values: sentences the results contain ----------------------------------------
+TRANSFER_DIGEST_HEAD = 'TRANSFERS: Messages with "Transferiste"/"Enviaste" are transfers. Known phones: '
+TRANSFER_DIGEST_TAIL = '. Unknown phones→category:"missing".'
+RULE_DIGEST_HEAD = (
+    "AUTOMATION RULES (apply these when conditions match, they override default categorization):\n"
+)
+RULE_DIGEST_TAIL = (
+    "\nIf a rule matches, use the specified values. "
+    "These rules are deterministic overrides from the user."
+)
+ACCOUNT_HINT = ['ACCOUNT CONTEXT: This message is from account "', '" (id: ', ")."]
+NOTE_NO_PHONE = "Transfer - no matching phone found"
+NOTE_NO_RULE = ["Transfer to ", " - no matching rule"]
+NOTE_OUTGOING = "Internal transfer to "
+NOTE_INCOMING = "Internal transfer from account ending in "
+TEXT_OUTGOING = "Transfer to "
+TEXT_INCOMING = "Transfer from "
+INCOMING_FROM_UNNAMED = "Bancolombia"
+REJECT_AMOUNT = "Invalid amount"
+REJECT_DESCRIPTION = "Missing description"
+REJECT_CATEGORY = "Missing category"
+REJECT_TEXT = "Missing text"
+DEFAULT_SKIP_REASON = "not_transaction"
+PARSE_LIMIT_REACHED = "PARSE_LIMIT_REACHED"
+
+# ---- fixed values: defaults of generated rules -------------------------------------------
+RULE_DEFAULTS = {"name": "Unnamed Rule", "rule_type": "general", "condition_logic": "or", "conditions": "{}", "actions": "{}"}
+DEFAULT_PRIORITY = 50
+ACCOUNT_RULE_PRIORITY = 100
+
 # ---- fixed values: default category tree -----------------------------------------------
 # parent slug, parent name, type, nature, then children as (slug, name, nature)
 CATEGORY_TREE = [

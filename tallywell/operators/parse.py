@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywell import fixed_values as fv
 from tallywell.functions import eventtime, parse, transfer
 from tallywell.functions.text import fold, wide_trim
 from tallywell.plans.once import once
@@ -73,7 +74,7 @@ def transactions_only(parsed: DataFrame) -> DataFrame:
 def skipped(parsed: DataFrame) -> DataFrame:
     """The skipped-message audit rows."""
     return parsed.filter(F.col("is_transaction").eqNullSafe(F.lit(False))).withColumn(
-        "reason", F.coalesce(F.nullif(F.col("skip_reason"), F.lit("")), F.lit("not_transaction"))
+        "reason", F.coalesce(F.nullif(F.col("skip_reason"), F.lit("")), F.lit(fv.DEFAULT_SKIP_REASON))
     )
 
 
@@ -97,9 +98,9 @@ def reject_reason(amount: Column, description: Column, category: Column, is_tran
     blank = F.coalesce(wide_trim(description), F.lit("")) == ""
     return F.when(
         ~is_transaction.eqNullSafe(F.lit(False)),
-        F.when(F.coalesce(amount, F.lit(0)) <= 0, "Invalid amount")
-        .when(blank, "Missing description")
-        .when(F.coalesce(category, F.lit("")) == "", "Missing category"),
+        F.when(F.coalesce(amount, F.lit(0)) <= 0, fv.REJECT_AMOUNT)
+        .when(blank, fv.REJECT_DESCRIPTION)
+        .when(F.coalesce(category, F.lit("")) == "", fv.REJECT_CATEGORY),
     )
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywell import fixed_values as fv
 from tallywell.operators.parse import strip_fence
 from tallywell.operators.resolve import live
 from tallywell.plans.skew import BROADCAST_RULES, is_small, lookup
@@ -267,7 +268,7 @@ def account_rules(accounts: DataFrame) -> DataFrame:
         "user_id",
         F.concat(F.lit("Account: "), "name").alias("name"),
         F.lit(True).alias("is_active"),
-        F.lit(100).alias("priority"),
+        F.lit(fv.ACCOUNT_RULE_PRIORITY).alias("priority"),
         F.lit("account_detection").alias("rule_type"),
         F.lit("and").alias("condition_logic"),
         F.to_json(F.struct(keywords.alias("raw_text_contains"))).alias("conditions"),
@@ -297,18 +298,15 @@ def normalise_generated(documents: DataFrame, column: str) -> DataFrame:
     keep = [c for c in documents.columns if c != column]
     exploded = documents.select(*keep, rule.alias("rule")).select(*keep, "rule.*")
 
-    def default(name: str, value: str) -> Column:
-        return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(value))
-
+    texts = {
+        name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(value))
+        for name, value in fv.RULE_DEFAULTS.items()
+    }
     return exploded.withColumns(
         {
-            "name": default("name", "Unnamed Rule"),
+            **texts,
             "is_active": F.coalesce("is_active", F.lit(True)),
-            "priority": F.coalesce("priority", F.lit(50)),
-            "rule_type": default("rule_type", "general"),
-            "condition_logic": default("condition_logic", "or"),
-            "conditions": default("conditions", "{}"),
-            "actions": default("actions", "{}"),
+            "priority": F.coalesce("priority", F.lit(fv.DEFAULT_PRIORITY)),
         }
     )
 
@@ -377,9 +375,7 @@ def transfer_digest(rules: DataFrame) -> DataFrame:
     line = F.concat(F.lit("*"), "match_phone", F.lit("→transfer"))
     lists = _lines_per_user(phone_rules(rules).filter(F.col("match_phone") != ""), line, "phones")
     sentence = F.concat(
-        F.lit('TRANSFERS: Messages with "Transferiste"/"Enviaste" are transfers. Known phones: '),
-        F.array_join("phones", ", "),
-        F.lit('. Unknown phones→category:"missing".'),
+        F.lit(fv.TRANSFER_DIGEST_HEAD), F.array_join("phones", ", "), F.lit(fv.TRANSFER_DIGEST_TAIL)
     )
     return lists.select(
         "user_id", F.when(F.size("phones") > 0, sentence).otherwise("").alias("transfer_digest")
@@ -443,15 +439,7 @@ def rule_digest(rules: DataFrame) -> DataFrame:
     ).otherwise("")
     lists = _lines_per_user(actionable, line, "lines")
     text = F.concat(
-        F.lit(
-            "AUTOMATION RULES (apply these when conditions match, they override default "
-            "categorization):\n"
-        ),
-        F.array_join("lines", "\n"),
-        F.lit(
-            "\nIf a rule matches, use the specified values. These rules are deterministic "
-            "overrides from the user."
-        ),
+        F.lit(fv.RULE_DIGEST_HEAD), F.array_join("lines", "\n"), F.lit(fv.RULE_DIGEST_TAIL)
     )
     return lists.select("user_id", F.when(F.size("lines") > 0, text).otherwise("").alias("rule_digest"))
 
@@ -470,10 +458,8 @@ def parse_context(messages: DataFrame, rules: DataFrame) -> DataFrame:
         .join(transfer_digest(rules), "user_id", "left")
         .join(rule_digest(rules), "user_id", "left")
     )
-    hint = F.concat(
-        F.lit('ACCOUNT CONTEXT: This message is from account "'), "detection_rule_name",
-        F.lit('" (id: '), "detected_account_id", F.lit(")."),
-    )
+    before, between, after = (F.lit(part) for part in fv.ACCOUNT_HINT)
+    hint = F.concat(before, "detection_rule_name", between, "detected_account_id", after)
     sections = F.concat(
         F.array(hint),
         F.coalesce("prompts", F.array().cast("array<string>")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywell import fixed_values as fv
 from tallywell.functions import transfer
 from tallywell.operators.resolve import named_category
 from tallywell.operators.rules import phone_rules
@@ -81,23 +82,23 @@ def split_transfers(
     as_is = leg(0, F.col("type"), F.col("category_id"), account, none, none, text, notes)
     no_phone = leg(
         0, expense, missing, account, none, none, text,
-        _noted(notes, F.lit("Transfer - no matching phone found")),
+        _noted(notes, F.lit(fv.NOTE_NO_PHONE)),
     )
     no_rule = leg(
         0, expense, missing, account, none, none, text,
-        _noted(notes, F.concat(F.lit("Transfer to "), phone, F.lit(" - no matching rule"))),
+        _noted(notes, F.concat(F.lit(fv.NOTE_NO_RULE[0]), phone, F.lit(fv.NOTE_NO_RULE[1]))),
     )
     outgoing = leg(
         0, F.lit("transfer"), pair_category, account, F.col("rule_account_id"), pair_id,
-        F.concat(F.lit("Transfer to "), F.col("transfer_rule_name")),
-        _noted(notes, F.concat(F.lit("Internal transfer to "), phone)),
+        F.concat(F.lit(fv.TEXT_OUTGOING), F.col("transfer_rule_name")),
+        _noted(notes, F.concat(F.lit(fv.NOTE_OUTGOING), phone)),
     )
-    named = F.coalesce(F.nullif(text, F.lit("")), F.lit("Bancolombia"))
+    named = F.coalesce(F.nullif(text, F.lit("")), F.lit(fv.INCOMING_FROM_UNNAMED))
     incoming = leg(
         1, F.lit("transfer"), pair_category, F.col("rule_account_id"), none, pair_id,
-        F.concat(F.lit("Transfer from "), named),
+        F.concat(F.lit(fv.TEXT_INCOMING), named),
         F.concat(
-            F.lit("Internal transfer from account ending in "),
+            F.lit(fv.NOTE_INCOMING),
             F.coalesce(F.col("origin_account"), F.lit("unknown")),
         ),
     )

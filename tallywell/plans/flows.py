@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywell.fixed_values import PARSE_LIMIT_REACHED
 from tallywell.operators import dedup, parse, posting, resolve, rules, transfers, usage
 from tallywell.session import materialise
 
@@ -147,7 +148,7 @@ def preview(
         ),
         skipped=parse.skipped(parsed),
         denied=decided.filter("NOT allowed").select(
-            "message_id", "user_id", "used", "limit", F.lit("PARSE_LIMIT_REACHED").alias("reason")
+            "message_id", "user_id", "used", "limit", F.lit(PARSE_LIMIT_REACHED).alias("reason")
         ),
     )
 

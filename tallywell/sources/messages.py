@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.fixed_values import EMAIL_EXCERPT_CHARS, EMAIL_GATE, EMAIL_PATTERNS
+from tallywell.fixed_values import (
+    EMAIL_EXCERPT_CHARS,
+    EMAIL_GATE,
+    EMAIL_PATTERNS,
+    REJECT_TEXT,
+)
 from tallywell.plans.once import once
 from tallywell.schemas import MESSAGE, STATEMENT
 
@@ -59,7 +64,7 @@ def api_messages(df: DataFrame) -> DataFrame:
         {
             "channel": F.lit("api"),
             "source": F.coalesce("source", F.lit("api")),
-            "problem": F.when(empty, "Missing text"),
+            "problem": F.when(empty, REJECT_TEXT),
         }
     )
 
@@ -122,7 +127,7 @@ def chat_messages(df: DataFrame) -> DataFrame:
     return df.withColumn("text", body).withColumns(
         {
             "channel": F.lit("chat"),
-            "problem": F.when(F.coalesce("text", F.lit("")) == "", "Missing text"),
+            "problem": F.when(F.coalesce("text", F.lit("")) == "", REJECT_TEXT),
         }
     )
 
@@ -175,7 +180,7 @@ def by_channel(messages: DataFrame) -> DataFrame:
             .otherwise(F.coalesce("source", F.lit("api"))),
             "problem": F.when(email & ~gated, "not_bancolombia")
             .when(email & F.col("text").isNull(), "no_text_extracted")
-            .when(empty, "Missing text"),
+            .when(empty, REJECT_TEXT),
         }
     ).select(*SHAPE)
 

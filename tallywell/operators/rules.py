@@ -41,27 +41,36 @@ def typed_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _keywords_hold(keywords: Column, text: Column, logic: Column) -> Column:
-    """any/all of the keywords in the text; an empty list: any is false, all is true."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+def _keywords_hold(words: Column, lowered: Column, logic: Column) -> Column:
+    """any/all of the words in the text, both in lower case; of no words, any is false, all true."""
+    def inside(word: Column) -> Column:
+        return F.contains(lowered, word)
 
-    def inside(k: Column) -> Column:
-        return F.contains(lowered, F.lower(k))
+    some = F.when(logic == "and", F.forall(words, inside)).otherwise(F.exists(words, inside))
+    return words.isNull() | some
 
-    some = F.when(logic == "and", F.forall(keywords, inside)).otherwise(F.exists(keywords, inside))
-    return keywords.isNull() | some
+
+def _with_lowered(df: DataFrame, description: Column, raw_text: Column) -> DataFrame:
+    """The two searched texts in lower case, once per row instead of once per keyword."""
+    return df.withColumns(
+        {
+            "_low_description": F.lower(F.coalesce(description, F.lit(""))),
+            "_low_raw_text": F.lower(F.coalesce(raw_text, F.lit(""))),
+        }
+    )
 
 
 def conditions_hold(
     rule: Column,
     description: Column,
-    raw_text: Column,
     amount: Column,
     source: Column,
     account_id: Column,
 ) -> Column:
     """Whether one typed rule fits the record. All stated conditions must hold.
 
+    Reads the lower-case texts that ``_with_lowered`` adds to the row.
+
     No condition, or only unknown ones, fits everything. ``to_account`` and ``category`` are
     accepted in rules but never looked at.
     """
@@ -76,9 +85,9 @@ def conditions_hold(
     fits_pattern = F.rlike(F.coalesce(description, F.lit("")), F.concat(F.lit("(?i)"), pattern))
     from_account = part("from_account")
     return (
-        _keywords_hold(part("description_contains"), description, rule.getField("logic"))
+        _keywords_hold(rule.getField("description_words"), F.col("_low_description"), rule.getField("logic"))
         & F.when(F.coalesce(pattern, F.lit("")) == "", F.lit(True)).otherwise(fits_pattern)
-        & _keywords_hold(part("raw_text_contains"), raw_text, rule.getField("logic"))
+        & _keywords_hold(rule.getField("raw_text_words"), F.col("_low_raw_text"), rule.getField("logic"))
         & (part("amount_between").isNull() | (amount.isNotNull() & ~outside))
         & (~rule.getField("has_amount_equals") | F.coalesce(amount == part("amount_equals"), F.lit(False)))
         & (
@@ -94,7 +103,8 @@ def conditions_hold(
 
 FOLDED = ["type", "category_id", "account_id", "transfer_to_account_id", "transfer_id", "notes"]
 RULE_FIELDS = ["rule_id", "name", "priority", "transfer_to_account_id", "actions",
-               "cond", "act", "has_amount_equals", "has_set_category", "logic"]
+               "cond", "act", "has_amount_equals", "has_set_category", "logic",
+               "description_words", "raw_text_words"]
 
 
 def rules_per_user(rules: DataFrame, rule_types: list[str] | None, out: str = "rules") -> DataFrame:
@@ -104,14 +114,16 @@ def rules_per_user(rules: DataFrame, rule_types: list[str] | None, out: str = "r
         chosen = chosen.filter(F.col("rule_type").isin(*rule_types))
     else:
         chosen = chosen.filter(~F.col("rule_type").eqNullSafe(F.lit("account_detection")))
+    typed = typed_rules(chosen).withColumns(
+        {
+            "description_words": F.transform("cond.description_contains", F.lower),
+            "raw_text_words": F.transform("cond.raw_text_contains", F.lower),
+        }
+    )
     payload = F.struct(*[F.col(f) for f in RULE_FIELDS]).alias("rule")
     entry = F.struct((-F.col("priority")).alias("rank"), F.col("rule_id"), payload)
     ordered = F.sort_array(F.collect_list(entry))
-    return (
-        typed_rules(chosen)
-        .groupBy("user_id")
-        .agg(F.transform(ordered, lambda e: e["rule"]).alias(out))
-    )
+    return typed.groupBy("user_id").agg(F.transform(ordered, lambda e: e["rule"]).alias(out))
 
 
 def match_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -122,10 +134,10 @@ def match_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     fitting = F.filter(
         "rules",
         lambda r: conditions_hold(
-            r, F.col("description"), F.col("raw_text"), F.col("amount"),
-            F.col("source"), F.col("account_id"),
+            r, F.col("description"), F.col("amount"), F.col("source"), F.col("account_id")
         ),
     )
+    joined = _with_lowered(joined, F.col("description"), F.col("raw_text"))
     return joined.select(
         *transactions.columns, F.explode(fitting).alias("rule")
     ).select(*transactions.columns, "rule.rule_id", "rule.name", "rule.priority")
@@ -190,13 +202,13 @@ def apply_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
             ).alias("applied"),
         )
         fits = conditions_hold(
-            rule, F.col("description"), F.col("raw_text"), F.col("amount"),
-            F.col("source"), acc["account_id"],
+            rule, F.col("description"), F.col("amount"), F.col("source"), acc["account_id"]
         )
         return F.when(fits, changed).otherwise(acc)
 
     todo = F.when(earlier.isNull(), F.col("rules"))
     # a NULL array (no rules, or rules already applied) folds to NULL and keeps the record
+    joined = _with_lowered(joined, F.col("description"), F.col("raw_text"))
     folded = joined.withColumn("_done", F.aggregate(todo, start, step))
 
     def final(name: str) -> Column:
@@ -229,13 +241,16 @@ def detect_accounts(messages: DataFrame, rules: DataFrame) -> DataFrame:
     fitting = F.filter(
         "detection_rules",
         lambda r: conditions_hold(
-            r, nothing.cast("string"), F.col("text"), nothing.cast("decimal(15,2)"),
+            r, nothing.cast("string"), nothing.cast("decimal(15,2)"),
             nothing.cast("string"), nothing.cast("string"),
         ),
     )
     first = F.get(fitting, F.lit(0))
+    joined = lookup(
+        messages, per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True
+    )
     return (
-        lookup(messages, per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True)
+        _with_lowered(joined, nothing.cast("string"), F.col("text"))
         .withColumn("_rule", first)
         .withColumns(
             {
@@ -244,7 +259,7 @@ def detect_accounts(messages: DataFrame, rules: DataFrame) -> DataFrame:
                 "detected_account_id": F.nullif(F.col("_rule.act.set_account"), F.lit("")),
             }
         )
-        .drop("_rule", "detection_rules")
+        .drop("_rule", "detection_rules", "_low_description", "_low_raw_text")
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import sketch_dedup
+from tallywell.llm import packing, sharding, sketch_dedup, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,18 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op8_sketch_dedup(spark, sf):
     return sketch_dedup.near_duplicates(read(spark, sf, "documents"), words=2, percent=80)
+
+
+@query
+def op1_telephony(spark, sf):
+    return telephony.transcoded(read(spark, sf, "documents"))
+
+
+@query
+def op2_jump_shards(spark, sf):
+    return sharding.sharded(read(spark, sf, "documents"), shards=40)
+
+
+@query
+def op3_vector_packing(spark, sf):
+    return packing.packed(read(spark, sf, "documents"), capacity=2048)

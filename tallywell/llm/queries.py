@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import packing, sharding, sketch_dedup, telephony
+from tallywell.llm import boosting, packing, sharding, sketch_dedup, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,9 @@ def op2_jump_shards(spark, sf):
 @query
 def op3_vector_packing(spark, sf):
     return packing.packed(read(spark, sf, "documents"), capacity=2048)
+
+
+@query
+def op4_boosted_quality(spark, sf):
+    docs = read(spark, sf, "documents")
+    return boosting.scored(docs, boosting.fitted(docs, read(spark, sf, "labels")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import boosting, packing, sharding, sketch_dedup, telephony
+from tallywell.llm import boosting, packing, randomness, sharding, sketch_dedup, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op3_vector_packing(spark, sf):
 def op4_boosted_quality(spark, sf):
     docs = read(spark, sf, "documents")
     return boosting.scored(docs, boosting.fitted(docs, read(spark, sf, "labels")))
+
+
+@query
+def op9_randomness_secrets(spark, sf):
+    return randomness.scanned(read(spark, sf, "documents"))

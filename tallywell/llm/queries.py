@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import boosting, packing, randomness, sharding, sketch_dedup, telephony
+from tallywell.llm import boosting, licenses, mixing, packing, pii, randomness, sharding, sketch_dedup, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,25 @@ def op4_boosted_quality(spark, sf):
 @query
 def op9_randomness_secrets(spark, sf):
     return randomness.scanned(read(spark, sf, "documents"))
+
+
+@query
+def op10_bilstm_pii(spark, sf):
+    docs = read(spark, sf, "documents")
+    return pii.scanned(docs, pii.fitted(docs))
+
+
+@query
+def op5_licence_dice(spark, sf):
+    return licenses.scanned(read(spark, sf, "documents"))
+
+
+ORACLES["op5_licence_dice"] = licenses.oracle()
+
+
+@query
+def op6_source_mixture(spark, sf):
+    return mixing.mixed(read(spark, sf, "documents"))
+
+
+ORACLES["op6_source_mixture"] = mixing.oracle()

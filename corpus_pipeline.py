@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import sketch_dedup
+from tallywell.llm import boosting, mixing, packing, randomness, sketch_dedup
 from tallywell.llm.common import table
 
 #: Word shingles and similarity of the near-copy stage.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+SEQUENCE_TOKENS = 2048
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return boosting.good_documents(docs, boosting.fitted(docs, labels))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +25,27 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sketch_dedup.first_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are replaced by a mark."""
+    return randomness.without_secrets(docs)
+
+
+def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in sequences; a document taken twice is packed twice."""
+    return packing.packed(docs, SEQUENCE_TOKENS)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
     ("near_copies", dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixture", mixture_stage),
+    ("packing", packing_stage),
 ]
 
 #: Trees, sketches and tokens are not SQL; tests/llm/test_pipeline.py compares the stages with brute force.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import boosting, licenses, mixing, packing, pii, randomness, sharding, sketch_dedup, telephony
+from tallywell.llm import boosting, licenses, mixing, nn_descent, packing, pii, randomness, sharding, sketch_dedup, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op6_source_mixture(spark, sf):
 
 
 ORACLES["op6_source_mixture"] = mixing.oracle()
+
+
+@query
+def op7_nn_descent(spark, sf):
+    return nn_descent.near_duplicates(read(spark, sf, "embeddings"), threshold=0.95)

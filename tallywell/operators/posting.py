@@ -69,15 +69,12 @@ def account_sums(ledger: DataFrame) -> DataFrame:
 
 
 def running_balance(
-    ledger: DataFrame, accounts: DataFrame, levels: list[Column], order: list[str]
+    ledger: DataFrame, accounts: DataFrame, order: list[str]
 ) -> DataFrame:
-    """Each effect with its account's balance after it, in posting ``order``.
-
-    ``levels`` cut an account's history into chunks that follow the posting order.
-    """
+    """Each effect with its account's balance after it, in posting ``order``."""
     effects = balance_effects(ledger).filter(F.col("effect_account_id").isNotNull())
     total = running_total(
-        effects, ["effect_account_id"], levels, order, F.col("delta"), "moved"
+        effects, ["effect_account_id"], order, F.col("delta"), "moved"
     )
     opening = accounts.select(
         F.col("account_id").alias("effect_account_id"),

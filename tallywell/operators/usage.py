@@ -12,13 +12,13 @@ from tallywell.plans.skew import lookup, running_total
 
 
 def monthly_usage(parses: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Parses and postings per (user, UTC arrival month), one pre-aggregated pass over both."""
+    """Parse requests by arrival and ledger rows by creation, per user and UTC month, in one pre-aggregated pass."""
     counted = parses.select(
         "user_id", usage_month(F.col("received_at")).alias("month"),
         F.lit(1).alias("parses"), F.lit(0).alias("postings"),
     ).unionAll(
         ledger.select(
-            "user_id", usage_month(F.col("received_at")).alias("month"), F.lit(0), F.lit(1)
+            "user_id", usage_month(F.col("created_at")).alias("month"), F.lit(0), F.lit(1)
         )
     )
     return counted.groupBy("user_id", "month").agg(
@@ -55,13 +55,12 @@ def quota_admission(
 
     The n-th request of a month is admitted while prior + n stays within the limit; a denied
     one uses nothing up. Pro users are always admitted and see limit -1. The limit comes from
-    the settings, not from the stored month. Requests are numbered through day and minute
-    chunks, so one user with most of the requests is still many tasks.
+    the settings, not from the stored month. Requests are numbered through ranges of the
+    arrival order, so one user with most of the requests, or one moment, is still many tasks.
     """
     ordered = running_total(
         requests.withColumn("month", usage_month(F.col("received_at"))),
         ["user_id", "month"],
-        [F.to_date("received_at"), F.hour("received_at") * 60 + F.minute("received_at")],
         ["received_at", "request_id"],
         F.lit(1).cast("bigint"),
         "n",
@@ -91,15 +90,27 @@ def retained(usage: DataFrame, now: Column) -> DataFrame:
 RESOURCES = ["ai_parses", "transactions", "accounts", "categories", "automations"]
 
 
-def usage_vs_limits(counts: DataFrame, settings: DataFrame) -> DataFrame:
-    """(user, resource, used) beside the resource's limit from the settings."""
+MONTHLY = ["ai_parses", "transactions"]  # limits per calendar month; the others are totals
+
+
+def in_month(df: DataFrame, when: str, now: Column) -> DataFrame:
+    """The rows whose moment lies in the month of ``now``."""
+    return df.filter(usage_month(F.col(when)) == usage_month(now))
+
+
+def usage_vs_limits(counts: DataFrame, settings: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(user, resource, used) beside the resource's limit; an active pro plan has none, shown as -1.
+
+    Monthly resources are counted over the current month by whoever makes ``counts``.
+    """
     limits = settings.select(
         F.regexp_replace(F.regexp_replace("key", "^free_", ""), "_limit$", "").alias("resource"),
         F.col("value").try_cast("bigint").alias("limit"),
     ).filter(F.col("resource").isin(*RESOURCES))
-    return lookup(counts, limits, ["resource"]).withColumn(
-        "over_limit", F.coalesce(F.col("used") > F.col("limit"), F.lit(False))
-    )
+    known = with_pro_flag(lookup(counts, limits, ["resource"]), subscriptions)
+    over = ~F.col("is_pro") & F.coalesce(F.col("used") > F.col("limit"), F.lit(False))
+    shown = F.when(F.col("is_pro"), F.lit(-1).cast("bigint")).otherwise(F.col("limit"))
+    return known.select("user_id", "resource", "used", shown.alias("limit"), over.alias("over_limit"))
 
 
 def resource_counts(**tables: DataFrame) -> DataFrame:
@@ -115,16 +126,26 @@ def resource_counts(**tables: DataFrame) -> DataFrame:
 
 
 def enforce_limit(
-    existing: DataFrame, batch: DataFrame, batch_key: str, limit: Column
+    existing: DataFrame, batch: DataFrame, batch_key: str, limit: Column, subscriptions: DataFrame
 ) -> DataFrame:
-    """Per user and batch: whether taking the whole batch would exceed the limit."""
+    """Per user, in the order of batches: whether a whole batch still fits, given those accepted before it.
+
+    A refused batch takes nothing up. Active pro users are never refused. The fold runs over
+    one entry per batch, not per row.
+    """
     held = existing.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
     wanted = batch.groupBy("user_id", batch_key).agg(F.count(F.lit(1)).alias("wanted"))
-    held_now = F.coalesce("held", F.lit(0).cast("bigint"))
-    return wanted.join(held, "user_id", "left").select(
-        "user_id",
-        batch_key,
-        held_now.alias("held"),
-        "wanted",
-        (held_now + F.col("wanted") <= limit).alias("accepted"),
-    )
+    entry = F.struct(F.col(batch_key), F.col("wanted"))
+    users = wanted.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("batches")).join(held, "user_id", "left")
+    users = with_pro_flag(users.withColumn("held", F.coalesce("held", F.lit(0).cast("bigint"))), subscriptions)
+    users = users.withColumn("cap", F.when(F.col("is_pro"), F.lit(2**62)).otherwise(limit.cast("bigint")))
+
+    def step(done: Column, b: Column) -> Column:
+        fits = done["at"] + b["wanted"] <= F.col("cap")
+        row = F.struct(b[batch_key].alias(batch_key), done["at"].alias("held"), b["wanted"].alias("wanted"), fits.alias("accepted"))
+        return F.struct(F.when(fits, done["at"] + b["wanted"]).otherwise(done["at"]).alias("at"), F.concat(done["rows"], F.array(row)).alias("rows"))
+
+    kind = f"array<struct<{batch_key}:{dict(batch.dtypes)[batch_key]},held:bigint,wanted:bigint,accepted:boolean>>"
+    start = F.struct(F.col("held").alias("at"), F.array().cast(kind).alias("rows"))
+    folded = F.aggregate("batches", start, step, lambda done: done["rows"])
+    return users.select("user_id", F.explode(folded).alias("r")).select("user_id", f"r.{batch_key}", "r.held", "r.wanted", "r.accepted")

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from tallywell.session import materialise
 
-BROADCAST_ROWS = 200_000  # narrow rows: some tens of megabytes at most
+BROADCAST_ROWS = 200_000
 BROADCAST_RULES = 50_000  # rule rows carry JSON documents, so fewer of them
-HOT_KEYS = 1_000  # keys treated one by one; their rows fit any executor
+BROADCAST_BYTES = 64 << 20  # of the rows as JSON text
+HOT_SHARE = 2_000  # a key with a larger share of the rows than 1 / HOT_SHARE is hot, so there are fewer than that
 HOT_MIN_ROWS = 1_000_000  # below this a key is one ordinary task's work
-SPREAD = 256  # slices a hot or NULL key is cut into
 ROW_IDS = ("message_id", "id", "request_id", "row_id")  # what tells rows of one key apart
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table holds at most ``rows`` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a table has at most ``rows`` rows and few enough bytes; reads no more than it needs to tell."""
+    head = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    )
+    seen = head.first()
+    return seen["n"] <= rows and (seen["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def lookup(
@@ -42,20 +46,13 @@ def lookup(
 
 
 def heavy_keys(facts: DataFrame, on: Sequence[str], min_rows: int) -> DataFrame | None:
-    """The keys with at least ``min_rows`` rows, heaviest first, at most ``HOT_KEYS`` of them.
+    """The keys with at least ``min_rows`` rows and a 1 / HOT_SHARE share: fewer than HOT_SHARE keys.
 
-    Counted with partial sums on the map side over the key columns alone. The few keys found
+    Counted with partial sums on the map side over the key columns alone. The keys found
     come back as a literal table, so the count does not run again inside the join.
     """
-    heavy = (
-        facts.dropna(subset=list(on))
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
-        .select(*on)
-    )
+    least = max(min_rows, facts.count() // HOT_SHARE + 1) if min_rows > 1 else 1
+    heavy = facts.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*on)
     found = heavy.collect()
     return facts.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
@@ -70,18 +67,23 @@ def hot_split_join(
 ) -> DataFrame:
     """Shuffle join to a unique-key table, exact for any skew on the fact side.
 
-    The heaviest keys get their dimension row by broadcast; their fact rows, and rows with a
-    NULL key, carry a non-zero slice number so that they spread over all partitions instead
-    of meeting in one. Every other row joins by plain equality in the same pass. ``counted``
+    Hot keys get their dimension row by broadcast; their fact rows, and rows with a NULL key,
+    carry a hash of their own as slice, so that they spread over all partitions instead of
+    meeting in one. Every other row joins by plain equality in the same pass. ``counted``
     may give a table that is cheaper to read than the facts and holds the same keys as often.
+
+    The dimension's slice is 0 for every row, but computed from its key: a literal would be
+    folded into a filter, and the rows would be dealt out by the key alone.
     """
     on = list(on)
     values = [c for c in dim.columns if c not in on]
     spread_by = [c for c in ROW_IDS if c in facts.columns] or [
         f.name for f in facts.schema.fields if f.dataType.typeName() != "map"
     ]
-    slice_no = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)) + 1
+    own = F.xxhash64(*spread_by)
+    slice_no = F.when(own == 0, F.lit(1).cast("bigint")).otherwise(own)
     no_slice = F.lit(0).cast("bigint")
+    dim_slice = F.pmod(F.xxhash64(*on), F.lit(1).cast("bigint"))
     no_key = F.lit(False)
     for name in on:
         no_key = no_key | F.col(name).isNull()
@@ -100,7 +102,7 @@ def hot_split_join(
             .withColumn("_slice", F.when(is_hot | no_key, slice_no).otherwise(no_slice))
         )
         row = F.when(is_hot, F.col("_hot")).otherwise(F.col("_row"))
-    joined = marked.join(packed.withColumn("_slice", no_slice), [*on, "_slice"], "left")
+    joined = marked.join(packed.withColumn("_slice", dim_slice), [*on, "_slice"], "left")
     if how == "inner":
         joined = joined.filter(row.getField("_hit"))
     out = [F.col(c) for c in on]
@@ -109,35 +111,27 @@ def hot_split_join(
     return joined.select(*out)
 
 
-def running_total(
-    rows: DataFrame,
-    keys: Sequence[str],
-    levels: Sequence[Column],
-    order: Sequence[str],
-    value: Column,
-    out: str,
-) -> DataFrame:
+def running_total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order``, without one task per key.
 
-    ``levels`` are expressions whose tuple never decreases along ``order`` (day and minute,
-    day and a block of sequence numbers). They cut a key's rows into chunks: chunk sums are
-    pre-aggregated on the map side, one window over a key's chunk sums gives what is carried
-    into each, and the row-level window runs inside a chunk. Choose levels that keep a chunk
-    within one task's work and a key's chunks within some millions. The fact rows are
-    shuffled once, by (key, chunk).
+    The rows are dealt out in ranges of (key, order) and written down with the number of their
+    range, so a key with most of the rows, or with most of them at one moment, is cut evenly.
+    A range's sums per key are carried forward over the ranges of the key, of which there
+    are no more than partitions, and the row-level window runs inside a range. ``order``
+    must tell rows of a key apart, or ties are summed up in any order.
     """
     keys = list(keys)
-    names = [f"_chunk{i}" for i in range(len(levels))]
-    rows = rows.withColumns({**dict(zip(names, levels)), "_value": value})
-    chunk = keys + names
-    sums = rows.groupBy(*chunk).agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*chunk, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
-    inside = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    dealt = rows.withColumn("_value", value).repartitionByRange(*keys, *order)
+    placed = materialise(dealt.withColumn("_chunk", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("_value").over(inside) + F.col("_carry")
-    return rows.join(carried, chunk).withColumn(out, total).drop(*names, "_carry", "_value")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    carried = carried.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_chunk").alias("_at"), "_carry")
+    joined = placed.join(carried, [*same, F.col("_chunk") == F.col("_at")])
+    return joined.withColumn(out, total).drop("_chunk", "_at", "_carry", "_value", *[f"_{k}" for k in keys])
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

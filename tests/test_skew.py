@@ -23,18 +23,41 @@ def test_hot_split_join_equals_plain_join(spark):
             assert sorted(map(str, split.select("i", "k", "v", "w").collect())) == plain
 
 
-def test_hot_keys_do_not_meet_in_one_partition(spark):
-    facts = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    dim = spark.range(50_000).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("w"))
+def test_hot_and_null_keys_do_not_meet_in_one_partition(spark, tmp_path):
+    """Facts from Parquet, so that nothing is folded: a hot key with a row in the other table, one without, and NULLs."""
+    n, parts = 40_000, 20
+    key = F.when(F.col("id") % 10 < 3, 1).when(F.col("id") % 10 < 6, -1).when(F.col("id") % 10 < 9, None).otherwise(F.col("id"))
+    spark.range(n).select(key.cast("int").alias("k"), "id").write.parquet(f"{tmp_path}/facts")
+    spark.range(50_000).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("w")).write.parquet(f"{tmp_path}/dim")
+    facts, dim = spark.read.parquet(f"{tmp_path}/facts"), spark.read.parquet(f"{tmp_path}/dim")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions",)}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        joined = skew.hot_split_join(facts, dim, ["k"], "left", min_rows=10)
+        joined = skew.hot_split_join(facts, dim, ["k"], "left", min_rows=1000)
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 10_000
+        spark.conf.set("spark.sql.shuffle.partitions", before["spark.sql.shuffle.partitions"])
+    assert "SortMergeJoin" in plan and len(sizes) == parts
+    assert sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) <= 2 * n / parts
+
+
+def test_hot_keys_are_few_whatever_their_number(spark):
+    facts = spark.range(30_000).select((F.col("id") % 5000).alias("k"))
+    assert skew.heavy_keys(facts, ["k"], 5) is None  # none holds more than its share
+    some = facts.unionByName(spark.range(2_000).select(F.lit(7).cast("long").alias("k")))
+    assert [r.k for r in skew.heavy_keys(some, ["k"], 5).collect()] == [7]
+
+
+def test_small_is_a_matter_of_bytes_too(spark, monkeypatch):
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 2_000).alias("text"))
+    assert skew.is_small(wide, 10) and not skew.is_small(wide, 9)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10_000)
+    assert not skew.is_small(wide, 10)
 
 
 def test_lookup_of_a_large_table_does_not_broadcast_it(spark, monkeypatch):
@@ -48,8 +71,7 @@ def test_running_total(spark):
     draw = random.Random(2)
     rows = [(draw.choice(["a", "a", "b"]), draw.randrange(40), i, draw.randrange(-5, 9)) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, t int, id int, v int")
-    levels = [F.floor(F.col("t") / 10), F.col("t"), F.floor(F.col("id") / 50)]
-    got = {r.id: r.total for r in skew.running_total(df, ["k"], levels, ["t", "id"], F.col("v"), "total").collect()}
+    got = {r.id: r.total for r in skew.running_total(df, ["k"], ["t", "id"], F.col("v"), "total").collect()}
     want, sums = {}, defaultdict(int)
     for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         sums[k] += v
@@ -57,6 +79,19 @@ def test_running_total(spark):
     assert got == want
 
 
+def test_running_total_cuts_a_burst_at_one_moment(spark):
+    """One key, one stamp, many rows: still many ranges, and the numbers are those of the order."""
+    rows = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(5).alias("t"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = skew.running_total(rows, ["k"], ["t", "id"], F.lit(1), "n")
+        assert out.filter("n = id + 1").count() == 20_000
+        sizes = rows.repartitionByRange("k", "t", "id").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 4 and max(r["count"] for r in sizes) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def anchors_one_by_one(seconds):
     out = []
     for s in sorted(set(seconds)):

@@ -47,9 +47,9 @@ def wide_trim(text: str) -> str:
 EXCERPT = f"""
 CASE WHEN {first('payload', fv.EMAIL_PATTERNS, 0)} IS NOT NULL
   THEN split_part(substring(payload, CAST(instr(payload, {first('payload', fv.EMAIL_PATTERNS, 0)}) AS INT), 200), chr(10), 1)
-  ELSE trim(list_filter(string_split(payload, chr(10)),
-    lambda l: contains(lower(l), 'bancolombia') AND regexp_matches(l, '[\\d,.]+'))[1]) END"""
-COMMAND = r"^/(?:gasto|expense)(?:@\S+)?(?: |$)"
+  ELSE {wide_trim("list_filter(string_split(payload, chr(10)), lambda l: contains(lower(l), 'bancolombia') AND regexp_matches(l, '[0-9,.]+'))[1]")} END"""
+COMMAND = r"^/(?:gasto|expense)(?:@\S+)?(?:\s|$)"
+SERVICE = r"^/(?:start|help)(?:@\S+)?(?:\s|$)"
 
 SHAPED = f"""
 paid AS (
@@ -68,13 +68,15 @@ shaped AS (
       ELSE coalesce(given, 'api') END AS source,
     CASE WHEN channel = 'email' AND NOT contains(lower(payload), 'bancolombia') THEN 'not_bancolombia'
       WHEN channel = 'email' AND text IS NULL THEN 'no_text_extracted'
+      WHEN channel = 'chat' AND regexp_matches(text, {q(SERVICE)}) THEN 'Service command'
       WHEN coalesce(text, '') = '' THEN 'Missing text' END AS problem
   FROM cut)"""
 
 
 def _skip() -> str:
     whens = " ".join(f"WHEN {has('f', words)} THEN {q(name)}" for name, words in fv.SKIP_PHRASES)
-    return f"CASE {whens} END"
+    skipped = f"CASE {whens} WHEN regexp_matches(f, {q(fv.REMINDER)}) THEN 'informational' END"
+    return f"CASE WHEN NOT regexp_matches(f, {q(fv.DONE_WITH_AMOUNT)}) THEN {skipped} END"
 
 
 def _thousands(d: str) -> str:

@@ -42,7 +42,7 @@ oracle("bulk_explode", SHAPE, READ, select="""
 SELECT message_id, CAST(position AS BIGINT) AS position, text, 'sms-bulk' AS source FROM (
   SELECT message_id, generate_subscripts(l, 1) - 1 AS position, unnest(l) AS text FROM (
     SELECT message_id, CASE message_id % 4 WHEN 0 THEN [text, ' ok '] WHEN 1 THEN [text, channel] WHEN 2 THEN [channel, text]
-      ELSE list_filter(string_split(text || chr(10) || ' ' || chr(10) || 'fin', chr(10)), lambda x: trim(x) <> '') END AS l
+      ELSE list_filter(string_split(text || chr(13) || chr(10) || chr(9) || chr(13) || chr(10) || 'fin', chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '') END AS l
     FROM readable))""")
 oracle("parse_amount_source", MESSAGES, select="SELECT message_id, amount, parsed_source, description FROM parsed")
 oracle("parse_bank_fields", MESSAGES, select="SELECT message_id, bank, payment_type, account_type, last_four, confidence FROM parsed")
@@ -284,9 +284,9 @@ FROM monthly m LEFT JOIN account a ON a.account_id = m.account_id""")
 # -- usage -------------------------------------------------------------------------------
 MONTHLY = """
 monthly AS (SELECT user_id, strftime(received_at, '%Y-%m') AS month, CAST(sum(p) AS BIGINT) AS ai_parses_used, CAST(sum(t) AS BIGINT) AS transactions_count FROM (
-  SELECT user_id, received_at, 1 AS p, 0 AS t FROM parse_request UNION ALL SELECT user_id, received_at, 0, 1 FROM message) GROUP BY ALL)"""
-oracle("usage_monthly", REQUEST, MESSAGE, MONTHLY, select="SELECT * FROM monthly")
-oracle("usage_merged", REQUEST, MESSAGE, MONTHLY, USAGE, select="""
+  SELECT user_id, received_at, 1 AS p, 0 AS t FROM parse_request UNION ALL SELECT user_id, created_at, 0, 1 FROM txn) GROUP BY ALL)"""
+oracle("usage_monthly", REQUEST, TXN, MONTHLY, select="SELECT * FROM monthly")
+oracle("usage_merged", REQUEST, TXN, MONTHLY, USAGE, select="""
 SELECT user_id, month, CAST(coalesce(s.ai_parses_used, 0) + coalesce(m.ai_parses_used, 0) AS BIGINT) AS ai_parses_used, coalesce(s.ai_parses_limit, 15) AS ai_parses_limit,
   CAST(coalesce(s.transactions_count, 0) + coalesce(m.transactions_count, 0) AS BIGINT) AS transactions_count, coalesce(s.transactions_limit, 50) AS transactions_limit
 FROM usage_stored s FULL JOIN monthly m USING (user_id, month)""")
@@ -297,14 +297,24 @@ known AS (SELECT n.*, coalesce(u.ai_parses_used, 0) AS prior, EXISTS (SELECT 1 F
 SELECT request_id, user_id, month, pro OR prior + n <= 15 AS allowed, CAST(CASE WHEN pro THEN prior + n ELSE least(prior + n, greatest(15, prior)) END AS BIGINT) AS used,
   CAST(CASE WHEN pro THEN -1 ELSE 15 END AS BIGINT) AS "limit" FROM known""")
 oracle("usage_retention", USAGE, select="SELECT user_id, month FROM usage_stored WHERE month >= '2023-02'")
-oracle("usage_vs_limits", ACCOUNT, LIVE_ACCOUNT, CATEGORY, LIVE_CATEGORY, RULES, TXN, REQUEST, select="""
-SELECT user_id, resource, used, CAST("limit" AS BIGINT) AS "limit", used > "limit" AS over_limit FROM (
+PRO = "pro AS (SELECT user_id FROM subscription WHERE plan = 'pro' AND status = 'active')"
+oracle("usage_vs_limits", ACCOUNT, LIVE_ACCOUNT, CATEGORY, LIVE_CATEGORY, RULES, TXN, REQUEST, SUBSCRIPTION, PRO, select="""
+SELECT user_id, resource, used, CAST(CASE WHEN free THEN "limit" ELSE -1 END AS BIGINT) AS "limit", free AND used > "limit" AS over_limit
+FROM (SELECT *, user_id NOT IN (SELECT user_id FROM pro) AS free FROM (
   SELECT user_id, 'accounts' AS resource, count(*) AS used, 4 AS "limit" FROM live_account GROUP BY ALL UNION ALL
   SELECT user_id, 'categories', count(*), 15 FROM live_category GROUP BY ALL UNION ALL SELECT user_id, 'automations', count(*), 5 FROM live_rule GROUP BY ALL UNION ALL
-  SELECT user_id, 'transactions', count(*), 50 FROM txn WHERE deleted_at IS NULL GROUP BY ALL UNION ALL SELECT user_id, 'ai_parses', count(*), 15 FROM parse_request GROUP BY ALL)""")
-oracle("limit_enforcement", TXN, IMPORT, select="""
-SELECT w.user_id, w.import_id, coalesce(h.n, 0) AS held, w.n AS wanted, coalesce(h.n, 0) + w.n <= 5000 AS accepted
-FROM (SELECT user_id, import_id, count(*) AS n FROM import_row GROUP BY ALL) w LEFT JOIN (SELECT user_id, count(*) AS n FROM txn WHERE deleted_at IS NULL GROUP BY ALL) h USING (user_id)""")
+  SELECT user_id, 'transactions', count(*), 50 FROM txn WHERE strftime(created_at, '%Y-%m') = '1998-07' GROUP BY ALL UNION ALL
+  SELECT user_id, 'ai_parses', count(*), 15 FROM parse_request WHERE strftime(received_at, '%Y-%m') = '2024-01' GROUP BY ALL))""")
+oracle("limit_enforcement", CATEGORY, LIVE_CATEGORY, IMPORT, SUBSCRIPTION, PRO, """
+counted AS (SELECT user_id, import_id, count(DISTINCT coalesce("Category", '')) AS n FROM import_row GROUP BY ALL),
+wanted AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY import_id) AS k FROM counted),
+known AS (SELECT w.*, CASE WHEN user_id IN (SELECT user_id FROM pro) THEN 1000000000 ELSE 15 END AS cap, (SELECT count(*) FROM live_category c WHERE c.user_id = w.user_id) AS own FROM wanted w),
+walk AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS k, '' AS import_id, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS n, false AS fits, own AS at FROM known WHERE k = 1
+  UNION ALL
+  SELECT b.user_id, b.k, b.import_id, w.at, b.n, w.at + b.n <= b.cap, w.at + CASE WHEN w.at + b.n <= b.cap THEN b.n ELSE 0 END
+  FROM walk w JOIN known b ON b.user_id = w.user_id AND b.k = w.k + 1)""", recursive=True, select="""
+SELECT user_id, import_id, held, n AS wanted, fits AS accepted FROM walk WHERE k > 0""")
 
 # -- statements --------------------------------------------------------------------------
 STATEMENT_SLUG = 'CASE "Category" ' + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in fv.STATEMENT_CATEGORIES.items()) + " ELSE 'other' END"

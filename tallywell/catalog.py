@@ -56,6 +56,15 @@ def run_ts():
     return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 
 
+def ledger_now():
+    """A moment in the ledger's last months; the messages are of another year."""
+    return F.lit("1998-07-15 00:00:00").cast("timestamp_ntz")
+
+
+def message_now():
+    return F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+
+
 # -- scope, owners, settings -------------------------------------------------------------
 @query
 def live_accounts(spark, sf):
@@ -103,7 +112,7 @@ def bulk_explode(spark, sf):
         "message_id", F.to_json(F.array("text", F.lit(" ok "))).alias("listed"),
         F.to_json(F.struct(F.array("text", "channel").alias("messages"))).alias("wrapped"),
         F.to_json(F.struct(F.col("channel").alias("a"), F.col("text").alias("b"))).alias("object"),
-        F.concat(F.col("text"), F.lit("\n \nfin")).alias("lines"),
+        F.concat(F.col("text"), F.lit("\r\n\t\r\nfin")).alias("lines"),
     )
     kind = F.col("message_id") % 4
     raw = (
@@ -580,10 +589,8 @@ def account_sums(spark, sf):
 
 @query
 def running_balance(spark, sf):
-    # rows of a day follow their sequence number, so a chunk never holds more than 2^20 of it
-    levels = [F.col("created_at"), F.shiftright("seq", 20)]
     total = posting.running_balance(
-        st.stage(spark, sf, "txn"), st.stage(spark, sf, "account"), levels, ["created_at", "seq"]
+        st.stage(spark, sf, "txn"), st.stage(spark, sf, "account"), ["created_at", "seq"]
     )
     return total.select("id", "effect_account_id", "delta", "balance_after")
 
@@ -597,12 +604,12 @@ def month_closing(spark, sf):
 @query
 def usage_monthly(spark, sf):
     requests = st.stage(spark, sf, "parse_request")
-    return usage.monthly_usage(requests, st.stage(spark, sf, "message"))
+    return usage.monthly_usage(requests, st.stage(spark, sf, "txn"))
 
 
 @query
 def usage_merged(spark, sf):
-    new = usage.monthly_usage(st.stage(spark, sf, "parse_request"), st.stage(spark, sf, "message"))
+    new = usage.monthly_usage(st.stage(spark, sf, "parse_request"), st.stage(spark, sf, "txn"))
     return usage.merge_usage(st.stage(spark, sf, "usage_stored"), new, st.settings(spark))
 
 
@@ -625,17 +632,19 @@ def usage_vs_limits(spark, sf):
         accounts=resolve.live(st.stage(spark, sf, "account")),
         categories=resolve.live(st.stage(spark, sf, "category")),
         automations=resolve.live(st.rules(spark, sf)),
-        transactions=resolve.not_deleted(st.stage(spark, sf, "txn")),
-        ai_parses=st.stage(spark, sf, "parse_request"),
+        transactions=usage.in_month(st.stage(spark, sf, "txn"), "created_at", ledger_now()),
+        ai_parses=usage.in_month(st.stage(spark, sf, "parse_request"), "received_at", message_now()),
     )
-    return usage.usage_vs_limits(counts, st.settings(spark))
+    return usage.usage_vs_limits(counts, st.settings(spark), st.stage(spark, sf, "subscription"))
 
 
 @query
 def limit_enforcement(spark, sf):
-    held = resolve.not_deleted(st.stage(spark, sf, "txn"))
-    limit = resolve.setting(st.settings(spark), "free_transactions_limit", 50) * 100
-    return usage.enforce_limit(held, st.stage(spark, sf, "import_row"), "import_id", limit)
+    """Imports that bring categories of their own, against the limit of categories."""
+    held = resolve.live(st.stage(spark, sf, "category"))
+    wanted = st.stage(spark, sf, "import_row").select("user_id", "import_id", "Category").distinct()
+    limit = resolve.setting(st.settings(spark), "free_categories_limit", 15)
+    return usage.enforce_limit(held, wanted, "import_id", limit, st.stage(spark, sf, "subscription"))
 
 
 # -- statements --------------------------------------------------------------------------

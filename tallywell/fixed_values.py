@@ -72,10 +72,18 @@ SKIP_PHRASES = [
     ("promotional", ["activa tu tarjeta", "solicita tu credito"]),
     (
         "informational",
-        ["cuenta ha sido bloqueada", "actualizamos tus datos", "recuerda ", "extracto esta disponible"],
+        ["cuenta ha sido bloqueada", "actualizamos tus datos", "extracto esta disponible"],
     ),
 ]
 
+# A reminder opens the text; a purchase, payment, withdrawal or transfer with its amount is a transaction whatever else
+# the text says.
+REMINDER = r"^(?:[a-z ]+: *)?recuerda "
+DONE_WITH_AMOUNT = (
+    r"\b(?:compraste|pagaste|retiraste|transferiste|enviaste|realizaste una transferencia)\b"
+    r"(?: +(?:por +)?| +[^.\n$]*(?:\$|\bcop) *|[^.\n$]*\$ *)\d"
+)
+
 # ---- fixed values: merchant words by category ------------------------------------------
 MERCHANT_WORDS = {
     "bar-cafe": ["juan valdez", "starbucks", "oma"],

@@ -14,6 +14,8 @@ from tallywell.fixed_values import (
     MERCHANT_WORDS,
     MONTH_WORDS,
     PLAIN_WORDS,
+    DONE_WITH_AMOUNT,
+    REMINDER,
     SKIP_PHRASES,
     WEEKDAY_WORDS,
 )
@@ -267,10 +269,11 @@ def original_time(folded: Column) -> Column:
 
 # -- skip reason, description, confidence ------------------------------------------------
 def skip_reason(folded: Column) -> Column:
-    reason = F.lit(None).cast("string")
+    """Why a text is no transaction: a telling phrase, unless the text states a payment with its amount."""
+    reason = F.when(folded.rlike(REMINDER), SKIP_PHRASES[-1][0])
     for name, phrases in reversed(SKIP_PHRASES):
         reason = F.when(has_any(folded, phrases), name).otherwise(reason)
-    return reason
+    return F.when(reason.isNotNull() & ~folded.rlike(DONE_WITH_AMOUNT), reason)
 
 
 MERCHANT = [

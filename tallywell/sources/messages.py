@@ -17,6 +17,7 @@ from tallywell.fixed_values import (
 )
 from tallywell.plans.once import once
 from tallywell.schemas import MESSAGE, STATEMENT
+from tallywell.functions.text import wide_trim
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +91,7 @@ def email_excerpt(body: Column) -> Column:
         F.split(body, "\n"),
         lambda line: F.contains(F.lower(line), F.lit(EMAIL_GATE)) & line.rlike(r"[\d,.]+"),
     )
-    return F.when(hit.isNotNull(), first_line).otherwise(F.trim(F.get(named, F.lit(0))))
+    return F.when(hit.isNotNull(), first_line).otherwise(wide_trim(F.get(named, F.lit(0))))
 
 
 def email_messages(df: DataFrame) -> DataFrame:
@@ -114,20 +115,22 @@ def email_messages(df: DataFrame) -> DataFrame:
 
 
 # -- chat --------------------------------------------------------------------------------
-COMMAND = r"^/(?:gasto|expense)(?:@\S+)?(?: |$)"
+COMMAND = r"^/(?:gasto|expense)(?:@\S+)?(?:\s|$)"
+SERVICE = r"^/(?:start|help)(?:@\S+)?(?:\s|$)"
+REJECT_SERVICE = "Service command"
 
 
 def chat_text(text: Column) -> Column:
     """Plain text as it is; after a command word, what follows its first blank."""
-    return F.when(text.rlike(COMMAND), F.regexp_extract(text, r"^\S*(?: ([\s\S]*))?$", 1)).otherwise(text)
+    return F.when(text.rlike(COMMAND), F.regexp_extract(text, r"^[^ ]*(?: ([\s\S]*))?$", 1)).otherwise(text)
 
 
 def chat_messages(df: DataFrame) -> DataFrame:
     body = chat_text(F.col("text"))
-    return df.withColumn("text", body).withColumns(
+    return df.withColumns({"text": body}).withColumns(
         {
             "channel": F.lit("chat"),
-            "problem": F.when(F.coalesce("text", F.lit("")) == "", REJECT_TEXT),
+            "problem": F.when(F.col("text").rlike(SERVICE), REJECT_SERVICE).when(F.coalesce("text", F.lit("")) == "", REJECT_TEXT),
         }
     )
 
@@ -144,7 +147,7 @@ def bulk_messages(df: DataFrame, column: str) -> DataFrame:
     as_array = F.from_json(clean, "array<string>")
     as_object = F.from_json(clean, "map<string,string>")
     listed = F.from_json(F.try_element_at(as_object, F.lit("messages")), "array<string>")
-    lines = F.filter(F.split(raw, "\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split(raw, "\n"), lambda line: wide_trim(line) != "")
     texts = (
         F.when(F.startswith(clean, F.lit("[")), as_array)
         .when(F.startswith(clean, F.lit("{")), F.coalesce(listed, F.map_values(as_object)))
@@ -180,6 +183,7 @@ def by_channel(messages: DataFrame) -> DataFrame:
             .otherwise(F.coalesce("source", F.lit("api"))),
             "problem": F.when(email & ~gated, "not_bancolombia")
             .when(email & F.col("text").isNull(), "no_text_extracted")
+            .when((channel == "chat") & F.col("text").rlike(SERVICE), REJECT_SERVICE)
             .when(empty, REJECT_TEXT),
         }
     ).select(*SHAPE)

@@ -77,6 +77,7 @@ SELECT event_id AS message_id,
   CASE event_type WHEN 'view' THEN 'chat' WHEN 'purchase' THEN 'email' WHEN 'signup' THEN 'parse' ELSE 'api' END AS channel,
   user_id % 25 AS user_id,
   CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN NULL
+    WHEN event_type = 'view' AND event_id % 31 = 7 THEN '/help' WHEN event_type = 'view' AND event_id % 17 = 3 THEN '/gasto' || chr(10) || line
     WHEN event_type = 'view' AND event_id % 3 = 0 THEN '/gasto ' || line ELSE line END AS text,
   CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN line END AS body,
   CAST(NULL AS STRING) AS subject,
@@ -91,10 +92,12 @@ FROM (SELECT event_id, event_type, user_id, ts,
     WHEN 5 THEN th || 'mil almuerzo ' || spoken
     WHEN 6 THEN 'Tu clave dinamica es 123456'
     WHEN 7 THEN 'Bancolombia: tus gastos entre diciembre y enero cambiaron en $1.615.035'
-    WHEN 8 THEN CASE user_id % 4 WHEN 0 THEN 'Consulta de saldo en cajero' WHEN 1 THEN 'Activa tu tarjeta de credito Bancolombia'
-      WHEN 2 THEN 'Recuerda pagar tu factura antes del 15' ELSE 'Pan con efectivo de hoy ' || th || '00' END
-    ELSE 'Hola cliente' || chr(10) || 'Bancolombia: Retiraste $' || th || '.000 en CAJERO ' || CAST(user_id % 7 AS STRING)
-      || ' con tu Credito *' || four || ', el ' || slashed || chr(10) || 'Gracias' END AS line
+    WHEN 8 THEN CASE user_id % 8 WHEN 0 THEN 'Consulta de saldo en cajero' WHEN 1 THEN 'Activa tu tarjeta de credito Bancolombia'
+      WHEN 2 THEN 'Recuerda pagar tu factura antes del 15' WHEN 3 THEN 'Nequi: Pagaste $' || th || '.000 en ' || shop || '. Tu saldo disponible es $20.000'
+      WHEN 4 THEN 'Bancolombia: Compraste $' || th || '.000,00 en EXITO con tu T.Deb *' || four || '. Recuerda no compartir tu clave dinamica'
+      WHEN 5 THEN 'Bancolombia: Compraste $' || th || '.000,00 en EXITO con tu T.Deb *' || four || '. Activa tu tarjeta debito virtual' ELSE 'Pan con efectivo de hoy ' || th || '00' END
+    ELSE 'Hola cliente' || chr(13) || chr(10) || 'Bancolombia: Retiraste $' || th || '.000 en CAJERO ' || CAST(user_id % 7 AS STRING)
+      || ' con tu Credito *' || four || ', el ' || slashed || chr(13) || chr(10) || 'Gracias' END AS line
   FROM (SELECT event_id, event_type, user_id, ts,
     CAST(CAST(floor(value / 10) AS INT) * 10 + 10 AS STRING) AS th,
     lpad(CAST((event_id * 7 % 400) * 4 AS STRING), 4, '0') AS four,

@@ -113,3 +113,41 @@ def test_statement_fields(evaluate):
     assert days == ["2024-02-29", "2024-02-03", "2024-01-05", None, "2024-01-05", "2024-01-06", "2024-01-05"]
     assert evaluate(statement.statement_category, ["Rent", "Salary", "?", None]) == ["home", "salary", "other", "other"]
     assert evaluate(statement.statement_institution, ["Mi NEQUI", "Efectivo", "x", None]) == ["nequi", "cash", "bancolombia", "bancolombia"]
+
+
+def test_a_stated_payment_wins_over_skip_phrases(evaluate):
+    from tallywell.functions import parse
+    from tallywell.functions.text import fold
+
+    payments = [
+        "Nequi: Pagaste $50.000 en RAPPI. Tu saldo disponible es $20.000",
+        "Bancolombia: Compraste $119.000,00 en EXITO con tu T.Deb *7799, el 25/11/2025. Recuerda no compartir tu clave dinamica",
+        "Bancolombia: Compraste $119.000,00 en EXITO. Activa tu tarjeta debito virtual",
+        "Bancolombia: Transferiste $20,000 a la cuenta *3104633357. Tu saldo disponible es $1.000",
+        "20k almuerzo, recuerda guardar el recibo",
+    ]
+    others = {
+        "Bancolombia: tus gastos entre diciembre y enero cambiaron en $1.615.035": "spending_summary",
+        "Consulta de saldo en cajero": "balance_inquiry",
+        "Tu saldo disponible es $20.000": "balance_inquiry",
+        "Tu clave dinamica es 123456": "otp_code",
+        "Activa tu tarjeta de credito Bancolombia": "promotional",
+        "Recuerda pagar tu factura antes del 15": "informational",
+        "Tu cuenta ha sido bloqueada": "informational",
+    }
+    got = evaluate(lambda t: parse.skip_reason(fold(t)), payments + list(others))
+    assert got == [None] * len(payments) + list(others.values())
+
+
+def test_bulk_lines_commands_and_mail_lines(spark):
+    from tallywell.sources import messages as src
+
+    rows = spark.createDataFrame([(1, "20k pan\r\n\r\n \t\r\n30k uber")], "message_id long, raw string")
+    assert [r.text for r in src.bulk_messages(rows, "raw").collect()] == ["20k pan\r", "30k uber"]
+    chats = ["/gasto 20k pan", "/gasto\n20k pan", "/start", "/help@bot x", "/startup 20k", "/gasto", "20k pan"]
+    df = spark.createDataFrame(list(enumerate(chats)), "message_id long, text string")
+    out = {r.message_id: (r.text, r.problem) for r in src.chat_messages(df).collect()}
+    assert out[0] == ("20k pan", None) and out[1] == ("pan", None) and out[6] == ("20k pan", None)
+    assert out[2][1] == out[3][1] == src.REJECT_SERVICE and out[4][1] is None and out[5][1] == src.REJECT_TEXT
+    mail = spark.createDataFrame([(1, "Hola\r\n Bancolombia le informa 5 \r\nx", None, None)], "message_id long, body string, text string, subject string")
+    assert [r.text for r in src.email_messages(mail).collect()] == ["Bancolombia le informa 5"]

@@ -109,7 +109,7 @@ def test_effects_and_balances(spark, accounts):
     assert sorted(effects) == [("a", "1", -30), ("b", "1", 50), ("c", "1", -20), ("c", "4", 20)]
     after = {r.account_id: r.new_balance for r in posting.apply_balances(accounts, ledger).collect()}
     assert after["1"] == 100 and after["4"] == 20 and after["2"] == 100
-    run = posting.running_balance(ledger, accounts, [F.to_date("created_at")], ["created_at", "id"])
+    run = posting.running_balance(ledger, accounts, ["created_at", "id"])
     assert sorted((r.effect_account_id, r.id, int(r.balance_after)) for r in run.collect()) == [("1", "a", 70), ("1", "b", 120), ("1", "c", 100), ("4", "c", 20)]
 
 
@@ -219,3 +219,31 @@ def test_column_defaults_and_stamp(spark):
     rows = spark.createDataFrame([("1", None, None, None), ("2", "USD", Decimal(3), False)], "id string, currency string, balance decimal(15,2), is_active boolean")
     got = [tuple(r) for r in mutate.with_account_defaults(rows).orderBy("id").collect()]
     assert got == [("1", "COP", 0, True), ("2", "USD", 3, False)]
+
+
+def test_limits_of_batches_are_cumulative_and_spare_pro(spark):
+    from tallywell.operators import usage
+
+    held = spark.createDataFrame([(1,)] * 3 + [(2,)] * 20, "user_id bigint")
+    batch = spark.createDataFrame([(u, b) for u in (1, 2, 3) for b, n in (("a", 4), ("b", 4), ("c", 1)) for _ in range(n)], "user_id bigint, batch string")
+    subs = spark.createDataFrame([(2, "pro", "active"), (3, "pro", "canceled")], "user_id bigint, plan string, status string")
+    rows = usage.enforce_limit(held, batch, "batch", F.lit(8), subs).collect()
+    assert {(r.user_id, r.batch): (r.held, r.wanted, r.accepted) for r in rows} == {
+        (1, "a"): (3, 4, True), (1, "b"): (7, 4, False), (1, "c"): (7, 1, True),
+        (2, "a"): (20, 4, True), (2, "b"): (24, 4, True), (2, "c"): (28, 1, True),
+        (3, "a"): (0, 4, True), (3, "b"): (4, 4, True), (3, "c"): (8, 1, False),
+    }
+
+
+def test_current_month_and_pro_in_usage(spark):
+    import datetime as dt
+
+    from tallywell.operators import usage
+
+    rows = spark.createDataFrame([(u, dt.datetime(2024, m, 2)) for u in (1, 2) for m in (1, 2) for _ in range(3)], "user_id bigint, at timestamp_ntz")
+    now = F.lit("2024-02-20 00:00:00").cast("timestamp_ntz")
+    counts = usage.resource_counts(ai_parses=usage.in_month(rows, "at", now))
+    settings = spark.createDataFrame([("free_ai_parses_limit", "2")], "key string, value string")
+    subs = spark.createDataFrame([(2, "pro", "active")], "user_id bigint, plan string, status string")
+    out = {r.user_id: (r.used, r.limit, r.over_limit) for r in usage.usage_vs_limits(counts, settings, subs).collect()}
+    assert out == {1: (3, 2, True), 2: (3, -1, False)}

@@ -184,6 +184,11 @@ SELECT id, CASE WHEN c.is_default THEN 'El ' || c.name ELSE c.name END AS es_nam
 oracle("rule_match", TXN, RULES, select=f"""
 SELECT t.id, r.rule_id FROM txn t JOIN live_rule r ON r.user_id = t.user_id AND r.rule_type <> 'account_detection'
 WHERE {holds('t.description', 't.raw_text', 't.amount', 't.source', 't.account_id')}""")
+oracle("rules_refused", TXN, """
+mistake(suffix, refusal) AS (VALUES ('91', 'wrong type: description_contains'), ('92', 'unreadable conditions'), ('93', 'bad pattern'),
+  ('94', 'wrong type: amount_between'), ('95', 'wrong type: source')),
+owner AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS user_id FROM customer)""", select="""
+SELECT CAST(user_id AS VARCHAR) || '-' || suffix AS rule_id, refusal, (SELECT count(*) FROM txn t WHERE t.user_id = owner.user_id) AS rows_spared FROM owner, mistake""")
 APPLIED = applied("txn")
 oracle("rule_apply", TXN, RULES, APPLIED, recursive=True, select="""
 SELECT id, type, category_id, account_id, transfer_to_account_id, transfer_id, notes, ltrim(fired, ',') AS fired FROM final""")
@@ -257,13 +262,19 @@ WHERE coalesce(exact_of, near_of) IS NOT NULL""")
 oracle("dup_side_by_side", TXN, select="""
 SELECT f.id, f.duplicate_status, f.duplicate_of, f.date, f.amount, f.account_id, f.description, o.date AS original_date, o.amount AS original_amount,
   o.account_id AS original_account_id, o.description AS original_description FROM txn f LEFT JOIN txn o ON o.id = f.duplicate_of WHERE f.duplicate_status IS NOT NULL""")
-oracle("ttl_cache_hits", MESSAGES, f"""
-arrival AS (SELECT message_id, is_transaction, {q(fv.CACHE_KEY_PREFIX)} || sha256(lower({wide_trim('text')})) AS cache_key, CAST(floor(epoch_us(received_at) / 1000000.0) AS BIGINT) AS second FROM parsed),
+oracle("ttl_cache_hits", MESSAGES, RULES, DETECTED, RULE_DIGEST, TRANSFER_DIGEST, f"""
+prompt_list AS (SELECT user_id, list(prompt_text ORDER BY priority DESC, rule_id) AS p FROM live_rule WHERE length(prompt_text) > 0 GROUP BY user_id),
+section AS (SELECT message_id, list_filter(list_concat(['ACCOUNT CONTEXT: This message is from account "' || detection_rule_name || '" (id: ' || detected_account_id || ').'],
+  coalesce(p, CAST([] AS VARCHAR[])), [transfer_digest, rule_digest]), lambda s: coalesce(s, '') <> '') AS l
+  FROM detected d LEFT JOIN prompt_list USING (user_id) LEFT JOIN transfer_text USING (user_id) LEFT JOIN rule_text USING (user_id)),
+sent AS (SELECT p.*, text || CASE WHEN len(l) > 0 THEN CAST(to_json(l) AS VARCHAR) ELSE '' END AS sent FROM parsed p JOIN section USING (message_id)),
+arrival AS (SELECT message_id, is_transaction AND amount > 0 AND trim(description) <> '' AS is_transaction,
+  {q(fv.CACHE_KEY_PREFIX)} || sha256(lower({wide_trim('sent')})) AS cache_key, CAST(floor(epoch_us(received_at) / 1000000.0) AS BIGINT) AS second FROM sent),
 moment AS (SELECT cache_key, second, min(message_id) AS first_id FROM arrival WHERE is_transaction GROUP BY ALL),
 anchor AS (SELECT cache_key, min(second) AS second FROM moment GROUP BY cache_key
   UNION ALL SELECT a.cache_key, (SELECT min(m.second) FROM moment m WHERE m.cache_key = a.cache_key AND m.second >= a.second + 86400) FROM anchor a WHERE a.second IS NOT NULL),
 miss AS (SELECT first_id FROM anchor JOIN moment USING (cache_key, second))""", recursive=True, select="""
-SELECT message_id, cache_key, is_transaction AND message_id NOT IN (SELECT first_id FROM miss) AS cache_hit FROM arrival""")
+SELECT message_id, cache_key, coalesce(is_transaction, false) AND message_id NOT IN (SELECT first_id FROM miss) AS cache_hit FROM arrival""")
 
 # -- balances ----------------------------------------------------------------------------
 oracle("balance_effects", TXN, EFFECTS, select="SELECT id, effect_account_id, delta FROM effect")

@@ -434,11 +434,19 @@ def localised_names(spark, sf):
 # -- rules -------------------------------------------------------------------------------
 @query
 def rule_match(spark, sf):
-    return rules.match_rules(st.stage(spark, sf, "txn", busy=True), st.rules(spark, sf)).select("id", "rule_id")
+    return rules.match_rules(st.stage(spark, sf, "txn", busy=True), st.rules_with_mistakes(spark, sf)).select("id", "rule_id")
+
+
+@query
+def rules_refused(spark, sf):
+    """Refused rules, with the ledger rows of their owners that they would have seen."""
+    refused = rules.refused_rules(st.rules_with_mistakes(spark, sf))
+    seen = st.stage(spark, sf, "txn").groupBy("user_id").agg(F.count("*").alias("rows_spared"))
+    return refused.join(seen, "user_id", "left").select("rule_id", "refusal", F.coalesce("rows_spared", F.lit(0).cast("bigint")).alias("rows_spared"))
 
 
 def ruled(spark, sf):
-    return rules.apply_rules(st.stage(spark, sf, "txn", busy=True), st.rules(spark, sf))
+    return rules.apply_rules(st.stage(spark, sf, "txn", busy=True), st.rules_with_mistakes(spark, sf))
 
 
 @query
@@ -565,7 +573,7 @@ def dup_side_by_side(spark, sf):
 
 @query
 def ttl_cache_hits(spark, sf):
-    rows = materialise(keyed_messages(shaped(spark, sf)), "cache-rows")
+    rows = materialise(keyed_messages(shaped(spark, sf), st.rules(spark, sf)), "cache-rows")
     return dedup.cache_hits(rows).select("message_id", "cache_key", "cache_hit")
 
 
@@ -874,9 +882,14 @@ def stream_ingest(spark, sf):
     )
 
 
-def keyed_messages(rows):
-    return parse.parse_messages(rows.filter(F.col("problem").isNull())).select(
-        "message_id", "is_transaction", dedup.cache_key(F.col("text")).alias("cache_key"),
+def keyed_messages(rows, rule_table):
+    """What the cache sees: the text with its owner's context, and whether the result is one that is stored."""
+    parsed_rows = parse.parse_messages(rules.context_sections(rows.filter(F.col("problem").isNull()), rule_table))
+    refused = parse.reject_reason(F.col("amount"), F.col("description"), F.col("category"), F.col("is_transaction"))
+    context = F.when(F.size("sections") > 0, F.to_json("sections"))
+    return parsed_rows.select(
+        "message_id", (F.col("is_transaction") & refused.isNull()).alias("is_transaction"),
+        dedup.cache_key(F.col("text"), context).alias("cache_key"),
         eventtime.epoch_second(F.col("received_at")).alias("second"),
     )
 
@@ -884,7 +897,7 @@ def keyed_messages(rows):
 @query
 def stream_dedup(spark, sf):
     out = shared_dir(spark, "stream-dedup")
-    rows = keyed_messages(src.by_channel(stream_message(spark, sf)))
+    rows = keyed_messages(src.by_channel(stream_message(spark, sf)), st.rules(spark, sf))
     jobs.cache_stream(rows, out, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/flagged").select("message_id", "cache_key", "cache_hit")
 

@@ -106,7 +106,7 @@ def cache_key(text: Column, prompts: Column | None = None) -> Column:
 def cache_hits(
     messages: DataFrame, min_chunked: int = FOLD_SECONDS, before: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``cache_hit`` to messages with cache_key, second, message_id and is_transaction.
+    """Add ``cache_hit`` to messages with cache_key, second, message_id and is_transaction (valid ones).
 
     A miss stores its result for 24 hours and hits do not prolong it, so the stored moments
     (anchors) of a key are a chain: the first arrival, then the first arrival at least 24

@@ -8,9 +8,6 @@ with higher-order functions, and no transaction-by-rule pairs are shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +17,8 @@ from tallywell.operators.resolve import live
 from tallywell.plans.skew import BROADCAST_RULES, is_small, lookup
 from tallywell.schemas import ACTIONS, APPLIED_RULES, CONDITIONS, GENERATED_RULE
 
+CONDITIONS_BY_NAME = dict(field.strip().split(" ", 1) for field in CONDITIONS.split(", "))
+
 
 def typed_rules(rules: DataFrame) -> DataFrame:
     """Parse the JSON documents and note the two keys whose presence matters.
@@ -41,6 +40,43 @@ def typed_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+#: The conditions that are looked at; others are unknown keys, which fit everything.
+EVALUATED = ["description_contains", "description_regex", "raw_text_contains", "amount_between", "amount_equals",
+             "from_account", "source"]
+
+
+def with_refusal(rules: DataFrame) -> DataFrame:
+    """Add ``refusal``: why a rule must not run, NULL where it may.
+
+    Conditions or actions that are no JSON object, an evaluated condition of the wrong type,
+    which would else read as absent and fit everything, and a pattern that would end the job.
+    A JSON null counts as absent.
+    """
+    cond = F.from_json("conditions", CONDITIONS)
+
+    def unreadable(column: str) -> Column:
+        return F.col(column).isNotNull() & F.json_object_keys(column).isNull()
+
+    def wrong(key: str) -> Column:
+        value = cond.getField(key)
+        kind = CONDITIONS_BY_NAME[key]
+        holes = F.exists(value, lambda v: v.isNull()) if kind.startswith("array") else F.lit(False)
+        return F.get_json_object("conditions", f"$.{key}").isNotNull() & (value.isNull() | holes)
+
+    reason = F.when(unreadable("conditions"), "unreadable conditions").when(unreadable("actions"), "unreadable actions")
+    for key in EVALUATED:
+        reason = reason.when(wrong(key), f"wrong type: {key}")
+    pattern = F.coalesce(F.get_json_object("conditions", "$.description_regex"), F.lit(""))
+    safe = F.pandas_udf(lambda patterns: patterns.map(pattern_is_safe).astype(bool), "boolean")
+    marked = rules.withColumns({"refusal": reason, "_safe": safe(pattern)})
+    return marked.withColumn("refusal", F.coalesce("refusal", F.when(~F.col("_safe"), "bad pattern"))).drop("_safe")
+
+
+def refused_rules(rules: DataFrame) -> DataFrame:
+    """The live rules that do not run, for their owners to mend."""
+    return with_refusal(live(rules)).filter(F.col("refusal").isNotNull()).select("rule_id", "user_id", "name", "refusal")
+
+
 def _keywords_hold(words: Column, lowered: Column, logic: Column) -> Column:
     """any/all of the words in the text, both in lower case; of no words, any is false, all true."""
     def inside(word: Column) -> Column:
@@ -108,13 +144,14 @@ RULE_FIELDS = ["rule_id", "name", "priority", "transfer_to_account_id", "actions
 
 
 def rules_per_user(rules: DataFrame, rule_types: list[str] | None, out: str = "rules") -> DataFrame:
-    """Per user the live rules as an array, highest priority first, ties by rule id."""
+    """Per user the live rules that may run as an array, highest priority first, ties by rule id."""
     chosen = live(rules)
     if rule_types is not None:
         chosen = chosen.filter(F.col("rule_type").isin(*rule_types))
     else:
         chosen = chosen.filter(~F.col("rule_type").eqNullSafe(F.lit("account_detection")))
-    typed = typed_rules(chosen).withColumns(
+    sound = with_refusal(chosen).filter(F.col("refusal").isNull()).drop("refusal")
+    typed = typed_rules(sound).withColumns(
         {
             "description_words": F.transform("cond.description_contains", F.lower),
             "raw_text_words": F.transform("cond.raw_text_contains", F.lower),
@@ -331,32 +368,8 @@ def _colons(ddl: str) -> str:
 
 
 # -- pattern quarantine ------------------------------------------------------------------
-def split_bad_patterns(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, refused): rules whose regular expression would fail the job are set aside.
-
-    Only rules that carry a pattern visit Python. The check is stricter than either dialect:
-    what Java and Python read differently (open braces, nested class brackets, named groups)
-    is refused.
-    """
-    pattern = F.coalesce(F.get_json_object("conditions", "$.description_regex"), F.lit(""))
-    with_pattern = rules.filter(pattern != "").withColumn("_pattern", pattern)
-    schema = f"{_ddl(rules)}, _usable boolean"
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["_usable"] = batch["_pattern"].map(pattern_is_safe)
-            yield batch.drop(columns="_pattern")
-
-    checked = with_pattern.mapInPandas(check, schema)
-    usable = rules.filter(pattern == "").unionByName(checked.filter("_usable").drop("_usable"))
-    return usable, checked.filter("not _usable").drop("_usable")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def pattern_is_safe(pattern: str) -> bool:
+    """Whether a pattern compiles and means the same in Java; what the dialects read differently is refused."""
     try:
         re.compile(pattern)
     except re.error:
@@ -464,8 +477,8 @@ def active_prompts(rules: DataFrame) -> DataFrame:
     return _lines_per_user(prompted_rules(rules), F.col("prompt_text"), "prompts")
 
 
-def parse_context(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``context``: account hint, prompts, transfer digest and rule digest by blank lines."""
+def context_sections(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``sections``: account hint, each prompt, transfer digest and rule digest, as far as there are any."""
     per_user = (
         rules.select("user_id")
         .distinct()
@@ -483,6 +496,11 @@ def parse_context(messages: DataFrame, rules: DataFrame) -> DataFrame:
     stated = F.filter(sections, lambda s: F.coalesce(s, F.lit("")) != "")
     return (
         lookup(detect_accounts(messages, rules), per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True)
-        .withColumn("context", F.array_join(stated, "\n\n"))
+        .withColumn("sections", stated)
         .drop("prompts", "transfer_digest", "rule_digest")
     )
+
+
+def parse_context(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``context``: the sections by blank lines."""
+    return context_sections(messages, rules).withColumn("context", F.array_join("sections", "\n\n")).drop("sections")

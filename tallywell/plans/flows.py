@@ -19,6 +19,7 @@ class Ingested:
     ledger: DataFrame
     skipped: DataFrame
     rejects: DataFrame
+    refused_rules: DataFrame
 
 
 def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFrame, rule_table: DataFrame) -> DataFrame:
@@ -107,6 +108,7 @@ def ingest(
         ledger=ledger,
         skipped=parse.skipped(resolved),
         rejects=refused.unionByName(unpaired).unionByName(unread),
+        refused_rules=rules.refused_rules(rule_table),
     )
 
 

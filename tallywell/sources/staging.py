@@ -255,6 +255,22 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# (rule suffix, conditions) of rules that must be refused
+MISTAKES = [
+    ("91", '{"description_contains":"uber"}'), ("92", "not json"), ("93", '{"description_regex":"["}'),
+    ("94", '{"amount_between":"x"}'), ("95", '{"source":["api",null]}'),
+]
+
+
+def rules_with_mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, and for every owner some that would fit everything or end the job."""
+    good = rules(spark, sf_dir)
+    entries = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(c).alias("c")) for s, c in MISTAKES])
+    pattern = good.filter(F.endswith("rule_id", F.lit("-01"))).withColumn("m", F.explode(entries))
+    bad = pattern.withColumns({"rule_id": F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("m.s")), "conditions": F.col("m.c")})
+    return good.unionByName(bad.drop("m"))
+
+
 def slug_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default category tree provisioned for every owner of an account."""
     users = raw(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("user_id"))

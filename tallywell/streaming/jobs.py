@@ -21,10 +21,12 @@ from tallywell.session import materialise
 
 
 def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What batches before this one wrote, or None for the first."""
+    """What batches before this one wrote, or None for the first; any other failure to read is an error."""
     try:
         written = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return written.filter(F.col("batch_id") < batch_id).drop("batch_id")
 

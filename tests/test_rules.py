@@ -168,12 +168,42 @@ def test_first_fitting_detection_rule_decides(spark):
     assert got == {1: ("a", None), 2: ("d", "acc-3"), 3: (None, None), 4: (None, None)}
 
 
-def test_bad_patterns_are_set_aside(spark):
-    table = spark.createDataFrame([rule("a", conditions={"description_regex": "("}), rule("b", conditions={"description_regex": "^ok{2}$"}),
-                                   rule("c"), rule("d", conditions={"description_regex": "a{"}), rule("e", conditions={"description_regex": "[[x]"})], RULE)
-    good, bad = rules.split_bad_patterns(table)
-    assert sorted(r.rule_id for r in good.collect()) == ["b", "c"]
-    assert sorted(r.rule_id for r in bad.collect()) == ["a", "d", "e"]
+def test_unfit_rules_are_refused_and_stop_nobody(spark):
+    table = [rule("a", conditions={"description_regex": "("}), rule("b", conditions={"description_regex": "^ok{2}$"}),
+             rule("c", conditions={"unknown": 1}), rule("d", conditions={"description_regex": "a{"}), rule("e", conditions={"description_regex": "[[x]"}),
+             rule("f", conditions={"description_contains": "uber"}), rule("g", conditions={"amount_between": "x"}), rule("h", conditions={"amount_equals": None}),
+             rule("i", conditions={"source": ["api", None]}), rule("j", conditions={"from_account": None})]
+    columns = [c.strip().split(" ", 1)[0] for c in RULE.split(", ")]
+    broken = list(rule("k"))
+    broken[columns.index("conditions")] = "not json"
+    listed = list(rule("l"))
+    listed[columns.index("actions")] = "[1]"
+    rows = spark.createDataFrame([*table, tuple(broken), tuple(listed)], RULE)
+    assert {r.rule_id: r.refusal for r in rules.refused_rules(rows).collect()} == {
+        "a": "bad pattern", "d": "bad pattern", "e": "bad pattern", "f": "wrong type: description_contains",
+        "g": "wrong type: amount_between", "i": "wrong type: source", "k": "unreadable conditions", "l": "unreadable actions",
+    }
+    txn = spark.createDataFrame([("t", 1, "okk", "x", 5, "api", None)], "id string, user_id bigint, description string, raw_text string, amount int, source string, account_id string")
+    txn = txn.withColumn("amount", F.col("amount").cast("decimal(15,2)"))
+    assert sorted(r.rule_id for r in rules.match_rules(txn, rows).collect()) == ["b", "c", "j"]
+
+
+def test_cache_key_holds_the_owners_context(spark):
+    """Owners with other prompts share no entry; a refused result is never a hit."""
+    import datetime as dt
+
+    from tallywell.catalog import keyed_messages
+    from tallywell.operators import dedup
+
+    table = spark.createDataFrame([rule("a", prompt="uno"), rule("b", prompt="uno"), rule("c", prompt="dos")], RULE)
+    table = table.withColumn("user_id", F.when(F.col("rule_id") == "a", 1).when(F.col("rule_id") == "b", 2).otherwise(3).cast("bigint"))
+    start = dt.datetime(2024, 1, 1)
+    texts = [(i, "api", u, t, "api", start + dt.timedelta(minutes=i), None) for i, (u, t) in enumerate(
+        [(1, "20k pan"), (2, "20k pan"), (3, "20k pan"), (3, " 20K pan"), (4, "20k pan"), (1, "pan"), (1, "pan")])]
+    rows = spark.createDataFrame(texts, "message_id bigint, channel string, user_id bigint, text string, source string, received_at timestamp_ntz, problem string")
+    keyed = keyed_messages(rows, table)
+    hits = {r.message_id: r.cache_hit for r in dedup.cache_hits(keyed).collect()}
+    assert hits == {0: False, 1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
 
 
 def test_digests(spark):

@@ -51,8 +51,8 @@ def test_ingest_in_batches_equals_one_batch(spark, event_files, tmp_path):
 
 def test_cache_in_batches_equals_one_batch(spark, event_files, tmp_path):
     out = str(tmp_path)
-    jobs.cache_stream(keyed_messages(src.by_channel(stream(spark, event_files, "message"))), out, f"{out}/check").awaitTermination()
-    whole = dedup.cache_hits(keyed_messages(src.by_channel(st.stage(spark, SF, "message"))))
+    jobs.cache_stream(keyed_messages(src.by_channel(stream(spark, event_files, "message")), st.rules(spark, SF)), out, f"{out}/check").awaitTermination()
+    whole = dedup.cache_hits(keyed_messages(src.by_channel(st.stage(spark, SF, "message")), st.rules(spark, SF)))
     assert rows(spark.read.parquet(f"{out}/flagged"), "message_id", "cache_hit") == rows(whole, "message_id", "cache_hit")
 
 
@@ -132,3 +132,12 @@ def test_side_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/skipped").count() == done.skipped.count() > 0
     assert spark.read.parquet(f"{tmp_path}/rejects").count() == done.rejects.count() > 0
     assert spark.read.parquet(f"{tmp_path}/rules").filter("ai_prompt IS NOT NULL").count() == 0
+
+
+def test_only_a_missing_path_is_a_first_batch(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    assert jobs.earlier(spark, f"{tmp_path}/nothing", 3) is None
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(AnalysisException):
+        jobs.earlier(spark, f"{tmp_path}/empty", 3)

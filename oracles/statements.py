@@ -159,18 +159,19 @@ oracle("category_upsert", CATEGORY, OFFERED, select="""
 SELECT category_id, c.user_id, c.slug, c.name, CASE WHEN o.slug IS NULL THEN c.type ELSE o.type END AS type,
   CASE WHEN o.slug IS NULL THEN c.spending_nature ELSE o.spending_nature END AS spending_nature,
   CASE WHEN o.parent_slug IS NOT NULL THEN o.found_parent ELSE c.parent_id END AS parent_id,
-  CASE WHEN o.slug IS NULL THEN c.is_default ELSE true END AS is_default, CASE WHEN o.slug IS NULL THEN 'kept' ELSE 'updated' END AS outcome
+  CASE WHEN o.slug IS NULL THEN c.is_default ELSE true END AS is_default, CASE WHEN o.slug IS NULL THEN 'kept' ELSE 'updated' END AS outcome,
+  CASE WHEN o.slug IS NOT NULL THEN o.name WHEN c.is_default THEN c.name END AS en_name, 'Es ' || o.slug AS es_name
 FROM category c LEFT JOIN placed_offer o ON o.user_id = c.user_id AND o.slug = c.slug AND (o.parent_slug IS NULL OR o.found_parent IS NOT NULL)
-UNION ALL SELECT made_id, user_id, slug, name, type, spending_nature, found_parent, true, 'inserted' FROM placed_offer n
+UNION ALL SELECT made_id, user_id, slug, name, type, spending_nature, found_parent, true, 'inserted', name, 'Es ' || slug FROM placed_offer n
 WHERE (parent_slug IS NULL OR found_parent IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM category c WHERE c.user_id = n.user_id AND c.slug = n.slug)""")
 oracle("category_upsert_orphans", CATEGORY, OFFERED, select="SELECT user_id, slug, parent_slug FROM placed_offer WHERE parent_slug IS NOT NULL AND found_parent IS NULL")
 oracle("insert_ignored", CATEGORY, OFFERED, select="""
 SELECT user_id, slug, name FROM category UNION ALL
 SELECT user_id, slug, name FROM offer o WHERE NOT EXISTS (SELECT 1 FROM category c WHERE c.user_id = o.user_id AND c.slug = o.slug)""")
-oracle("default_provisioning", OWNED_CATEGORY, select="SELECT category_id, user_id, slug, name, type, spending_nature, parent_id FROM owned_category")
+oracle("default_provisioning", OWNED_CATEGORY, select="SELECT category_id, user_id, slug, name, type, spending_nature, parent_id, true AS is_default, name AS en_name FROM owned_category")
 oracle("default_accounts", select="""
 SELECT DISTINCT sha256('account|' || CAST(user_id AS VARCHAR) || '|cash') AS account_id, user_id, 'Cash' AS name, 'cash' AS type,
-  CAST(0 AS DECIMAL(15,2)) AS balance, 'free' AS plan, 'active' AS status FROM events""")
+  CAST(0 AS DECIMAL(15,2)) AS balance, true AS is_default, 'free' AS plan, 'active' AS status FROM events""")
 oracle("default_phone_rules", ACCOUNT, OWNED_CATEGORY, select="""
 SELECT sha256('wallet-rule|' || account_id) AS rule_id, a.user_id, 200 AS priority, '3104633357' AS match_phone, account_id AS transfer_to_account_id,
   '{"contains_text":["Transferiste","*3104633357"]}' AS conditions, '{"set_category":"' || category_id || '","link_account":"' || account_id || '"}' AS actions
@@ -350,14 +351,24 @@ oracle("bulk_outcomes", MESSAGES, select="""
 SELECT CASE WHEN NOT is_transaction THEN 'skipped' WHEN coalesce(amount, 0) <= 0 OR description = '' OR category = '' THEN 'error' ELSE 'success' END AS status, count(*) AS messages FROM parsed GROUP BY ALL""")
 
 # -- quality and changes -----------------------------------------------------------------
-oracle("constraint_violations", TXN, ACCOUNT, """
+oracle("constraint_violations", TXN, ACCOUNT, CATEGORY, RULES, SUBSCRIPTION, IMPORT, MESSAGE, """
 odd AS (SELECT id, CASE WHEN seq % 19 = 0 THEN 'gift' ELSE type END AS type, CASE WHEN seq % 23 = 0 THEN -amount ELSE amount END AS amount,
-  CASE WHEN seq % 29 <> 0 THEN account_id END AS account_id, confidence FROM txn)""", select="""
+  CASE WHEN seq % 29 <> 0 THEN account_id END AS account_id, confidence, seq FROM txn)""", select="""
 SELECT 'transactions' AS table_name, id AS row_id, 'type in domain' AS rule, type AS value FROM odd WHERE type NOT IN ('expense', 'income', 'transfer')
 UNION ALL SELECT 'transactions', id, 'amount positive', CAST(amount AS VARCHAR) FROM odd WHERE amount <= 0
 UNION ALL SELECT 'transactions', id, 'confidence 0 to 100', CAST(confidence AS VARCHAR) FROM odd WHERE confidence NOT BETWEEN 0 AND 100
 UNION ALL SELECT 'transactions', id, 'account given', NULL FROM odd WHERE account_id IS NULL
-UNION ALL SELECT 'accounts', account_id, 'last four at most 4', last_four || 'x' FROM account WHERE is_default AND length(last_four || 'x') > 4""")
+UNION ALL SELECT 'transactions', id, 'time given', NULL FROM odd WHERE seq % 31 = 0
+UNION ALL SELECT 'transactions', id, 'payment method at most 50', repeat('x', 51) FROM odd WHERE seq % 37 = 0
+UNION ALL SELECT 'accounts', account_id, 'last four at most 4', last_four || 'x' FROM account WHERE is_default AND length(last_four || 'x') > 4
+UNION ALL SELECT 'categories', category_id, 'nature in domain', 'luxury' FROM category WHERE is_default
+UNION ALL SELECT 'automation_rules', rule_id, 'name at most 200', repeat('n', 201) FROM rule WHERE priority = 100
+UNION ALL SELECT 'automation_rules', rule_id, 'logic in domain', 'xor' FROM rule WHERE priority = 90
+UNION ALL SELECT 'automation_rules', rule_id, 'actions given', NULL FROM rule WHERE priority = 80
+UNION ALL SELECT 'subscriptions', CAST(user_id AS VARCHAR), 'plan in domain', 'gold' FROM subscription WHERE user_id % 7 = 3
+UNION ALL SELECT 'reconciliations', account_id, 'status in domain', 'odd' FROM account WHERE CAST(account_id AS BIGINT) % 10 = 0
+UNION ALL SELECT DISTINCT 'transaction_imports', import_id, 'status in domain', 'lost' FROM import_row WHERE import_id < '3'
+UNION ALL SELECT 'skipped_messages', CAST(message_id AS VARCHAR), 'raw text given', NULL FROM message WHERE message_id % 7 = 0 AND text IS NULL""")
 oracle("uniqueness_violations", CATEGORY, OFFERED, MESSAGE, select="""
 SELECT 'categories' AS table_name, slug || '|' || CAST(user_id AS VARCHAR) AS key, count(*) AS rows FROM (SELECT user_id, slug FROM offer UNION ALL SELECT user_id, slug FROM category)
 GROUP BY ALL HAVING count(*) > 1 UNION ALL
@@ -368,7 +379,12 @@ def _orphan(column: str, parent: str, key: str) -> str:
     return f"SELECT 'transactions' AS table_name, id AS row_id, '{column}' AS reference, {column} AS value FROM txn WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {parent})"
 
 
-oracle("orphan_rows", TXN, ACCOUNT, LIVE_ACCOUNT, CATEGORY, LIVE_CATEGORY, "kept AS (SELECT * FROM txn WHERE deleted_at IS NULL)", select=" UNION ALL ".join([
+def _rule_orphan(column: str, value: str) -> str:
+    return f"SELECT 'automation_rules', rule_id, '{column}', {value} FROM rule WHERE {value} NOT IN (SELECT account_id FROM live_account)"
+
+
+oracle("orphan_rows", TXN, ACCOUNT, LIVE_ACCOUNT, CATEGORY, LIVE_CATEGORY, RULES, IMPORT, "kept AS (SELECT * FROM txn WHERE deleted_at IS NULL)", "loads AS (SELECT DISTINCT import_id FROM import_row WHERE import_id <> '5')", select=" UNION ALL ".join([
+    _orphan("import_id", "loads", "import_id"), _rule_orphan("account_id", "json_extract_string(actions, '$.set_account')"), _rule_orphan("transfer_to_account_id", "transfer_to_account_id"),
     _orphan("account_id", "live_account", "account_id"), _orphan("category_id", "live_category", "category_id"),
     _orphan("duplicate_of", "kept", "id"), _orphan("transfer_to_account_id", "live_account", "account_id")]))
 oracle("cascade_delete", TXN, ACCOUNT, "gone AS (SELECT account_id FROM account WHERE deleted_at IS NOT NULL)", select="""
@@ -456,6 +472,13 @@ near AS (SELECT n.id, min_by(s.id, (s.received_at, s.message_id, s.id)) AS near_
 SELECT id, message_id, user_id, channel, source, date, time, amount, type, account_id, category_id, transfer_to_account_id, description, notes,
   CASE WHEN coalesce(exact_of, near_of) IS NOT NULL THEN 'pending_review' END AS duplicate_status, coalesce(exact_of, near_of) AS duplicate_of
 FROM sound LEFT JOIN exact USING (id) LEFT JOIN near USING (id)""")
+RECORD = """amount, CAST(confidence AS BIGINT) AS confidence, is_transaction, description, category, bank, payment_type, original_date, original_time,
+  last_four, account_type, skip_reason, parsed_source"""
+oracle("ledger_record", *FLOW, recursive=True, select=f"""
+SELECT id, payment_type AS payment_method, p.text AS raw_text, {', '.join('p.' + c.strip() if '(' not in c else 'CAST(p.confidence AS BIGINT) AS confidence' for c in RECORD.split(','))}
+FROM (SELECT id, message_id FROM sound) JOIN parsed p USING (message_id)""")
+oracle("skipped_audit", MESSAGES, select=f"""
+SELECT message_id, CASE channel WHEN 'chat' THEN 'telegram' WHEN 'parse' THEN 'api' ELSE source END AS stored_source, skip_reason AS reason, {RECORD} FROM parsed WHERE NOT is_transaction""")
 oracle("ledger_rejects", *FLOW, recursive=True, select="""
 SELECT message_id, channel, user_id, problem AS reason FROM shaped WHERE problem IS NOT NULL
 UNION ALL SELECT message_id, channel, user_id, reject FROM resolved WHERE reject IS NOT NULL

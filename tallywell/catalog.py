@@ -375,17 +375,25 @@ def offered_categories(spark, sf):
     ).groupBy("user_id", "slug").agg(*[F.min(c).alias(c) for c in ("name", "type", "spending_nature", "parent_slug")])
 
 
+def upserted(spark, sf):
+    held = st.stage(spark, sf, "category").withColumn("translations", F.when(F.col("is_default"), F.create_map(F.lit("en"), F.col("name"))))
+    offered = offered_categories(spark, sf)
+    names = F.create_map(F.lit("en"), F.col("name"), F.lit("es"), F.concat(F.lit("Es "), "slug"))
+    return categories.upsert_categories(held, offered.withColumn("translations", names))
+
+
 @query
 def category_upsert(spark, sf):
-    merged, _ = categories.upsert_categories(st.stage(spark, sf, "category"), offered_categories(spark, sf))
+    merged, _ = upserted(spark, sf)
     return merged.select(
-        "category_id", "user_id", "slug", "name", "type", "spending_nature", "parent_id", "is_default", "outcome"
+        "category_id", "user_id", "slug", "name", "type", "spending_nature", "parent_id", "is_default", "outcome",
+        F.try_element_at("translations", F.lit("en")).alias("en_name"), F.try_element_at("translations", F.lit("es")).alias("es_name"),
     )
 
 
 @query
 def category_upsert_orphans(spark, sf):
-    return categories.upsert_categories(st.stage(spark, sf, "category"), offered_categories(spark, sf))[1]
+    return upserted(spark, sf)[1]
 
 
 @query
@@ -397,7 +405,10 @@ def insert_ignored(spark, sf):
 @query
 def default_provisioning(spark, sf):
     owned = st.slug_categories(spark, sf)
-    return owned.select("category_id", "user_id", "slug", "name", "type", "spending_nature", "parent_id")
+    return owned.select(
+        "category_id", "user_id", "slug", "name", "type", "spending_nature", "parent_id", "is_default",
+        F.try_element_at("translations", F.lit("en")).alias("en_name"),
+    )
 
 
 @query
@@ -405,7 +416,7 @@ def default_accounts(spark, sf):
     users = st.raw(spark, sf, "events").select("user_id")
     cash = categories.provision_accounts(users)
     plan = categories.provision_subscriptions(users)
-    return cash.join(plan, "user_id").select("account_id", "user_id", "name", "type", "balance", "plan", "status")
+    return cash.join(plan, "user_id").select("account_id", "user_id", "name", "type", "balance", "is_default", "plan", "status")
 
 
 @query
@@ -691,11 +702,32 @@ def constraint_violations(spark, sf):
             "type": F.when(F.col("seq") % 19 == 0, "gift").otherwise(F.col("type")),
             "amount": F.when(F.col("seq") % 23 == 0, -F.col("amount")).otherwise(F.col("amount")),
             "account_id": F.when(F.col("seq") % 29 != 0, F.col("account_id")),
+            "time": F.when(F.col("seq") % 31 != 0, F.col("time")),
+            "payment_method": F.when(F.col("seq") % 37 == 0, F.repeat(F.lit("x"), 51)).otherwise(F.col("payment_method")),
         }
     )
     found = quality.violations(odd, "transactions", "id", quality.transaction_checks())
     long = accounts.withColumn("last_four", F.concat("last_four", F.when(F.col("is_default"), "x").otherwise("")))
-    return found.unionByName(quality.violations(long, "accounts", "account_id", quality.account_checks()))
+    nature = st.stage(spark, sf, "category").withColumn("spending_nature", F.when(F.col("is_default"), "luxury").otherwise(F.col("spending_nature")))
+    named = st.rules(spark, sf).withColumns({
+        "name": F.when(F.col("priority") == 100, F.repeat(F.lit("n"), 201)).otherwise(F.col("name")),
+        "condition_logic": F.when(F.col("priority") == 90, "xor").otherwise(F.col("condition_logic")),
+        "actions": F.when(F.col("priority") != 80, F.col("actions")),
+    })
+    plans = st.stage(spark, sf, "subscription").withColumn("plan", F.when(F.col("user_id") % 7 == 3, "gold").otherwise(F.col("plan")))
+    # reconciliations and imports, one per account and per import
+    account = F.col("account_id").cast("bigint")
+    checked = accounts.select("account_id", F.when(account % 10 == 0, "odd").when(account % 2 == 0, "pending").otherwise("completed").alias("status"))
+    loads = st.stage(spark, sf, "import_row").select("import_id").distinct().withColumn("status", F.when(F.col("import_id") < "3", "lost").otherwise("completed"))
+    mute = st.stage(spark, sf, "message").select("message_id", F.col("text").alias("raw_text")).filter(F.col("message_id") % 7 == 0)
+    for rows, table, key, checks in (
+        (long, "accounts", "account_id", quality.account_checks()), (nature, "categories", "category_id", quality.category_checks()),
+        (named, "automation_rules", "rule_id", quality.rule_checks()), (plans, "subscriptions", "user_id", quality.subscription_checks()),
+        (checked, "reconciliations", "account_id", quality.reconciliation_checks()), (loads, "transaction_imports", "import_id", quality.import_checks()),
+        (mute, "skipped_messages", "message_id", quality.skipped_checks()),
+    ):
+        found = found.unionByName(quality.violations(rows, table, key, checks))
+    return found
 
 
 @query
@@ -717,7 +749,12 @@ def orphan_rows(spark, sf):
     category = quality.orphans(ledger, "transactions", "id", "category_id", resolve.live(st.stage(spark, sf, "category")), "category_id")
     copies = quality.orphans(ledger, "transactions", "id", "duplicate_of", resolve.not_deleted(ledger), "id")
     target = quality.orphans(ledger, "transactions", "id", "transfer_to_account_id", accounts, "account_id")
-    return missing.unionByName(category).unionByName(copies).unionByName(target)
+    loads = st.stage(spark, sf, "import_row").select("import_id").distinct().filter(F.col("import_id") != "5")
+    load = quality.orphans(ledger, "transactions", "id", "import_id", loads, "import_id")
+    named = st.rules(spark, sf).withColumn("account_id", F.get_json_object("actions", "$.set_account"))
+    rule = quality.orphans(named, "automation_rules", "rule_id", "account_id", accounts, "account_id")
+    wallet = quality.orphans(named, "automation_rules", "rule_id", "transfer_to_account_id", accounts, "account_id")
+    return missing.unionByName(category).unionByName(copies).unionByName(target).unionByName(load).unionByName(rule).unionByName(wallet)
 
 
 @query
@@ -853,6 +890,31 @@ def ledger_posted(spark, sf):
     )
 
 
+def record_fields(column):
+    """Fields of a stored record, typed again, so that engines may write their JSON as they like."""
+    def field(name):
+        return F.get_json_object(column, f"$.{name}")
+
+    return [field("amount").cast("decimal(15,2)").alias("amount"), field("confidence").cast("bigint").alias("confidence"),
+            field("is_transaction").cast("boolean").alias("is_transaction"),
+            *[field(n).alias(n) for n in ("description", "category", "bank", "payment_type", "original_date", "original_time", "last_four", "account_type", "skip_reason")],
+            field("source").alias("parsed_source")]
+
+
+@query
+def ledger_record(spark, sf):
+    """What is stored beside a ledger row: payment method, confidence and the whole parsed record."""
+    done = flows.ingest(shaped(spark, sf), st.stage(spark, sf, "account"), st.slug_categories(spark, sf), st.rules(spark, sf))
+    return done.ledger.select("id", "payment_method", "raw_text", *record_fields("parsed_data"))
+
+
+@query
+def skipped_audit(spark, sf):
+    """Skipped messages with their source and the whole parsed record."""
+    done = parse.skipped(parsed(spark, sf))
+    return done.select("message_id", F.col("source").alias("stored_source"), "reason", *record_fields("parsed_data"))
+
+
 @query
 def ledger_rejects(spark, sf):
     return ingested(spark, sf).rejects

@@ -13,6 +13,7 @@ PLANS = ["free", "pro"]
 SUBSCRIPTION_STATUSES = ["active", "canceled", "past_due"]
 RULE_TYPES = ["general", "account_detection", "transfer"]
 CONDITION_LOGICS = ["and", "or"]
+RECONCILIATION_STATUSES = ["pending", "in_progress", "completed"]
 IMPORT_STATUSES = ["pending", "in_progress", "completed", "failed"]
 
 # ---- fixed values: limits and times ----------------------------------------------------
@@ -164,6 +165,7 @@ REJECT_AMOUNT = "Invalid amount"
 REJECT_DESCRIPTION = "Missing description"
 REJECT_CATEGORY = "Missing category"
 REJECT_TEXT = "Missing text"
+CHAT_SOURCE = "telegram"  # fixed value of the stored source of chat messages
 DEFAULT_SKIP_REASON = "not_transaction"
 PARSE_LIMIT_REACHED = "PARSE_LIMIT_REACHED"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +12,18 @@ from tallywell.functions.present import localised, slug
 from tallywell.plans.skew import lookup
 
 
-def default_template(spark: SparkSession) -> DataFrame:
-    """The default tree: (slug, name, type, spending_nature, parent_slug)."""
+def default_template(spark: SparkSession, translations: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """The default tree: (slug, name, type, spending_nature, parent_slug, translations).
+
+    ``translations`` gives names by slug and language; the English name is always there.
+    """
     rows = []
     for parent, name, kind, nature, children in CATEGORY_TREE:
         rows.append((parent, name, kind, nature, None))
         rows += [(s, n, kind, child_nature, parent) for s, n, child_nature in children]
+    named = [(*row, {"en": row[1]} | dict((translations or {}).get(row[0], {}))) for row in rows]
     return spark.createDataFrame(
-        rows, "slug string, name string, type string, spending_nature string, parent_slug string"
+        named, "slug string, name string, type string, spending_nature string, parent_slug string, translations map<string,string>"
     )
 
 
@@ -31,7 +37,7 @@ def provision_categories(users: DataFrame, template: DataFrame) -> DataFrame:
 
     The template is one small array read as a scalar and unrolled per user.
     """
-    columns = ["slug", "name", "type", "spending_nature", "parent_slug"]
+    columns = ["slug", "name", "type", "spending_nature", "parent_slug", "translations"]
     entries = template.agg(F.collect_list(F.struct(*columns)).alias("entries")).scalar()
     user = F.col("user_id")
     return (
@@ -46,6 +52,7 @@ def provision_categories(users: DataFrame, template: DataFrame) -> DataFrame:
                 F.col("parent_slug").isNotNull(), category_id(user, F.col("parent_slug"))
             ).alias("parent_id"),
             F.lit(True).alias("is_default"),
+            "translations",
         )
     )
 
@@ -61,6 +68,7 @@ def provision_accounts(users: DataFrame) -> DataFrame:
         F.lit("COP").alias("currency"),
         F.lit(0).cast("decimal(15,2)").alias("balance"),
         F.lit(True).alias("is_active"),
+        F.lit(True).alias("is_default"),
     )
 
 
@@ -80,16 +88,16 @@ def category_tree(categories: DataFrame) -> DataFrame:
 
 
 def upsert_categories(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged, orphans) of incoming (user_id, slug, name, type, spending_nature, parent_slug).
+    """(merged, orphans) of incoming (user_id, slug, name, type, spending_nature, parent_slug, translations).
 
-    A known slug gets the incoming metadata and keeps the user's own name and id; an unknown
+    A known slug gets the incoming metadata, translations included, and keeps the user's own name and id; an unknown
     one is inserted. A child whose parent the user has neither now nor after the insert of
     the parents is an orphan and left out.
     """
     keys = ["user_id", "slug"]
     offered = incoming.select(
         *keys, F.col("name").alias("new_name"), F.col("type").alias("new_type"),
-        F.col("spending_nature").alias("new_nature"), "parent_slug",
+        F.col("spending_nature").alias("new_nature"), "parent_slug", F.col("translations").alias("new_translations"),
     )
     parents = (
         existing.select(*keys, "category_id")
@@ -119,6 +127,7 @@ def upsert_categories(existing: DataFrame, incoming: DataFrame) -> tuple[DataFra
             F.coalesce("name", "new_name").alias("name"),
             pick("new_type", "type"),
             pick("new_nature", "spending_nature"),
+            pick("new_translations", "translations"),
             F.when(
                 offered_here & F.col("parent_slug").isNotNull(), F.col("new_parent_id")
             ).otherwise(F.col("parent_id")).alias("parent_id"),

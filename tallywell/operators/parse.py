@@ -71,10 +71,26 @@ def transactions_only(parsed: DataFrame) -> DataFrame:
     return parsed.filter(~F.col("is_transaction").eqNullSafe(F.lit(False)))
 
 
-def skipped(parsed: DataFrame) -> DataFrame:
-    """The skipped-message audit rows."""
-    return parsed.filter(F.col("is_transaction").eqNullSafe(F.lit(False))).withColumn(
-        "reason", F.coalesce(F.nullif(F.col("skip_reason"), F.lit("")), F.lit(fv.DEFAULT_SKIP_REASON))
+#: The parsed record as it is stored beside a ledger row or a skipped message.
+RECORD = ["amount", "description", "category", "bank", "payment_type", "source", "confidence", "original_date",
+          "original_time", "last_four", "account_type", "is_transaction", "skip_reason"]
+
+
+def stored_record(bank: str = "bank") -> Column:
+    """The whole parsed record as JSON; ``bank`` and source as the text told them."""
+    told = {"bank": bank, "source": "parsed_source"}
+    return F.to_json(F.struct(*[F.col(told.get(name, name)).alias(name) for name in RECORD]))
+
+
+def skipped(parsed: DataFrame, bank: str = "bank") -> DataFrame:
+    """The skipped-message audit rows: reason, where the message came from, and the whole record."""
+    origin = F.when(F.col("channel") == "chat", fv.CHAT_SOURCE).when(F.col("channel") == "parse", "api")
+    return parsed.filter(F.col("is_transaction").eqNullSafe(F.lit(False))).withColumns(
+        {
+            "reason": F.coalesce(F.nullif(F.col("skip_reason"), F.lit("")), F.lit(fv.DEFAULT_SKIP_REASON)),
+            "parsed_data": stored_record(bank),
+            "source": F.coalesce(origin, F.col("source")),
+        }
     )
 
 

@@ -12,6 +12,7 @@ from tallywell.fixed_values import (
     CONDITION_LOGICS,
     IMPORT_STATUSES,
     PLANS,
+    RECONCILIATION_STATUSES,
     RULE_TYPES,
     SPENDING_NATURES,
     SUBSCRIPTION_STATUSES,
@@ -39,6 +40,9 @@ def transaction_checks() -> dict[str, tuple[str, Column]]:
         "amount given": ("amount", F.col("amount").isNotNull()),
         "description given": ("description", F.col("description").isNotNull()),
         "source at most 50": ("source", at_most("source", 50)),
+        "time given": ("time", F.col("time").isNotNull()),
+        "source given": ("source", F.col("source").isNotNull()),
+        "payment method at most 50": ("payment_method", at_most("payment_method", 50)),
     }
 
 
@@ -65,6 +69,10 @@ def rule_checks() -> dict[str, tuple[str, Column]]:
         "rule type in domain": ("rule_type", in_domain("rule_type", RULE_TYPES)),
         "logic in domain": ("condition_logic", in_domain("condition_logic", CONDITION_LOGICS)),
         "owner given": ("user_id", F.col("user_id").isNotNull()),
+        "name given": ("name", F.col("name").isNotNull()),
+        "name at most 200": ("name", at_most("name", 200)),
+        "conditions given": ("conditions", F.col("conditions").isNotNull()),
+        "actions given": ("actions", F.col("actions").isNotNull()),
     }
 
 
@@ -79,6 +87,17 @@ def import_checks() -> dict[str, tuple[str, Column]]:
     return {"status in domain": ("status", in_domain("status", IMPORT_STATUSES))}
 
 
+def reconciliation_checks() -> dict[str, tuple[str, Column]]:
+    return {
+        "status in domain": ("status", in_domain("status", RECONCILIATION_STATUSES)),
+        "account given": ("account_id", F.col("account_id").isNotNull()),
+    }
+
+
+def skipped_checks() -> dict[str, tuple[str, Column]]:
+    return {"raw text given": ("raw_text", F.col("raw_text").isNotNull())}
+
+
 def violations(
     df: DataFrame, table: str, id_column: str, checks: Mapping[str, tuple[str, Column]]
 ) -> DataFrame:

@@ -24,8 +24,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int, mode: str = "overwrite"
 def append_skipped(skipped: DataFrame, path: str) -> None:
     """The skipped-message audit."""
     skipped.select(
-        "message_id", "user_id", F.col("text").alias("raw_text"), "source", "reason",
-        F.to_json(F.struct("bank", "payment_type", "last_four", "confidence")).alias("parsed_data"),
+        "message_id", "user_id", F.col("text").alias("raw_text"), "source", "reason", "parsed_data",
         F.col("received_at").alias("created_at"),
     ).write.mode("append").parquet(path)
 

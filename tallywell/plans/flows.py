@@ -59,6 +59,8 @@ def post(resolved: DataFrame, categories: DataFrame, rule_table: DataFrame) -> D
             "raw_text": F.col("text"),
             "created_at": F.col("received_at"),
             "parsed_account_id": F.col("account_id"),
+            "payment_method": F.col("payment_type"),
+            "parsed_data": parse.stored_record("parsed_bank"),
         }
     )
     legs = transfers.split_transfers(rows, rule_table, categories)
@@ -106,7 +108,7 @@ def ingest(
     )
     return Ingested(
         ledger=ledger,
-        skipped=parse.skipped(resolved),
+        skipped=parse.skipped(resolved, "parsed_bank"),
         rejects=refused.unionByName(unpaired).unionByName(unread),
         refused_rules=rules.refused_rules(rule_table),
     )

@@ -143,11 +143,14 @@ def test_duplicates_against_all_pairs(spark, monkeypatch):
 def test_category_upsert_keeps_names_and_drops_orphans(spark):
     old = spark.createDataFrame([("p", 1, "Mine", "food", "expense", None, None, False)],
                                 "category_id string, user_id bigint, name string, slug string, type string, spending_nature string, parent_id string, is_default boolean")
+    old = old.withColumn("translations", F.create_map(F.lit("en"), F.lit("Old")))
     new = spark.createDataFrame([(1, "food", "Food", "expense", "need", None), (1, "bar", "Bar", "expense", "want", "food"),
                                  (1, "car", "Car", "expense", "want", None), (1, "fuel", "Fuel", "expense", "must", "car"), (1, "x", "X", "expense", "must", "gone")],
                                 "user_id bigint, slug string, name string, type string, spending_nature string, parent_slug string")
+    new = new.withColumn("translations", F.create_map(F.lit("en"), F.col("name")))
     merged, lost = categories.upsert_categories(old, new)
     rows = {r.slug: r for r in merged.collect()}
+    assert rows["food"].translations == {"en": "Food"}  # refreshed, while the name stays
     assert rows["food"].name == "Mine" and rows["food"].spending_nature == "need" and rows["food"].is_default
     assert rows["bar"].parent_id == "p" and rows["fuel"].parent_id == rows["car"].category_id
     assert set(rows) == {"food", "bar", "car", "fuel"} and [r.slug for r in lost.collect()] == ["x"]

@@ -69,8 +69,8 @@ def _key(mixture: Mixture, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def tokens() -> Column:
-    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+def tokens(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _shared_out(nodes: DataFrame, parent: list[str], mixture: Mixture, level: str) -> DataFrame:
@@ -124,10 +124,10 @@ def plan(docs: DataFrame, mixture: Mixture) -> DataFrame:
 
 
 def _taken(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """All columns, those of the plan under m_, and a row for each epoch in which a document is taken."""
+    """doc (all columns of a document as they are), m_domain, m_lang, m_source, m_epoch: a row each time it is taken."""
     keys = [f"m_{x}" for x in LEVELS]
     planned = plan(docs, mixture).select(*keys, F.col("epochs").alias("m_epochs"), F.col("rest").alias("m_rest"), F.col("last_key").alias("m_last"))
-    rows = docs.withColumns(_leaf_columns(mixture)).join(planned, keys)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", *(c.alias(k) for k, c in _leaf_columns(mixture).items())).join(planned, keys)
     more = (F.col("m_rest") > 0) & (_key(mixture, F.col("m_epochs")) <= F.col("m_last"))
     times = F.col("m_epochs") + F.coalesce(more.cast("long"), F.lit(0))
     return rows.withColumn("m_times", times).filter("m_times > 0").withColumn("m_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_times") - 1)))
@@ -137,12 +137,12 @@ def mixed(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
     """doc_id, domain, lang, source, tokens, epoch: a row each time a document is taken."""
     own = docs.select("doc_id", "text", "lang", "source")
     rows = _taken(own, mixture or Mixture())
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("m_domain").alias("domain"), F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), tokens().alias("tokens"), F.col("m_epoch").alias("epoch"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("m_domain").alias("domain"), F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), tokens("doc.text").alias("tokens"), F.col("m_epoch").alias("epoch"))
 
 
 def mixed_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFrame:
     """The documents of the mixture with their columns; one taken in several epochs stands there as often."""
-    return _taken(docs, mixture or Mixture()).select(*(F.col(c) for c in docs.columns))
+    return _taken(docs, mixture or Mixture()).select("doc.*")
 
 
 def oracle(mixture: Mixture | None = None) -> str:

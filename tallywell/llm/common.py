@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,5 +124,41 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
-def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
-    return docs.select(*(F.col(n) for n in names))
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns, which are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now = tuple(key[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def per_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table], list[np.ndarray]], then: tuple[str, ...] = ()) -> DataFrame:
+    """Columns that work() gives for the rows of each key; only one group is held at a time."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        size = 0
+        for group in groups(batches, len(keys)):
+            out = work(group.combine_chunks())
+            waiting.append(out)
+            size += len(out[0])
+            if size > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], names=names)
+                waiting, size = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], names=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then).mapInArrow(run, schema)

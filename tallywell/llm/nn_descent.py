@@ -17,14 +17,14 @@ nothing and is kept; labels and other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import table
+from tallywell.llm.common import per_group, table
 from tallywell.llm.components import components
 
 NEIGHBOURS, TREES, LEAF, SLICE = 12, 6, 64, 512
@@ -42,46 +42,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each value of the first columns, which are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            now = tuple(key[:, a])
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _per_group(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table], list[np.ndarray]]) -> DataFrame:
-    """Columns that work() gives for the rows of each key; only one group is held at a time."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = []
-        size = 0
-        for group in _groups(batches, len(keys)):
-            out = work(group.combine_chunks())
-            waiting.append(out)
-            size += len(out[0])
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], names=names)
-                waiting, size = [], 0
-        if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], names=names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def _column(group: pa.Table, name: str) -> np.ndarray:
     return group.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
@@ -124,7 +84,7 @@ def _leaf_lists(vectors: DataFrame, n: int, width: int, k: int, seed: int) -> Da
             return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
         return [np.concatenate(us), np.concatenate(vs), np.concatenate(sims).astype(np.float32)]
 
-    return _per_group(rows, ["leaf", "slice"], "u long, v long, sim float", work)
+    return per_group(rows, ["leaf", "slice"], "u long, v long, sim float", work)
 
 
 def _best(lists: DataFrame, k: int) -> DataFrame:
@@ -151,7 +111,7 @@ def _round(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         i, j = np.nonzero(good)
         return [ids[i], ids[j], s[i, j].astype(np.float32)]
 
-    met = _per_group(near.join(known, "m").select("c", "m", "fresh", "low", "x"), ["c"], "u long, v long, sim float", work)
+    met = per_group(near.join(known, "m").select("c", "m", "fresh", "low", "x"), ["c"], "u long, v long, sim float", work)
     old = lists.withColumn("fresh", F.lit(False))
     return table(_best(old.unionByName(met.withColumn("fresh", F.lit(True))), k), "lists")
 
@@ -207,7 +167,7 @@ def _block_counts(members: DataFrame, threshold: float) -> DataFrame:
         near = x[first] @ x[~first].T >= threshold
         return [np.concatenate([ids[first], ids[~first]]), np.concatenate([near @ weight[~first], weight[first] @ near])]
 
-    counts = _per_group(cells, ["component", "i", "j"], "id long, links long", work)
+    counts = per_group(cells, ["component", "i", "j"], "id long, links long", work)
     return counts.groupBy("id").agg(F.sum("links").alias("links"))
 
 

@@ -10,10 +10,10 @@ Bands of bins find candidates; a link is confirmed on the full shingle sets.
 With 32 bands of 6 bins, two documents at a similarity of 0.8 share no band
 with a probability of 6e-5, at 0.9 of 1e-10.
 
-Groups: texts with equal shingle sets are one class from the start. In a bucket, each class first meets one head only;
-after components are known, only classes outside a bucket's main component meet the bucket's others.
-So a bucket whose members are near copies of each other never gives all its pairs, and no link between different
-components is left untested.
+Groups: texts with equal shingle sets are one class from the start. Each class first meets one head, the most central
+class of its buckets; in further rounds the classes outside a bucket's main component meet that component's head. What is
+then still apart in a bucket is compared with the bucket's other components, in blocks that give links only. So near
+copies of each other never give all their pairs, and no link between different components is left untested.
 
 Defined cases: a null text is an empty one; texts without words have no
 shingles and link with nothing; a null doc_id links with nothing, has a null
@@ -31,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import mix, seeds, shingle_sets, steps, table
+from tallywell.llm.common import mix, per_group, seeds, shingle_sets, steps, table
 from tallywell.llm.components import components
 
 BANDS, ROWS = 32, 6
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+#: Rounds in which classes outside a bucket's main component meet its most central class.
+HEAD_ROUNDS = 3
+#: Pairs that a small bucket gives at most; larger ones are compared in blocks of BLOCK x BLOCK classes.
+FEW_TESTS, BLOCK = 256, 256
 #: Pairs of one head that one task verifies.
 HEAD_PAIRS = 2_000
 
@@ -122,6 +126,83 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _crowded(cells: DataFrame) -> DataFrame:
+    """key, rep, n, central of the buckets with several classes; a class is as central as its buckets are full."""
+    sizes = cells.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    full = cells.join(sizes, "key")
+    return full.join(full.groupBy("rep").agg(F.sum("size").alias("central")), "rep").select("key", "rep", "n", "central")
+
+
+def _partners(asking: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b): for each class that asks, the most central class of its buckets, the one it shares most of them with."""
+    top = heads.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("a"))
+    met = asking.join(top, "key").filter("a != rep").groupBy("rep", "a").agg(F.count("*").alias("times"))
+    best = met.groupBy("rep").agg(F.max(F.struct("times", (-F.col("a")).alias("minus"))).alias("h"))
+    return best.select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"))
+
+
+def _mixed(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """The buckets that still hold several components, with each class's component and the bucket's largest one."""
+    marked = shared.join(parts, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "central", F.coalesce("component", "rep").alias("part"))
+    sizes = marked.groupBy("key", "part").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("size"))
+    main = main.filter("parts > 1").select("key", F.col("m.part").alias("main"), (F.col("size") * (F.col("size") - F.col("m.size"))).alias("tests"))
+    return marked.join(main, "key")
+
+
+def _rest(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different components that share a bucket, beyond those with a head.
+
+    Small buckets give their pairs, at most FEW_TESTS each. Of the others, those with the same main component are
+    one group: the classes outside of it are compared with all of the group, block by block, and only links come out.
+    """
+    small = mixed.filter(F.col("tests") <= FEW_TESTS)
+    strange = small.filter("part != main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("part").alias("p"))
+    close = (F.col("p") != F.col("part")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = strange.join(small, "key").filter(close).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
+    links = confirmed(table(pairs, "few-pairs"), texts, words, percent)
+    large = table(mixed.filter(F.col("tests") > FEW_TESTS).select("main", "rep", "part").distinct(), "crowds")
+    sizes = large.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("wide"), F.ceil(F.count(F.when(F.col("part") != F.col("main"), 1)) / BLOCK).cast("int").alias("deep"))
+    placed, slot = large.join(sizes, "main"), F.xxhash64("rep", "main")
+    asking = placed.filter("part != main").select("main", F.pmod(slot, F.col("deep")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "part")
+    asked = placed.select("main", F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("i"), F.pmod(slot, F.col("wide")).cast("int").alias("j"), F.lit(1).alias("side"), "rep", "part")
+    cells = asking.unionByName(asked).join(texts, "rep").select("main", "i", "j", "side", "rep", "part", "text")
+
+    def work(group: pa.Table) -> list[np.ndarray]:
+        side, rep, part = (group.column(c).to_numpy() for c in ("side", "rep", "part"))
+        rows = group.select(["text"]).to_batches()
+        sets = [s for batch in rows for step in steps(batch, "text") for s in shingle_sets(step.column(0), words)]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = common_counts([sets[k] for k in left], [sets[k] for k in right])
+        linked = (100 * same >= percent * (size[left][:, None] + size[right] - same)) & (part[left][:, None] != part[right])
+        x, y = np.nonzero(linked)
+        return [np.minimum(rep[left[x]], rep[right[y]]), np.maximum(rep[left[x]], rep[right[y]])]
+
+    return links.unionByName(per_group(cells, ["main", "i", "j"], "a long, b long", work, then=("side",)))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8_192) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(left) or not len(right):
+        return out
+    values = [np.concatenate(x) for x in (left, right)]
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    both = np.intersect1d(*(np.unique(v) for v in values), assume_unique=True)
+    places = [np.searchsorted(both, v) for v in values]
+    for begin in range(0, len(both), columns):
+        there = []
+        for v, owner, place, sets in zip(values, owners, places, (left, right), strict=True):
+            own = (place >= begin) & (place < min(begin + columns, len(both)))
+            own[own] = both[place[own]] == v[own]
+            part = np.zeros((len(sets), min(columns, len(both) - begin)), np.float32)
+            part[owner[own], place[own] - begin] = 1
+            there.append(part)
+        out += (there[0] @ there[1].T).astype(np.int64)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -134,26 +215,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     reps = linked.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     reps = reps.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.flatten(F.collect_set("bands")).alias("bands"))
     cells = table(reps.select("rep", "n", F.explode("bands").alias("key")), "cells")
-    # each class meets the smallest head of its buckets
-    heads = cells.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head < tail").select("key", "head")
-    shared = table(cells.join(heads, "key"), "shared")
-    first = shared.filter("head < rep").groupBy("rep").agg(F.min("head").alias("a")).select("a", F.col("rep").alias("b"))
-    first = table(first, "first-pairs")
+    shared = table(_crowded(cells), "shared")
+    first = table(_partners(shared, shared.select("key", "rep", "central")), "first-pairs")
     wanted = shared.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
     texts = table(texts.groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    links = table(confirmed(first, texts, words, percent), "first-links")
-    # what is still apart in a bucket meets the bucket's other components
-    marked = components(links)
-    marked = table(shared.join(marked, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part")), "marked")
-    parts = marked.groupBy("key", "part").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part")).getField("part").alias("main")).filter("parts > 1")
-    mixed = table(marked.join(mixed.select("key", "main"), "key"), "mixed")
-    small = mixed.filter("part != main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("part").alias("p"))
-    close = (F.col("p") != F.col("part")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    more = small.join(mixed, "key").filter(close).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
-    more = table(more.join(first, ["a", "b"], "left_anti"), "more-pairs")
-    links = links.unionByName(confirmed(more, texts, words, percent))
+    links, tested, found = table(confirmed(first, texts, words, percent), "links"), first, 1
+    for _ in range(HEAD_ROUNDS):
+        mixed = table(_mixed(shared, components(links)), "mixed")
+        strange = mixed.filter("part != main").select("key", "rep", "n")
+        more = _partners(strange, mixed.filter("part = main").select("key", "rep", "central")).join(tested, ["a", "b"], "left_anti")
+        more = table(more, "more-pairs")
+        fresh = table(confirmed(more, texts, words, percent), "more-links")
+        links, tested, found = links.unionByName(fresh), tested.unionByName(more), fresh.count()
+        if not found:
+            break
+    if found:
+        mixed = table(_mixed(shared, components(links)), "mixed")
+    links = links.unionByName(_rest(mixed, texts, words, percent))
     marked = table(components(links), "components")
     of_class = classes.join(marked, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     plain = all_rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

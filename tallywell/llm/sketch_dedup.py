@@ -11,9 +11,9 @@ With 32 bands of 6 bins, two documents at a similarity of 0.8 share no band
 with a probability of 6e-5, at 0.9 of 1e-10.
 
 Groups: texts with equal shingle sets are one class from the start. Each class first meets one head, the most central
-class of its buckets; in further rounds the classes outside a bucket's main component meet that component's head. What is
-then still apart in a bucket is compared with the bucket's other components, in blocks that give links only. So near
-copies of each other never give all their pairs, and no link between different components is left untested.
+class of its buckets. What is then still apart in a bucket is compared with the bucket's other components, in blocks that
+give links only. So near copies of each other never give all their pairs, and no link between different components is
+left untested.
 
 Defined cases: a null text is an empty one; texts without words have no
 shingles and link with nothing; a null doc_id links with nothing, has a null
@@ -33,11 +33,10 @@ from pyspark.sql import functions as F
 
 from tallywell.llm.common import mix, per_group, seeds, shingle_sets, steps, table
 from tallywell.llm.components import components
+from tallywell.plans.skew import is_small
 
 BANDS, ROWS = 32, 6
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
-#: Rounds in which classes outside a bucket's main component meet its most central class.
-HEAD_ROUNDS = 3
 #: Pairs that a small bucket gives at most; larger ones are compared in blocks of BLOCK x BLOCK classes.
 FEW_TESTS, BLOCK = 256, 256
 #: Pairs of one head that one task verifies.
@@ -133,10 +132,10 @@ def _crowded(cells: DataFrame) -> DataFrame:
     return full.join(full.groupBy("rep").agg(F.sum("size").alias("central")), "rep").select("key", "rep", "n", "central")
 
 
-def _partners(asking: DataFrame, heads: DataFrame) -> DataFrame:
-    """(a, b): for each class that asks, the most central class of its buckets, the one it shares most of them with."""
-    top = heads.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("a"))
-    met = asking.join(top, "key").filter("a != rep").groupBy("rep", "a").agg(F.count("*").alias("times"))
+def _partners(shared: DataFrame) -> DataFrame:
+    """(a, b): for each class the most central class of its buckets, the one it shares most of them with."""
+    top = shared.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("a"))
+    met = shared.join(top, "key").filter("a != rep").groupBy("rep", "a").agg(F.count("*").alias("times"))
     best = met.groupBy("rep").agg(F.max(F.struct("times", (-F.col("a")).alias("minus"))).alias("h"))
     return best.select((-F.col("h.minus")).alias("a"), F.col("rep").alias("b"))
 
@@ -203,6 +202,11 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
+def _by_size(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are counted and few; else the texts are shuffled to them."""
+    return F.broadcast(ids) if is_small(ids) else ids
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -211,28 +215,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """
     all_rows = table(sketched(docs, words, bands, rows), "sketches")
     linked = all_rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = table(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = linked.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    reps = reps.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.flatten(F.collect_set("bands")).alias("bands"))
-    cells = table(reps.select("rep", "n", F.explode("bands").alias("key")), "cells")
-    shared = table(_crowded(cells), "shared")
-    first = table(_partners(shared, shared.select("key", "rep", "central")), "first-pairs")
-    wanted = shared.select("rep").distinct()
+    # equal sets have equal sizes and bands
+    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = table(classes, "classes")
+    shared = table(_crowded(classes.select("rep", "n", F.explode("bands").alias("key"))), "shared")
+    # each class meets the most central class of its buckets
+    first = table(_partners(shared), "first-pairs")
+    wanted = _by_size(shared.select("rep").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
     texts = table(texts.groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    links, tested, found = table(confirmed(first, texts, words, percent), "links"), first, 1
-    for _ in range(HEAD_ROUNDS):
-        mixed = table(_mixed(shared, components(links)), "mixed")
-        strange = mixed.filter("part != main").select("key", "rep", "n")
-        more = _partners(strange, mixed.filter("part = main").select("key", "rep", "central")).join(tested, ["a", "b"], "left_anti")
-        more = table(more, "more-pairs")
-        fresh = table(confirmed(more, texts, words, percent), "more-links")
-        links, tested, found = links.unionByName(fresh), tested.unionByName(more), fresh.count()
-        if not found:
-            break
-    if found:
-        mixed = table(_mixed(shared, components(links)), "mixed")
-    links = links.unionByName(_rest(mixed, texts, words, percent))
+    links = table(confirmed(first, texts, words, percent), "first-links")
+    # what is still apart in a bucket meets the bucket's other components
+    mixed = table(_mixed(shared, components(links)), "mixed")
+    links = table(links.unionByName(_rest(mixed, texts, words, percent)), "links")
     marked = table(components(links), "components")
     of_class = classes.join(marked, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     plain = all_rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -241,6 +236,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without the near copies: of each group the smallest doc_id stays; all columns are kept."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """The documents without the near copies: of each group the smallest doc_id stays, of repeated rows one; all columns are kept."""
+    judged = table(near_duplicates(docs, words, percent).select("doc_id", "kept"), "judged")
+    gone = _by_size(judged.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own_id"))
+    rows = rows.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    again = judged.groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("times")).filter("times > 1 and again_id is not null")
+    again = _by_size(table(again.select("again_id"), "repeated"))
+    once = rows.join(again, F.col("own_id") == F.col("again_id"), "left_anti").select("doc")
+    several = rows.join(again, F.col("own_id") == F.col("again_id"), "left_semi")
+    one = several.groupBy("own_id", "doc.text").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc")
+    return once.unionByName(one).select("doc.*")

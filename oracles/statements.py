@@ -372,7 +372,9 @@ UNION ALL SELECT 'skipped_messages', CAST(message_id AS VARCHAR), 'raw text give
 oracle("uniqueness_violations", CATEGORY, OFFERED, MESSAGE, select="""
 SELECT 'categories' AS table_name, slug || '|' || CAST(user_id AS VARCHAR) AS key, count(*) AS rows FROM (SELECT user_id, slug FROM offer UNION ALL SELECT user_id, slug FROM category)
 GROUP BY ALL HAVING count(*) > 1 UNION ALL
-SELECT 'usage_tracking', CAST(user_id AS VARCHAR) || '|' || strftime(received_at, '%Y-%m'), count(*) FROM message GROUP BY ALL HAVING count(*) > 1""")
+SELECT 'usage_tracking', CAST(user_id AS VARCHAR) || '|' || strftime(received_at, '%Y-%m'), count(*) FROM message GROUP BY ALL HAVING count(*) > 1 UNION ALL
+SELECT 'api_keys', sha256(CAST(c_nationkey AS VARCHAR)), count(*) FROM customer GROUP BY ALL HAVING count(*) > 1 UNION ALL
+SELECT 'user_subscriptions', CAST(c_nationkey AS VARCHAR), count(*) FROM customer GROUP BY ALL HAVING count(*) > 1""")
 
 
 def _orphan(column: str, parent: str, key: str) -> str:
@@ -390,6 +392,17 @@ oracle("orphan_rows", TXN, ACCOUNT, LIVE_ACCOUNT, CATEGORY, LIVE_CATEGORY, RULES
 oracle("cascade_delete", TXN, ACCOUNT, "gone AS (SELECT account_id FROM account WHERE deleted_at IS NOT NULL)", select="""
 SELECT id, account_id, CASE WHEN transfer_to_account_id NOT IN (SELECT account_id FROM gone) THEN transfer_to_account_id END AS transfer_to_account_id
 FROM txn WHERE account_id NOT IN (SELECT account_id FROM gone)""")
+oracle("cascade_imports", TXN, CATEGORY, select="""
+SELECT id, CASE WHEN import_id >= '3' THEN import_id END AS import_id,
+  CASE WHEN category_id NOT IN (SELECT category_id FROM category WHERE deleted_at IS NOT NULL) THEN category_id END AS category_id FROM txn""")
+oracle("cascade_children", ACCOUNT, CATEGORY, select="""
+SELECT 'rec-' || account_id AS id FROM account WHERE deleted_at IS NULL
+UNION ALL SELECT 'cat-' || category_id FROM category WHERE parent_id IS NULL OR parent_id NOT IN (SELECT category_id FROM category WHERE parent_id IS NULL AND CAST(category_id[2:2] AS INT) % 2 = 0)""")
+oracle("statement_file", IMPORT, select="""
+SELECT row_id, CAST(coalesce(try_strptime("Date", '%Y-%m-%d'), try_strptime("Date", '%-m/%-d/%Y')) AS DATE) AS date,
+  abs(TRY_CAST(nullif(regexp_extract("Amount", '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DECIMAL(15,2))) AS amount,
+  'expense' AS type, 'cash' AS payment_method, 'import_csv' AS source, 100 AS confidence, "Category" AS raw_category FROM import_row""")
+oracle("ledger_files", TXN, select="SELECT id, date, amount, description, updated_at > TIMESTAMP '1997-01-01 00:00:00' AS changed FROM txn")
 oracle("soft_delete", TXN, select=f"""
 SELECT id, CASE WHEN duplicate_status IS NOT NULL THEN coalesce(deleted_at, {TS}) ELSE deleted_at END AS deleted_at,
   CASE WHEN duplicate_status IS NOT NULL THEN {TS} ELSE updated_at END AS updated_at FROM txn""")

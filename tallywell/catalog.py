@@ -18,6 +18,7 @@ from tallywell.operators import (
     reports,
     resolve,
     rules,
+    sinks,
     statement,
     transfers,
     usage,
@@ -736,9 +737,12 @@ def uniqueness_violations(spark, sf):
         st.stage(spark, sf, "category").select("user_id", "slug")
     )
     usage_rows = st.stage(spark, sf, "message").select("user_id", eventtime.usage_month(F.col("received_at")).alias("month"))
-    return quality.not_unique(offered, "categories", ["slug", "user_id"]).unionByName(
-        quality.not_unique(usage_rows, "usage_tracking", ["user_id", "month"])
-    )
+    keys = st.api_keys(spark, sf).select(F.sha2(F.col("user_id").cast("string"), 256).alias("key_hash"))
+    plans = st.stage(spark, sf, "account").select("user_id")
+    found = quality.not_unique(offered, "categories", ["slug", "user_id"])
+    for rows, table, columns in ((usage_rows, "usage_tracking", ["user_id", "month"]), (keys, "api_keys", ["key_hash"]), (plans, "user_subscriptions", ["user_id"])):
+        found = found.unionByName(quality.not_unique(rows, table, columns))
+    return found
 
 
 @query
@@ -766,6 +770,53 @@ def cascade_delete(spark, sf):
     return kept.select("id", "account_id", "transfer_to_account_id")
 
 
+@query
+def cascade_imports(spark, sf):
+    """Deleted imports and categories leave the ledger's references NULL."""
+    gone = st.stage(spark, sf, "import_row").filter(F.col("import_id") < "3").select("import_id").distinct()
+    lost = st.stage(spark, sf, "category").filter(F.col("deleted_at").isNotNull()).select("category_id")
+    kept = mutate.set_null(mutate.set_null(st.stage(spark, sf, "txn"), "import_id", gone), "category_id", lost)
+    return kept.select("id", "import_id", "category_id")
+
+
+@query
+def cascade_children(spark, sf):
+    """Deleting an account takes its reconciliations along, deleting a parent category its children."""
+    accounts, tree = st.stage(spark, sf, "account"), st.stage(spark, sf, "category")
+    gone = accounts.filter(F.col("deleted_at").isNotNull()).select("account_id")
+    reconciled = mutate.cascade(accounts.select("account_id", F.concat(F.lit("rec-"), "account_id").alias("id")), "account_id", gone)
+    parents = tree.filter(F.col("parent_id").isNull() & (F.substring("category_id", 2, 1).cast("int") % 2 == 0)).select(F.col("category_id").alias("parent_id"))
+    children = mutate.cascade(tree, "parent_id", parents)
+    return reconciled.select("id").unionByName(children.select(F.concat(F.lit("cat-"), "category_id").alias("id")))
+
+
+@query
+def statement_file(spark, sf):
+    """A statement written as CSV and read back: what is imported, with its constants and the row it came from."""
+    rows = st.stage(spark, sf, "import_row")
+    path = shared_dir(spark, "statement-file")
+    named = rows.select("Date", "Amount", "Category", "Account", "Note", F.concat_ws("/", "import_id", "row_id", F.col("user_id").cast("string")).alias("Labels"))
+    named.write.option("header", True).csv(path)
+    back = src.read_statement(spark, path)
+    parts = F.split("Labels", "/")
+    keyed = back.withColumns({"import_id": parts[0], "row_id": parts[1], "user_id": parts[2].cast("bigint"), "Labels": F.lit(None).cast("string")})
+    done = statement.import_statement(keyed, st.stage(spark, sf, "account"), st.slug_categories(spark, sf))
+    return done.select("row_id", "date", "amount", "type", "payment_method", "source", "confidence",
+                       F.get_json_object("raw_text", "$.Category").alias("raw_category"))
+
+
+@query
+def ledger_files(spark, sf):
+    """The ledger appended by month, exported as CSV and read back, beside the rows changed since a moment."""
+    ledger, out = st.stage(spark, sf, "txn"), shared_dir(spark, "ledger-files")
+    sinks.append_ledger(ledger, f"{out}/ledger")
+    stored = src.read_table(spark, f"{out}/ledger").drop("month")
+    sinks.export_csv(stored.select("id", "date", "amount", "description"), f"{out}/csv")
+    shown = spark.read.option("header", True).schema("id string, date date, amount decimal(15,2), description string").csv(f"{out}/csv")
+    changed = sinks.changes_since(stored, F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")).select("id", F.lit(True).alias("changed"))
+    return shown.join(changed, "id", "left").select("id", "date", "amount", "description", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 @query
 def soft_delete(spark, sf):
     ledger = st.stage(spark, sf, "txn")

@@ -21,11 +21,12 @@ from tallywell.session import materialise
 
 
 def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What batches before this one wrote, or None for the first; any other failure to read is an error."""
+    """What batches before this one wrote, or None where none has written a row; any other failure to read is an error."""
     try:
         written = spark.read.parquet(path)
     except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
+        # no folder yet, or batches without a single row left folders without files
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
     return written.filter(F.col("batch_id") < batch_id).drop("batch_id")
@@ -38,25 +39,38 @@ def start(stream: DataFrame, step, checkpoint: str, available_now: bool = True)
 
 
 # -- ingest ------------------------------------------------------------------------------
+#: Folders the ledger's index is cut into by owner, and what duplicates are looked for by.
+OWNER_BUCKETS = 64
+INDEXED = ["id", "message_id", "user_id", "source", "raw_text", "date", "amount", "account_id", "created_at", "deleted_at"]
+
+
+def owner_bucket() -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(OWNER_BUCKETS)).cast("int")
+
+
 def ingest_stream(
     shaped: DataFrame, accounts: DataFrame, categories: DataFrame, rules: DataFrame,
     out: str, checkpoint: str, available_now: bool = True,
 ) -> StreamingQuery:
     """Messages to ledger, skipped and rejects folders under ``out``.
 
-    Duplicates are looked for in the micro-batch and in the stored ledger of the owners the
-    micro-batch names; the rest of the ledger is left out of the join.
+    Duplicates are looked for in the micro-batch and in an index of the stored ledger: the
+    columns that tell duplicates, in folders by owner. A batch reads the folders of its own
+    owners only, never the ledger.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        history = earlier(spark, f"{out}/ledger", batch_id)
+        history = earlier(spark, f"{out}/index", batch_id)
         if history is not None:
+            named = [r["bucket"] for r in batch.select(owner_bucket().alias("bucket")).distinct().collect()]  # OWNER_BUCKETS at most
             owners = batch.select("user_id").distinct().withColumn("_named", F.lit(True))
-            history = lookup(history, owners, ["user_id"], "inner").drop("_named")
+            history = lookup(history.filter(F.col("bucket").isin(named)), owners, ["user_id"], "inner").drop("_named", "bucket")
         done = flows.ingest(batch, accounts, categories, rules, history)
         write_batch(done.ledger, f"{out}/ledger", batch_id)
         write_batch(done.skipped, f"{out}/skipped", batch_id)
         write_batch(done.rejects, f"{out}/rejects", batch_id)
+        written = spark.read.parquet(f"{out}/ledger/batch_id={batch_id}").select(*INDEXED).withColumn("bucket", owner_bucket())
+        written.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/index/batch_id={batch_id}")
 
     return start(shaped, step, checkpoint, available_now)
 

@@ -134,10 +134,21 @@ def test_side_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/rules").filter("ai_prompt IS NOT NULL").count() == 0
 
 
-def test_only_a_missing_path_is_a_first_batch(spark, tmp_path):
-    from pyspark.errors import AnalysisException
-
+def test_only_a_path_without_rows_is_a_first_batch(spark, tmp_path):
     assert jobs.earlier(spark, f"{tmp_path}/nothing", 3) is None
     (tmp_path / "empty").mkdir()
-    with pytest.raises(AnalysisException):
-        jobs.earlier(spark, f"{tmp_path}/empty", 3)
+    assert jobs.earlier(spark, f"{tmp_path}/empty", 3) is None
+    broken = tmp_path / "broken" / "batch_id=0"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        jobs.earlier(spark, f"{tmp_path}/broken", 3).count()
+
+
+def test_a_batch_reads_the_index_folders_of_its_owners(spark, tmp_path):
+    rows = spark.createDataFrame([(u, "x") for u in range(200)], "user_id bigint, raw_text string").withColumn("bucket", jobs.owner_bucket())
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{tmp_path}/index/batch_id=0")
+    history = jobs.earlier(spark, f"{tmp_path}/index", 1)
+    wanted = rows.filter("user_id = 7").select("bucket").head().bucket
+    files = {f.split("bucket=")[1].split("/")[0] for f in history.filter(F.col("bucket").isin([wanted])).select("_metadata.file_path").distinct().toPandas()["file_path"]}
+    assert files == {str(wanted)} and len(history.inputFiles()) > 40

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallywell.session import materialise
 
 #: Bytes of text that one numpy step works on; a single longer text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: [\x20\x09-\x0D] separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -8,7 +8,8 @@ A list that is full of links is saturated: there may be more than it holds. Such
 component, which is compared in blocks that only give counts, never pairs.
 
 Recall is audited against brute force: AUDIT_QUERIES vectors chosen by a hash, compared with all vectors in blocks. As
-long as links are missing, further rounds follow with wider lists, up to MAX_ROUNDS.
+long as links are missing, leaves of a new seed join wider lists, all entries count as fresh again, and further rounds
+follow. If the audit still fails in round MAX_ROUNDS, all vectors are compared with each other in blocks, which is exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
 own component; vectors of different lengths never link; repeated rows are copies of each other; a null vec_id links with
@@ -29,7 +30,7 @@ from tallywell.llm.components import components
 
 NEIGHBOURS, TREES, LEAF, SLICE = 12, 6, 64, 512
 MAX_ROUNDS, AUDIT_QUERIES, RECALL = 6, 1_024, 0.995
-BLOCK = 512
+BLOCK, SIDE = 512, 4_096
 
 
 def _matrix(column: pa.Array, kind=np.float32) -> np.ndarray:
@@ -171,6 +172,68 @@ def _block_counts(members: DataFrame, threshold: float) -> DataFrame:
     return counts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _joined(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component, smallest component that links of this block lead to) of rows and columns, where they differ."""
+    i, j = near.any(axis=1), near.any(axis=0)
+    near, left, right = near[np.ix_(i, j)], left[i], right[j]
+    if not len(left) or (left.min() == left.max() == right.min() == right.max()):
+        return left[:0], left[:0]
+    p, q, high = left, right, np.iinfo(np.int64).max
+    while True:
+        lower = np.minimum(p, np.where(near, q, high).min(axis=1))
+        then = np.minimum(q, np.where(near, lower[:, None], high).min(axis=0))
+        if (lower == p).all() and (then == q).all():
+            break
+        p, q = lower, then
+    own, to = np.concatenate([left, right]), np.concatenate([p, q])
+    return own[own != to], to[own != to]
+
+
+def _compared(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, links) and (a, b): linked members of each member, weighted by their copies, and components that links join.
+
+    All members meet each other in blocks of SIDE x SIDE; no pairs come out.
+    """
+    blocks = -(-members.count() // SIDE) or 1
+    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "id", "weight", "raw")
+
+    def work(group: pa.Table) -> list[np.ndarray]:
+        ids, weight, home, block = (_column(group, c) for c in ("id", "weight", "component", "block"))
+        x = _unit(_vectors(group, "raw", np.float64))
+        one = group["i"][0].as_py() == group["j"][0].as_py()
+        first = np.flatnonzero(block == group["i"][0].as_py())
+        second = first if one else np.flatnonzero(block == group["j"][0].as_py())
+        links, ends, to = np.zeros(len(ids), np.int64), [], []
+        for a in range(0, len(first), BLOCK):
+            own = first[a : a + BLOCK]
+            for b in range(0, len(second), BLOCK):
+                other = second[b : b + BLOCK]
+                near = x[own] @ x[other].T >= threshold
+                if one:
+                    near &= own[:, None] != other
+                else:
+                    links[other] += weight[own] @ near
+                links[own] += near @ weight[other]
+                for held, new in zip((ends, to), _joined(near, home[own], home[other]), strict=True):
+                    held.append(new)
+        joined = np.unique(np.array([np.concatenate(ends), np.concatenate(to)]), axis=1) if ends else np.empty((2, 0), np.int64)
+        some = links > 0
+        return [np.concatenate([ids[some], joined[0]]), np.concatenate([links[some], np.zeros(joined.shape[1], np.int64)]), np.concatenate([ids[some], joined[1]])]
+
+    met = table(per_group(cells, ["i", "j"], "id long, links long, to long", work), "compared")
+    counts = met.filter("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
+    return counts, met.filter("links = 0").select(F.col("id").alias("a"), F.col("to").alias("b")).distinct()
+
+
+def _exact(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id, links, component) from comparing all vectors with each other."""
+    counts, joined = _compared(vectors.select(F.col("id").alias("component"), "id", "weight", "raw"), threshold)
+    out = vectors.select("id").join(counts, "id", "left").join(components(joined), "id", "left")
+    return out.select("id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+
+
 def _of_width(classes: DataFrame, width: int, n: int, threshold: float, k: int) -> tuple[DataFrame, int, int]:
     """(id, links, component) of classes of one vector length, and what the audit found."""
 
@@ -192,9 +255,14 @@ def _of_width(classes: DataFrame, width: int, n: int, threshold: float, k: int)
             crowded = table(parts.join(crowded, "component", "left_semi"), "crowded")
             found, there = _audit(vectors, _without(links, crowded), threshold, AUDIT_QUERIES)
             inside = _crowded_audit(vectors, crowded, threshold)
-            if found + inside >= RECALL * there or turn == MAX_ROUNDS:
+            if found + inside >= RECALL * there:
                 break
-            k += k // 2
+            if turn < MAX_ROUNDS:
+                k += -(-k // 2)
+                more = _leaf_lists(vectors, n, width, k, seed=3 + turn)
+                lists = table(_best(lists.unionByName(more.withColumn("fresh", F.lit(True))).withColumn("fresh", F.lit(True)), k), "lists")
+    else:  # the audit never held
+        return table(_exact(vectors, threshold), "vector-classes"), there, there
     members = vectors.join(crowded, "id").select("component", "id", "weight", "raw")
     exact = _block_counts(members, threshold)
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o")))

@@ -116,3 +116,34 @@ def test_embeddings(spark, monkeypatch):
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
     assert {r.audit_recall for r in out} == {1.0}
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
+
+
+def links_slowly(vectors):
+    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    root = smallest(range(len(x)), np.argwhere(near).tolist())
+    return {i: (int(near[i].sum()), root[i]) for i in range(len(x))}
+
+
+def in_rows(spark, vectors):
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    return df.repartition(3)
+
+
+@pytest.mark.parametrize("rounds", [2, 8])
+def test_links_that_the_first_lists_miss(spark, monkeypatch, rounds):
+    """A sparse start: further rounds with new leaves, or all pairs in blocks, bring the rest."""
+    for name, value in {"TREES": 1, "LEAF": 1, "BLOCK": 32, "SIDE": 100, "MAX_ROUNDS": rounds}.items():
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    draw = np.random.default_rng(10)
+    centres = draw.standard_normal((130, 32))
+    vectors = [centres[i % 130] + 0.12 * draw.standard_normal(32) for i in range(390)]
+    out = nn_descent.near_duplicates(in_rows(spark, vectors), neighbours=2).collect()
+    want = links_slowly(vectors)
+    assert sum(n for n, _ in want.values()) > 500
+    missed = sum(abs(r.n_links - want[r.vec_id][0]) for r in out)
+    assert missed <= 0.01 * sum(n for n, _ in want.values())
+    assert {r.audit_recall for r in out} <= {1.0} or rounds > 2
+    if rounds == 2:
+        assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want

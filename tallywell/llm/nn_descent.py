@@ -4,11 +4,13 @@ Equal vectors are one class from the start. Random-projection leaves give each c
 of NN-descent then let the neighbours of each vector meet each other and keep the best of each list, until lists hardly
 change. Links are the pairs of a list at or above the threshold, recomputed in double precision.
 
-A list that is full of links is saturated: there may be more than it holds. Such lists are enlarged to the vector's whole
-component, which is compared in blocks that only give counts, never pairs.
+A list that is full of links is saturated: there may be more than it holds. The members of all components with such a
+list are crowded. They are all compared with each other, also across components, in blocks that give counts and the
+components that links join, never pairs.
 
-Recall is audited against brute force: AUDIT_QUERIES vectors chosen by a hash, compared with all vectors in blocks. As
-long as links are missing, leaves of a new seed join wider lists, all entries count as fresh again, and further rounds
+Recall is audited against brute force on what the crowded ones do not decide: AUDIT_QUERIES other vectors chosen by a
+hash, compared with all vectors in blocks. The share of links found and the mean share by query must both reach RECALL. As
+long as they do not, leaves of a new seed join wider lists, all entries count as fresh again, and further rounds
 follow. If the audit still fails in round MAX_ROUNDS, all vectors are compared with each other in blocks, which is exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
@@ -130,9 +132,11 @@ def _links(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     return table(wide.select("a", "b", "p", "q").mapInArrow(run, "a long, b long"), "vector-links")
 
 
-def _audit(vectors: DataFrame, links: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
-    """(links found, links there) of a bounded set of queries against all vectors, in blocks."""
-    chosen = vectors.select("id", "raw").orderBy(F.xxhash64("id"), "id").limit(queries).toArrow()
+def _audit(vectors: DataFrame, links: DataFrame, crowded: DataFrame, threshold: float, queries: int) -> tuple[int, int, float]:
+    """(links found, links there, mean share by query) of a bounded set of vectors that are not crowded against all vectors, in blocks."""
+    chosen = vectors.join(crowded, "id", "left_anti").select("id", "raw").orderBy(F.xxhash64("id"), "id").limit(queries).toArrow()
+    if not chosen.num_rows:
+        return 0, 0, 1.0
     ids = chosen["id"].to_numpy()
     q = _unit(_matrix(chosen["raw"].combine_chunks(), np.float64))
 
@@ -145,31 +149,10 @@ def _audit(vectors: DataFrame, links: DataFrame, threshold: float, queries: int)
                 own = other != ids[j]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j][own]), pa.array(other[own])], names=["u", "v"])
 
-    there = vectors.select("id", "raw").mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    row = there.join(links.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.count("*").alias("there")).first()
-    return row["found"], row["there"]
-
-
-def _block_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): linked vectors within the component, weighted by their copies, from blocks of BLOCK x BLOCK."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "raw")
-
-    def work(group: pa.Table) -> list[np.ndarray]:
-        ids, weight, block = (_column(group, c) for c in ("id", "weight", "block"))
-        x = _unit(_vectors(group, "raw", np.float64))
-        first = block == block.min()
-        if group["i"][0].as_py() == group["j"][0].as_py():
-            near = x @ x.T >= threshold
-            np.fill_diagonal(near, False)
-            return [ids, near @ weight]
-        near = x[first] @ x[~first].T >= threshold
-        return [np.concatenate([ids[first], ids[~first]]), np.concatenate([near @ weight[~first], weight[first] @ near])]
-
-    counts = per_group(cells, ["component", "i", "j"], "id long, links long", work)
-    return counts.groupBy("id").agg(F.sum("links").alias("links"))
+    there = vectors.select("id", "raw").mapInArrow(run, "u long, v long").select("u", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    known = there.join(links.withColumn("found", F.lit(1)), ["a", "b"], "left").groupBy("u").agg(F.count("found").alias("found"), F.count("*").alias("there"))
+    row = known.agg(F.sum("found").alias("found"), F.sum("there").alias("there"), F.avg(F.col("found") / F.col("there")).alias("mean")).first()
+    return row["found"] or 0, row["there"] or 0, 1.0 if row["mean"] is None else row["mean"]
 
 
 def _joined(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +236,8 @@ def _of_width(classes: DataFrame, width: int, n: int, threshold: float, k: int)
             parts = table(components(links), "vector-components")
             crowded = parts.join(full, "id").select("component").distinct()
             crowded = table(parts.join(crowded, "component", "left_semi"), "crowded")
-            found, there = _audit(vectors, _without(links, crowded), threshold, AUDIT_QUERIES)
-            inside = _crowded_audit(vectors, crowded, threshold)
-            if found + inside >= RECALL * there:
+            found, there, mean = _audit(vectors, links, crowded, threshold, AUDIT_QUERIES)
+            if found >= RECALL * there and mean >= RECALL:
                 break
             if turn < MAX_ROUNDS:
                 k += -(-k // 2)
@@ -264,38 +246,14 @@ def _of_width(classes: DataFrame, width: int, n: int, threshold: float, k: int)
     else:  # the audit never held
         return table(_exact(vectors, threshold), "vector-classes"), there, there
     members = vectors.join(crowded, "id").select("component", "id", "weight", "raw")
-    exact = _block_counts(members, threshold)
+    exact, joined = _compared(members, threshold)
+    wider = components(joined).select(F.col("id").alias("component"), F.col("component").alias("wide"))
+    parts = parts.join(wider, "component", "left").select("id", F.coalesce("wide", "component").alias("component"))
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("o")))
     plain = ends.join(crowded, "id", "left_anti").join(vectors.select(F.col("id").alias("o"), "weight"), "o").groupBy("id").agg(F.sum("weight").alias("links"))
     counts = exact.unionByName(plain)
     out = vectors.select("id").join(counts, "id", "left").join(parts, "id", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    return table(out, "vector-classes"), found + inside, there
-
-
-def _without(links: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Links outside of the components that are compared in blocks."""
-    return links.join(crowded.select(F.col("id").alias("a")), "a", "left_anti")
-
-
-def _crowded_audit(vectors: DataFrame, crowded: DataFrame, threshold: float) -> int:
-    """Links of the audit's queries that the blocks of crowded components will count."""
-    chosen = vectors.select("id", "raw").orderBy(F.xxhash64("id"), "id").limit(AUDIT_QUERIES)
-    asked = chosen.join(crowded, "id").select("id", "component", "raw").toArrow()
-    if not asked.num_rows:
-        return 0
-    ids, home = asked["id"].to_numpy(), asked["component"].to_numpy()
-    q = _unit(_matrix(asked["raw"].combine_chunks(), np.float64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4 * BLOCK):
-                part = batch.slice(a, 4 * BLOCK)
-                own, where = part.column(0).to_numpy(), part.column(1).to_numpy()
-                near = (_unit(_matrix(part.column(2), np.float64)) @ q.T >= threshold) & (where[:, None] == home) & (own[:, None] != ids)
-                i, j = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j]))], names=["a", "b"])
-
-    return vectors.join(crowded, "id").select("id", "component", "raw").mapInArrow(run, "a long, b long").distinct().count()
+    return table(out, "vector-classes"), found, there
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, neighbours: int = NEIGHBOURS) -> DataFrame:

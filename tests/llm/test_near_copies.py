@@ -147,3 +147,19 @@ def test_links_that_the_first_lists_miss(spark, monkeypatch, rounds):
     assert {r.audit_recall for r in out} <= {1.0} or rounds > 2
     if rounds == 2:
         assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
+def test_links_that_a_large_group_hides(spark, monkeypatch):
+    """Two tight groups that fill their own lists, beside a group with nearly all links."""
+    for name, value in {"BLOCK": 64, "SIDE": 150}.items():
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    draw = np.random.default_rng(12)
+    vectors = [c for c in draw.standard_normal(32) + 0.1 * draw.standard_normal((500, 32))]
+    centre, aside = draw.standard_normal(32), draw.standard_normal(32)
+    for tight in (centre, centre + 0.29 * aside):
+        vectors += [c for c in tight + 0.01 * draw.standard_normal((14, 32))]
+    vectors += [c + 0.12 * draw.standard_normal(32) for c in draw.standard_normal((60, 32)) for _ in range(2)]
+    out = nn_descent.near_duplicates(in_rows(spark, vectors), neighbours=10).collect()
+    want = links_slowly(vectors)
+    assert want[500][0] == 27
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want

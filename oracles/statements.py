@@ -328,6 +328,36 @@ walk AS (
   FROM walk w JOIN known b ON b.user_id = w.user_id AND b.k = w.k + 1)""", recursive=True, select="""
 SELECT user_id, import_id, held, n AS wanted, fits AS accepted FROM walk WHERE k > 0""")
 
+
+def _singly(resource: str, key: str, live: str, cap: int) -> str:
+    return f"""SELECT '{resource}', user_id, batch, CASE WHEN pro THEN k - 1 ELSE least(k - 1, {cap}) END, 1, pro OR k <= {cap}
+FROM (SELECT user_id, {key} AS batch, row_number() OVER (PARTITION BY user_id ORDER BY {key}) AS k, user_id IN (SELECT user_id FROM pro) AS pro FROM {live})"""
+
+
+oracle("resource_limits", CATEGORY, LIVE_CATEGORY, ACCOUNT, LIVE_ACCOUNT, RULES, TXN, IMPORT, SUBSCRIPTION, PRO, """
+loads AS (SELECT user_id, import_id, count(*) AS n, coalesce(list(DISTINCT "Category") FILTER ("Category" IS NOT NULL), []) AS names FROM import_row GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY import_id) AS k, user_id IN (SELECT user_id FROM pro) AS pro FROM loads),
+posted AS (SELECT user_id, count(*) AS n FROM txn WHERE strftime(created_at, '%Y-%m') = '1998-07' GROUP BY ALL),
+owned AS (SELECT user_id, count(*) AS n, list(name) AS names FROM live_category GROUP BY ALL),
+rows_walk AS (
+  SELECT p.user_id, CAST(0 AS BIGINT) AS k, '' AS import_id, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS n, false AS fits, CAST(coalesce(o.n, 0) AS BIGINT) AS at
+  FROM placed p LEFT JOIN posted o ON o.user_id = p.user_id WHERE k = 1
+  UNION ALL
+  SELECT b.user_id, b.k, b.import_id, w.at, b.n, b.pro OR w.at + b.n <= 50, w.at + CASE WHEN b.pro OR w.at + b.n <= 50 THEN b.n ELSE 0 END
+  FROM rows_walk w JOIN placed b ON b.user_id = w.user_id AND b.k = w.k + 1),
+names_walk AS (
+  SELECT p.user_id, CAST(0 AS BIGINT) AS k, '' AS import_id, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS n, false AS fits,
+    CAST(coalesce(o.n, 0) AS BIGINT) AS at, coalesce(o.names, []) AS own
+  FROM placed p LEFT JOIN owned o ON o.user_id = p.user_id WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, import_id, s.at, CAST(len(brought) AS BIGINT), pro OR s.at + len(brought) <= 15, s.at + CASE WHEN pro OR s.at + len(brought) <= 15 THEN len(brought) ELSE 0 END,
+    CASE WHEN pro OR s.at + len(brought) <= 15 THEN list_concat(own, brought) ELSE own END
+  FROM (SELECT b.user_id, b.k, b.import_id, b.pro, w.at, w.own, list_filter(b.names, lambda x: NOT list_contains(w.own, x)) AS brought
+    FROM names_walk w JOIN placed b ON b.user_id = w.user_id AND b.k = w.k + 1) s)""", recursive=True, select=f"""
+SELECT 'transactions' AS resource, user_id, import_id AS batch, held, n AS wanted, fits AS accepted FROM rows_walk WHERE k > 0
+UNION ALL SELECT 'categories', user_id, import_id, held, n, fits FROM names_walk WHERE k > 0
+UNION ALL {_singly('accounts', 'account_id', 'live_account', 4)} UNION ALL {_singly('automations', 'rule_id', 'live_rule', 5)}""")
+
 # -- statements --------------------------------------------------------------------------
 STATEMENT_SLUG = 'CASE "Category" ' + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in fv.STATEMENT_CATEGORIES.items()) + " ELSE 'other' END"
 IMPORTED = f"""

@@ -667,6 +667,34 @@ def limit_enforcement(spark, sf):
     return usage.enforce_limit(held, wanted, "import_id", limit, st.stage(spark, sf, "subscription"))
 
 
+@query
+def resource_limits(spark, sf):
+    """Every resource at its own limit: all rows of imports, categories new to the user, accounts and rules one by one."""
+    plans, settings = st.stage(spark, sf, "subscription"), st.settings(spark)
+    loads, accounts = st.stage(spark, sf, "import_row"), resolve.live(st.stage(spark, sf, "account"))
+    rules, held = resolve.live(st.rules(spark, sf)), resolve.live(st.stage(spark, sf, "category"))
+    ledger = usage.in_month(st.stage(spark, sf, "txn"), "created_at", ledger_now())
+
+    def limit(resource, default):
+        return resolve.setting(settings, f"free_{resource}_limit", default)
+
+    parts = (
+        ("transactions", "import_id", usage.enforce_limit(ledger, loads, "import_id", limit("transactions", 50), plans)),
+        ("categories", "import_id", usage.enforce_new(
+            held, loads.withColumnRenamed("Category", "name"), "import_id", "name", limit("categories", 15), plans)),
+        ("accounts", "account_id", usage.enforce_limit(accounts.limit(0), accounts, "account_id", limit("accounts", 4), plans)),
+        ("automations", "rule_id", usage.enforce_limit(rules.limit(0), rules, "rule_id", limit("automations", 5), plans)),
+    )
+    shown = [
+        df.select(F.lit(resource).alias("resource"), "user_id", F.col(key).cast("string").alias("batch"), "held", "wanted", "accepted")
+        for resource, key, df in parts
+    ]
+    out = shown[0]
+    for df in shown[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 # -- statements --------------------------------------------------------------------------
 def imported(spark, sf):
     return statement.import_statement(

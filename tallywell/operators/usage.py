@@ -149,3 +149,33 @@ def enforce_limit(
     start = F.struct(F.col("held").alias("at"), F.array().cast(kind).alias("rows"))
     folded = F.aggregate("batches", start, step, lambda done: done["rows"])
     return users.select("user_id", F.explode(folded).alias("r")).select("user_id", f"r.{batch_key}", "r.held", "r.wanted", "r.accepted")
+
+
+def enforce_new(held: DataFrame, offered: DataFrame, batch_key: str, item: str, limit: Column, subscriptions: DataFrame) -> DataFrame:
+    """``enforce_limit`` for batches that name what they bring: only items count that a user does not hold yet.
+
+    What an accepted batch brought is held from then on. Missing items bring nothing.
+    """
+    own = held.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"), F.collect_set(item).alias("own"))
+    named = offered.groupBy("user_id", batch_key).agg(F.collect_set(item).alias("items"))
+    entry = F.struct(F.col(batch_key), F.col("items"))
+    users = named.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("batches")).join(own, "user_id", "left")
+    users = with_pro_flag(users, subscriptions).withColumns({
+        "held": F.coalesce("held", F.lit(0).cast("bigint")), "own": F.coalesce("own", F.array().cast("array<string>")),
+        "cap": F.when(F.col("is_pro"), F.lit(2**62)).otherwise(limit.cast("bigint")),
+    })
+
+    def step(done: Column, b: Column) -> Column:
+        new = F.array_except(b["items"], done["own"])
+        fits = done["at"] + F.size(new) <= F.col("cap")
+        row = F.struct(b[batch_key].alias(batch_key), done["at"].alias("held"), F.size(new).cast("bigint").alias("wanted"), fits.alias("accepted"))
+        return F.struct(
+            F.when(fits, done["at"] + F.size(new)).otherwise(done["at"]).alias("at"),
+            F.when(fits, F.concat(done["own"], new)).otherwise(done["own"]).alias("own"),
+            F.concat(done["rows"], F.array(row)).alias("rows"),
+        )
+
+    kind = f"array<struct<{batch_key}:{dict(offered.dtypes)[batch_key]},held:bigint,wanted:bigint,accepted:boolean>>"
+    start = F.struct(F.col("held").alias("at"), F.col("own").alias("own"), F.array().cast(kind).alias("rows"))
+    folded = F.aggregate("batches", start, step, lambda done: done["rows"])
+    return users.select("user_id", F.explode(folded).alias("r")).select("user_id", f"r.{batch_key}", "r.held", "r.wanted", "r.accepted")

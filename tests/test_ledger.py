@@ -250,3 +250,26 @@ def test_current_month_and_pro_in_usage(spark):
     subs = spark.createDataFrame([(2, "pro", "active")], "user_id bigint, plan string, status string")
     out = {r.user_id: (r.used, r.limit, r.over_limit) for r in usage.usage_vs_limits(counts, settings, subs).collect()}
     assert out == {1: (3, 2, True), 2: (3, -1, False)}
+
+
+def test_categories_held_or_brought_before_are_not_new(spark):
+    from tallywell.operators import usage
+
+    held = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "user_id long, name string")
+    offers = [(1, "1", "a"), (1, "1", "b"), (1, "1", "c"), (1, "2", "d"), (1, "2", "e"), (1, "3", "c"), (1, "3", "d"), (1, "4", None), (2, "1", "a"), (2, "1", "x"), (2, "2", "x"), (3, "1", "y"), (3, "1", "y")]
+    offered = spark.createDataFrame(offers, "user_id long, import_id string, name string")
+    plans = spark.createDataFrame([(2, "pro", "active")], "user_id long, plan string, status string")
+    rows = usage.enforce_new(held, offered, "import_id", "name", F.lit(4), plans).collect()
+    assert {(r.user_id, r.import_id): (r.held, r.wanted, r.accepted) for r in rows} == {
+        (1, "1"): (2, 1, True), (1, "2"): (3, 2, False), (1, "3"): (3, 1, True), (1, "4"): (4, 0, True),
+        (2, "1"): (1, 1, True), (2, "2"): (2, 0, True), (3, "1"): (0, 1, True),
+    }
+
+
+def test_every_resource_is_enforced(spark):
+    from tallywell.catalog import QUERIES
+
+    rows = QUERIES["resource_limits"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.resource for r in rows} == {"transactions", "categories", "accounts", "automations"}
+    loads = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert sum(r.wanted for r in rows if r.resource == "transactions") == loads

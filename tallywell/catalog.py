@@ -748,7 +748,7 @@ def constraint_violations(spark, sf):
     account = F.col("account_id").cast("bigint")
     checked = accounts.select("account_id", F.when(account % 10 == 0, "odd").when(account % 2 == 0, "pending").otherwise("completed").alias("status"))
     loads = st.stage(spark, sf, "import_row").select("import_id").distinct().withColumn("status", F.when(F.col("import_id") < "3", "lost").otherwise("completed"))
-    mute = st.stage(spark, sf, "message").select("message_id", F.col("text").alias("raw_text")).filter(F.col("message_id") % 7 == 0)
+    mute = st.stage(spark, sf, "message").select("message_id", F.col("text").alias("raw_text"))
     for rows, table, key, checks in (
         (long, "accounts", "account_id", quality.account_checks()), (nature, "categories", "category_id", quality.category_checks()),
         (named, "automation_rules", "rule_id", quality.rule_checks()), (plans, "subscriptions", "user_id", quality.subscription_checks()),

@@ -273,3 +273,17 @@ def test_every_resource_is_enforced(spark):
     assert {r.resource for r in rows} == {"transactions", "categories", "accounts", "automations"}
     loads = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert sum(r.wanted for r in rows if r.resource == "transactions") == loads
+
+
+def test_missing_texts_of_any_message_are_reported(spark, monkeypatch):
+    from tallywell import catalog
+
+    staged = catalog.st.stage
+
+    def with_gap(spark, sf, view, **options):
+        rows = staged(spark, sf, view, **options)
+        return rows.withColumn("text", F.when(F.col("message_id") != 8, F.col("text"))) if view == "message" else rows
+
+    monkeypatch.setattr(catalog.st, "stage", with_gap)
+    found = catalog.QUERIES["constraint_violations"](spark, "/root/testdata/sf0.001").filter("table_name = 'skipped_messages'")
+    assert "8" in {r.row_id for r in found.collect()}

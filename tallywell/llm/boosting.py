@@ -200,10 +200,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, label: str = "quality") -> Trees:
-    """Trees learnt from at most max_train labelled documents that are not held out."""
+    """Trees learnt from at most max_train labelled documents that are not held out, one row for each id."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(F.min(label).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("known_id"), "known_id").limit(max_train)  # bounded, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("known_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "known_id")
+    rows = rows.groupBy("known_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # the smallest text of a repeated id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

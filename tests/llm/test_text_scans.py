@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -53,6 +54,17 @@ def test_quality_of_held_out_documents(spark):
     assert all((r.predicted == 0) == (r.doc_id % 4 == 0) for r in out if r.held_out)
 
 
+def test_a_repeated_document_is_learnt_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosting, "fit", lambda x, y: seen.append((x, y)))
+    docs = spark.createDataFrame([(1, "b c d")] * 200 + [(1, "a word"), (1, None), (2, "e f"), (4, None)], "doc_id long, text string")
+    boosting.fitted(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int"))
+    (x, y), ids = seen[0], [i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % boosting.HOLD_OUT]
+    texts = {1: "a word", 2: "e f", 4: None}
+    assert y.tolist() == [i % 2 for i in ids]
+    assert np.allclose(x, boosting.statistics(pa.array([texts[i] for i in ids])))
+
+
 def test_quality_of_odd_rows(odd_docs, odd_texts, no_docs, spark):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     trees = boosting.fitted(odd_docs, none)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.llm import boosting, licenses, mixing, nn_descent, packing, pii, randomness, sharding, sketch_dedup, telephony
+from tallywell.llm import anchor_codes, boosting, lexicon, licenses, mixing, nn_descent, packing, pii, randomness, role_repair, sharding, sketch_dedup, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,19 @@ ORACLES["op6_source_mixture"] = mixing.oracle()
 @query
 def op7_nn_descent(spark, sf):
     return nn_descent.near_duplicates(read(spark, sf, "embeddings"), threshold=0.95)
+
+
+@query
+def op11_anchor_codes(spark, sf):
+    return anchor_codes.coded(read(spark, sf, "embeddings"))
+
+
+@query
+def op12_role_repair(spark, sf):
+    conversations = read(spark, sf, "conversations")
+    return role_repair.summaries(conversations, role_repair.damaged(conversations))
+
+
+@query
+def op13_transducer_lexicon(spark, sf):
+    return lexicon.encoded(read(spark, sf, "documents"))

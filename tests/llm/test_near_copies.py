@@ -104,15 +104,20 @@ def test_embeddings(spark, monkeypatch):
     vectors += [vectors[7]] * 20 + [[2 * x for x in vectors[8]]]
     rows = list(enumerate(vectors))
     n = len(rows)
+    rows += [(4, vectors[9]), (4, vectors[10]), (n, vectors[11])]  # one id on several vectors
     rows += [(n, None), (n + 1, []), (n + 2, [0.0] * 16), (n + 3, [float("nan")] * 16), (n + 4, [None] + [1.0] * 15), (n + 5, [float("inf")] * 16), (n + 6, [1.0, 2.0]), (n + 7, [1.0, 2.1]), (None, vectors[0]), (3, vectors[3])]
     df = spark.createDataFrame([(i, v, 1, "x", 1.0) for i, v in rows], "vec_id long, embedding array<double>, label int, key string, weight double").repartition(5)
     out = nn_descent.near_duplicates(df).collect()
-    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    links = [(a, b) for x, (a, p) in enumerate(good) for y, (b, q) in enumerate(good) if x != y and len(p) == len(q) and float(p @ q) >= 0.95]
-    degree, root = Counter(a for a, _ in links), smallest({i for i, _ in rows if i is not None}, links)
-    # vec_id 3 stands there twice: two rows that link with each other
-    twice = {3: degree[3] // 2}
-    want = Counter((i, twice.get(i, degree[i]), root.get(i), i is None or root[i] == i) for i, _ in rows)
+    good = [(at, i, np.array(v) / np.linalg.norm(v)) for at, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = [(a, b) for x, (a, _, p) in enumerate(good) for y, (b, _, q) in enumerate(good) if x != y and len(p) == len(q) and float(p @ q) >= 0.95]
+    degree, root = Counter(a for a, _ in links), smallest(range(len(rows)), links)
+    first = {}
+    for at, i, _ in good:
+        first[root[at]] = min(first.get(root[at], i), i)
+    want = Counter()
+    for at, (i, _) in enumerate(rows):
+        to = first.get(root[at], i)
+        want[i, degree[at], to, i is None or to == i] += 1
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
     assert {r.audit_recall for r in out} == {1.0}
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
@@ -163,3 +168,37 @@ def test_links_that_a_large_group_hides(spark, monkeypatch):
     want = links_slowly(vectors)
     assert want[500][0] == 27
     assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
+def as_members(df, width):
+    return df.selectExpr("vec_id id", "vec_id component", "1L weight", f"{width} width", "cast(embedding as array<double>) raw")
+
+
+def test_crowded_groups_are_not_compared_all_with_all(spark, monkeypatch):
+    """Groups larger than the lists: the component pairs that meet grow with the vectors, not with their square."""
+    meetings = {}
+    for groups in (100, 2000):
+        draw = np.random.default_rng(13)
+        vectors = [c + 0.02 * draw.standard_normal(32) for c in draw.standard_normal((groups, 32)) for _ in range(20)]
+        if groups == 100:
+            out = nn_descent.near_duplicates(in_rows(spark, vectors), neighbours=6).collect()
+            assert {r.vec_id: (r.n_links, r.component_id) for r in out} == links_slowly(vectors)
+        members = as_members(in_rows(spark, vectors), 32).selectExpr("id", "id div 20 component", "weight", "width", "raw")
+        meetings[groups] = nn_descent._meetings(nn_descent._balls(members), 0.95).count()
+    assert meetings[100] >= 100 and meetings[2000] < 1.05 * 20 * meetings[100]  # each group with itself and hardly another
+
+
+@pytest.mark.parametrize("group", [1, 7, 200])
+def test_balls_lose_no_link(spark, monkeypatch, group):
+    """Vectors without any grouping, in components of any radius, over several blocks."""
+    for name, value in {"SIDE": 16, "BLOCK": 8}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+    draw = np.random.default_rng(14)
+    vectors = [draw.standard_normal(3) for _ in range(150)]
+    members = as_members(in_rows(spark, vectors), 3)
+    parts = members.selectExpr("id", f"id div {group} * {group} component")
+    got = {r.id: r.links for r in nn_descent._whole(members.drop("component"), parts, 0.95).collect()}
+    want = links_slowly(vectors)
+    assert got == {i: n for i, (n, _) in want.items()}
+    if group == 1:
+        assert {r.id: r.component for r in nn_descent._whole(members.drop("component"), parts, 0.95).collect()} == {i: c for i, (_, c) in want.items()}

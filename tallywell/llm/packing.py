@@ -6,6 +6,9 @@ with equal residuals are one class with a count, lengths go from long to short,
 tokens, documents and attention cost, by residual norm or weighted dot-product. The plan says which ranks of a length
 go to which bins; ranks come from counts by (length, part of the written table), so nothing is numbered in one task.
 
+Ids are those of the vocabulary file, whose added tokens are found in the text before all else; between them the same ranks are
+merged by `tiktoken`, which is several times as fast on new words.
+
 Defined cases: a null text is an empty one, which is the end id alone; equal rows are packed one by one; very long texts
 become many pieces; an empty table gives no rows. Other columns are not read, whatever their names.
 """
@@ -13,6 +16,7 @@ become many pieces; an empty table gives no rows. Other columns are not read, wh
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +31,8 @@ from tallywell.llm.common import steps, table
 
 CAPACITY = 2048
 END_ID = 0
+#: Of the residual tokens, documents and attention cost in the choice of a bin.
+WEIGHTS = (1.0, 1.0, 1.0)
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 300_000
 #: Texts where blanks and line ends stand alone between words: there each word with its blank is a token group of its own.
@@ -34,12 +40,17 @@ _UNEVEN = re.compile(r"\s\s|[^\S \n]|\x00")
 
 
 class Ids(dict):
-    """Token ids, as little-endian bytes, of a word with the blank before it."""
+    """Token ids, as little-endian bytes, of a word with the blank before it; the vocabulary file's added tokens come first."""
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, vocabulary: str):
         import public_tokenizers
         import tiktoken
 
+        with open(vocabulary, encoding="utf-8") as file:
+            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.added = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -53,6 +64,11 @@ class Ids(dict):
         return out
 
     def of(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[part] if k % 2 else self.plain(part) for k, part in enumerate(self.cut.split(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _UNEVEN.search(text):
@@ -61,21 +77,22 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-_IDS: dict[str, Ids] = {}
+_IDS: dict[tuple[str, str], Ids] = {}
 
 
-def default_ranks() -> str:
+def default_files() -> tuple[str, str]:
+    """The same vocabulary twice: as ranks, and with its added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_bytes(text: str | None, ranks_path: str | None = None) -> bytes:
+def token_bytes(text: str | None, files: tuple[str, str] | None = None) -> bytes:
     """The ids of a text as little-endian unsigned 32-bit numbers."""
-    path = ranks_path or default_ranks()
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path].of(text or "")
+    files = files or default_files()
+    if files not in _IDS:
+        _IDS[files] = Ids(*files)
+    return _IDS[files].of(text or "")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,7 +103,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, rest)] if rest else []) + [(at, capacity) for at in range(rest, n, capacity)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None) -> DataFrame:
     """A row per piece; `part` and `place` number the pieces of one length within one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +112,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
             for step in steps(batch, "text"):
                 rows = []
                 for doc, text in zip(step.column(0).to_pylist(), step.column(1).to_pylist(), strict=True):
-                    ids = memoryview(token_bytes(text, ranks_path) + END_ID.to_bytes(4, "little"))
+                    ids = memoryview(token_bytes(text, files) + END_ID.to_bytes(4, "little"))
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(seen[length])))
                         seen[length] += 1
@@ -112,7 +129,7 @@ def best_fit(
     capacity: int = CAPACITY,
     max_documents: int | None = None,
     max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6),
+    weights: tuple[float, float, float] = WEIGHTS,
     choose: str = "norm",
 ) -> np.ndarray:
     """Rows (length, first rank, end rank, first bin, items per bin, fill before) for a histogram of lengths.
@@ -162,18 +179,27 @@ def best_fit(
     return np.array(out, np.int64).reshape(-1, 6)
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, max_documents: int | None = None, max_cost: int | None = None, choose: str = "norm", ranks_path: str | None = None) -> DataFrame:
+def packed(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    max_documents: int | None = None,
+    max_cost: int | None = None,
+    longest: int | None = None,
+    weights: tuple[float, float, float] = WEIGHTS,
+    choose: str = "norm",
+    files: tuple[str, str] | None = None,
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     max_documents and max_cost bound the pieces and the sum of squared lengths of a sequence; by default they are what a
-    full sequence can hold at most.
+    full sequence can hold at most. Documents beyond `longest` tokens (by default a sequence) are cut.
     """
-    cut_up = table(pieces(docs, capacity, ranks_path), "pieces")
+    cut_up = table(pieces(docs, longest or capacity, files), "pieces")
     counts = table(cut_up.groupBy("length", "part").agg(F.count("*").alias("rows")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("rows").alias("n")).collect()}  # at most `capacity` rows
-    plan = best_fit(totals, capacity, max_documents, max_cost, choose=choose)
+    plan = best_fit(totals, capacity, max_documents, max_cost, weights, choose)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     shift = np.int64(1 << 46)
     begins = plan[:, 0] * shift + plan[:, 1]

@@ -109,12 +109,17 @@ def test_packing(odd_docs, odd_texts, no_docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     expected = Counter()
     for i, t, *_ in odd_texts:
         ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
         expected.update((i, k, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())) for k, (start, n) in enumerate(packing.cut(len(ids), 2048)))
-    rows = packing.packed(odd_docs).collect()
+    added = [(500, "<|endoftext|> x"), (501, "x  y<|endoftext|>")]
+    for i, t in added:
+        ids = plain.encode(t, add_special_tokens=False).ids + [0]
+        assert 50256 in ids
+        expected[i, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    docs = odd_docs.select("doc_id", "text").unionByName(odd_docs.sparkSession.createDataFrame(added, "doc_id long, text string"))
+    rows = packing.packed(docs).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
     total = sum(r.length for r in rows)
     assert check_packing(rows, 2048) == -(-total // 2048)
@@ -126,7 +131,6 @@ def test_tokens_of_uneven_texts():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     texts = ["", " ", "\n", " a", "a ", "a\nb c\n", "it's we'll don't", "a  b", "a\n\nb", "x\ty", "a \nb", "\n a", "12 34, ok!\nNo. 5", "a b c", "<|endoftext|> x", "x\x00y z", " a b", "é è\nê"]
     for text in texts:
         assert np.frombuffer(packing.token_bytes(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
@@ -154,3 +158,33 @@ def test_best_fit_holds_every_capacity(choose):
     assert len(bins) <= bound * 1.25
     with pytest.raises(ValueError):
         packing.best_fit({60: 1}, 100, max_cost=3000)
+
+
+def test_weights_choose_other_bins():
+    """The same capacities, some of which bind, filled otherwise when documents and cost weigh too."""
+    draw = np.random.default_rng(4)
+    counts = dict(Counter(draw.integers(1, 40, 600).tolist()))
+    held = {}
+    for choose in ("norm", "dot"):
+        for w in ((1.0, 0.0, 0.0), (1.0, 1.0, 1.0)):
+            plan = packing.best_fit(counts, 100, max_documents=5, max_cost=2500, weights=w, choose=choose)
+            bins = defaultdict(list)
+            for length, lo, hi, base, each, _ in plan.tolist():
+                for rank in range(lo, hi):
+                    bins[base + (rank - lo) // each].append(length)
+            assert all(sum(b) <= 100 and len(b) <= 5 and sum(n * n for n in b) <= 2500 for b in bins.values())
+            assert any(len(b) == 5 and sum(b) < 100 for b in bins.values())  # the document capacity binds
+            held[choose, w] = sorted(map(tuple, map(sorted, bins.values())))
+    assert held["norm", (1.0, 1.0, 1.0)] != held["norm", (1.0, 0.0, 0.0)]
+    assert held["dot", (1.0, 1.0, 1.0)] != held["dot", (1.0, 0.0, 0.0)]
+
+
+def test_packing_under_all_capacities(odd_docs):
+    rows = packing.packed(odd_docs, capacity=512, max_documents=4, max_cost=150_000, longest=256).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        assert len(places) <= 4 and sum(n * n for _, n in places) <= 150_000
+    assert check_packing(rows, 512) == len(bins) and max(r.length for r in rows) == 256
+    assert any(len(p) == 4 for p in bins.values()) and any(sum(n * n for _, n in p) > 150_000 - 256**2 for p in bins.values())

@@ -1,4 +1,4 @@
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from tallywell.llm import boosting
@@ -44,5 +44,10 @@ def test_stages_against_brute_force(spark, tmp_path, odd_docs, odd_texts):
     assert set(times) <= set(after) and max(times.values()) <= 2  # two epochs at most
     pieces = packed.collect()
     assert Counter(r.doc_id for r in pieces if r.piece == 0) == times
-    total = sum(r.length for r in pieces)
-    assert check_packing(pieces, 2048) <= -(-total // 2048) + 1
+    check_packing(pieces, corpus_pipeline.SEQUENCE_TOKENS)
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sequence_id].append(r.length)
+    for lengths in places.values():
+        assert len(lengths) <= corpus_pipeline.SEQUENCE_DOCUMENTS and sum(n * n for n in lengths) <= corpus_pipeline.SEQUENCE_COST
+    assert max(r.length for r in pieces) <= corpus_pipeline.PIECE_TOKENS

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -81,35 +82,103 @@ def test_quality_of_odd_rows(odd_docs, odd_texts, no_docs, spark):
 
 # -- licences ----------------------------------------------------------------------------
 def notices_slowly(text):
-    found = []
-    for line in re.sub(r"[.!?][ \t]+", "\n", text or "").split("\n"):
-        own = set(licenses.bigrams(line))
-        best = None
-        for name in sorted(licenses.TEMPLATES):
-            other = set(licenses.bigrams(licenses.TEMPLATES[name]))
-            same = len(own & other)
-            if 200 * same >= 80 * (len(own) + len(other)) and (best is None or 2 * same / (len(own) + len(other)) > best[0]):
-                best = (2 * same / (len(own) + len(other)), name)
-        if best:
-            found.append(best)
-    return len(found), ",".join(sorted({n for _, n in found})), max((d for d, _ in found), default=0.0)
+    own, found = licenses.pairs(text or ""), []
+    for name, template in sorted(licenses.TEMPLATES.items()):
+        length, other = len(licenses.pairs(template)), set(licenses.pairs(template))
+        at, last = licenses.anchors(template, 80), None
+        for s in sorted({i - place for i, b in enumerate(own) for a, place in at if a == b}):
+            held = set(own[max(s, 0) : max(s + length, 0)])
+            if 200 * len(held & other) >= 80 * (len(held) + len(other)):
+                if last is None or s - last > length:
+                    found.append([name, 0.0])
+                last = s
+                found[-1][1] = max(found[-1][1], 2 * len(held & other) / (len(held) + len(other)))
+    return len(found), ",".join(sorted({n for n, _ in found})), max((d for _, d in found), default=0.0)
+
+
+def wrapped(text, width, mark=""):
+    lines = textwrap.wrap(" ".join(text.split()), width)
+    return "\n".join(f"{mark}{line}" for line in lines)
 
 
 def test_licences(spark, odd_docs, no_docs):
-    texts = [
-        "Some words. Released under the MIT License. More words",
-        "RELEASED%%% UNDER%%% THE%%% MIT%%% LICENSE!!\nLicensed under the Apache License, Version 2.0.",
-        "Licensed under CC BY-NC 3.0. Released under MIT. Released under",
-        *(" ".join(t.split()[: len(t.split()) * k // 10]) for t in licenses.TEMPLATES.values() for k in (6, 7, 8, 9, 10)),
-        *(f"{a} {b}" for a in list(licenses.TEMPLATES.values())[:3] for b in list(licenses.TEMPLATES.values())[:3]),
-        None,
-        "the the the the the the",
-    ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text")).withColumn("found", F.lit(1))
+    draw, whole = random.Random(6), {n: " ".join(t.split()) for n, t in licenses.TEMPLATES.items()}
+    texts = [wrapped(t, width, mark) for t in whole.values() for width, mark in ((72, ""), (80, " * "), (10**6, ""))]
+    texts += [f"{prose(k, 300)}\n\n# {t.upper()} {prose(k + 50, 200)}" for k, t in enumerate(whole.values())]
+    texts += [f"{whole['mit-text']}\n{prose(1, 40)}\n{wrapped(whole['mit-text'], 60)} {whole['isc']}", f"{whole['mit']} {whole['mit']} x {whole['mit']}"]
+    for t in whole.values():  # words left out, changed and put in; and parts
+        words = t.split()
+        texts += [" ".join(words[: len(words) * k // 10]) for k in (5, 7, 8, 9)]
+        for rate in (0.03, 0.08, 0.2):
+            texts.append(" ".join(w if (x := draw.random()) > rate else "" if x < rate / 3 else f"{w} more" if x < rate / 2 else "other" for w in words))
+    texts += [None, "the the the the the the", "to any person", "hereby granted"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    docs = docs.withColumns({c: F.lit(1) for c in ("found", "pairs", "hits")}).repartition(4)
     got = Counter(tuple(r) for r in licenses.scanned(docs).collect())
     assert got == Counter((r.doc_id, *notices_slowly(r.text)) for r in docs.collect())
     assert got == in_duckdb(licenses.oracle(), docs)
     assert licenses.scanned(no_docs).count() == 0
+    places = licenses.notices(docs).collect()
+    assert Counter(r.doc_id for r in places) == Counter({i: n for i, n, *_ in got if n})
+    plan = licenses.scanned(spark.range(9).selectExpr("id doc_id", "cast(id as string) text"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Exchange", "Join"))
+
+
+def test_headers_as_files_have_them(spark):
+    """Literal headers, wrapped by hand, with the marks of comments; and texts that only come near."""
+    found = {
+        "mit": """MIT License\n\nCopyright (c) 2019 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+        "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <http://www.gnu.org/licenses/>.""",
+        "apache": """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.""",
+        "isc": """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+        "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    }
+    near = ["Permission is hereby granted to walk in the garden, free of charge, and to any person.", "This program is free. Software may be redistributed under terms.", "Licensed under the old law, Version 2.0.", "the License governs the use of the Software"]
+    rows = [(n, t) for n, t in enumerate([*found.values(), *(" ".join(t.split()) for t in found.values()), *near])]
+    out = {r.doc_id: r.licences for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = ["mit-grant,mit-text", "gpl-notice,gpl-program", "apache-2.0,apache-2.0-header", "isc-grant", "bsd-grant"]
+    assert [out[n] for n in range(len(rows))] == want * 2 + [""] * len(near)
 
 
 # -- mixture -----------------------------------------------------------------------------

@@ -11,7 +11,10 @@ from tallywell.llm.common import table
 
 #: Word shingles and similarity of the near-copy stage.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-SEQUENCE_TOKENS = 2048
+#: What a sequence may hold: tokens, pieces of documents, and attention cost (the sum of the squared lengths of its pieces). Pieces are at most
+#: half a sequence, so that the cost of a sequence stays at three eighths of what one document of its length would cost.
+SEQUENCE_TOKENS, SEQUENCE_DOCUMENTS, PIECE_TOKENS = 2048, 24, 1024
+SEQUENCE_COST = 3 * PIECE_TOKENS**2 // 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,8 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in sequences; a document taken twice is packed twice."""
-    return packing.packed(docs, SEQUENCE_TOKENS)
+    """The place of each piece of each document in sequences under every capacity; a document taken twice is packed twice."""
+    return packing.packed(docs, SEQUENCE_TOKENS, SEQUENCE_DOCUMENTS, SEQUENCE_COST, PIECE_TOKENS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

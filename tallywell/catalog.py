@@ -1025,12 +1025,11 @@ def stream_ingest(spark, sf):
 
 def keyed_messages(rows, rule_table):
     """What the cache sees: the text with its owner's context, and whether the result is one that is stored."""
-    parsed_rows = parse.parse_messages(rules.context_sections(rows.filter(F.col("problem").isNull()), rule_table))
+    parsed_rows = parse.parse_messages(rules.context_json(rows.filter(F.col("problem").isNull()), rule_table))
     refused = parse.reject_reason(F.col("amount"), F.col("description"), F.col("category"), F.col("is_transaction"))
-    context = F.when(F.size("sections") > 0, F.to_json("sections"))
     return parsed_rows.select(
         "message_id", (F.col("is_transaction") & refused.isNull()).alias("is_transaction"),
-        dedup.cache_key(F.col("text"), context).alias("cache_key"),
+        dedup.cache_key(F.col("text"), F.col("context")).alias("cache_key"),
         eventtime.epoch_second(F.col("received_at")).alias("second"),
     )
 

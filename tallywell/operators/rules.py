@@ -7,37 +7,42 @@ with higher-order functions, and no transaction-by-rule pairs are shuffled.
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywell import fixed_values as fv
+from tallywell.functions.patterns import may_run
 from tallywell.operators.parse import strip_fence
 from tallywell.operators.resolve import live
-from tallywell.plans.skew import BROADCAST_RULES, is_small, lookup
+from tallywell.plans.once import once
+from tallywell.plans.skew import BROADCAST_BYTES, BROADCAST_RULES, lookup
 from tallywell.schemas import ACTIONS, APPLIED_RULES, CONDITIONS, GENERATED_RULE
+from tallywell.session import materialise
 
 CONDITIONS_BY_NAME = dict(field.strip().split(" ", 1) for field in CONDITIONS.split(", "))
 
 
 def typed_rules(rules: DataFrame) -> DataFrame:
-    """Parse the JSON documents and note the two keys whose presence matters.
+    """Parse the JSON documents, once, and note the two keys whose presence matters.
 
     ``amount_equals`` and ``set_category`` tell an absent key from a JSON null.
     """
-    def has(document: str, key: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
-        return F.array_contains(keys, key)
+    def has(keys: str, key: str) -> Column:
+        return F.coalesce(F.array_contains(keys, key), F.lit(False))
 
-    return rules.withColumns(
+    parsed = once(
+        rules,
         {
             "cond": F.from_json("conditions", CONDITIONS),
             "act": F.from_json("actions", ACTIONS),
-            "has_amount_equals": has("conditions", "amount_equals"),
-            "has_set_category": has("actions", "set_category"),
+            "cond_keys": F.json_object_keys("conditions"),
+            "act_keys": F.json_object_keys("actions"),
             "logic": F.coalesce("condition_logic", F.lit("or")),
-        }
+        },
     )
+    return parsed.withColumns({"has_amount_equals": has("cond_keys", "amount_equals"), "has_set_category": has("act_keys", "set_category")})
 
 
 #: The conditions that are looked at; others are unknown keys, which fit everything.
@@ -45,36 +50,71 @@ EVALUATED = ["description_contains", "description_regex", "raw_text_contains", "
              "from_account", "source"]
 
 
-def with_refusal(rules: DataFrame) -> DataFrame:
-    """Add ``refusal``: why a rule must not run, NULL where it may.
+def with_refusal(typed: DataFrame) -> DataFrame:
+    """Add ``refusal`` to typed rules: why a rule must not run, NULL where it may.
 
     Conditions or actions that are no JSON object, an evaluated condition of the wrong type,
     which would else read as absent and fit everything, and a pattern that would end the job.
     A JSON null counts as absent.
     """
-    cond = F.from_json("conditions", CONDITIONS)
-
-    def unreadable(column: str) -> Column:
-        return F.col(column).isNotNull() & F.json_object_keys(column).isNull()
+    def unreadable(column: str, keys: str) -> Column:
+        return F.col(column).isNotNull() & F.col(keys).isNull()
 
     def wrong(key: str) -> Column:
-        value = cond.getField(key)
+        value = F.col(f"cond.{key}")
         kind = CONDITIONS_BY_NAME[key]
         holes = F.exists(value, lambda v: v.isNull()) if kind.startswith("array") else F.lit(False)
-        return F.get_json_object("conditions", f"$.{key}").isNotNull() & (value.isNull() | holes)
+        stated = F.array_contains("cond_keys", key) & F.get_json_object("conditions", f"$.{key}").isNotNull()
+        return F.coalesce(stated, F.lit(False)) & (value.isNull() | holes)
 
-    reason = F.when(unreadable("conditions"), "unreadable conditions").when(unreadable("actions"), "unreadable actions")
+    reason = F.when(unreadable("conditions", "cond_keys"), "unreadable conditions").when(unreadable("actions", "act_keys"), "unreadable actions")
     for key in EVALUATED:
         reason = reason.when(wrong(key), f"wrong type: {key}")
-    pattern = F.coalesce(F.get_json_object("conditions", "$.description_regex"), F.lit(""))
-    safe = F.pandas_udf(lambda patterns: patterns.map(pattern_is_safe).astype(bool), "boolean")
-    marked = rules.withColumns({"refusal": reason, "_safe": safe(pattern)})
-    return marked.withColumn("refusal", F.coalesce("refusal", F.when(~F.col("_safe"), "bad pattern"))).drop("_safe")
+    return typed.withColumn("refusal", reason.when(~may_run(F.col("cond.description_regex")), "bad pattern"))
+
+
+#: More distinct patterns than these are read from the rules as they come, compiled whenever the pattern changes.
+MAX_LITERALS = 200
+
+
+@dataclass(frozen=True)
+class RuleBook:
+    """A rule table judged and parsed once, for all that reads it."""
+
+    table: DataFrame  # as given
+    judged: DataFrame  # live rules, parsed, with the refusal of those that may not run
+    small: bool  # few and light enough to be broadcast
+    patterns: tuple[str, ...] | None  # the distinct patterns, each compiled once, where they are few
 
+    @property
+    def sound(self) -> DataFrame:
+        return self.judged.filter(F.col("refusal").isNull()).drop("refusal")
 
-def refused_rules(rules: DataFrame) -> DataFrame:
+
+def rule_book(rules: DataFrame | RuleBook, keep: bool = False) -> RuleBook:
+    """Judge and parse a rule table; one look at it tells its size and its patterns. ``keep`` writes the result down."""
+    if isinstance(rules, RuleBook):
+        return rules
+    judged = with_refusal(typed_rules(live(rules)))
+    if keep:
+        judged = materialise(judged, "rules")
+    text = ["conditions", "actions", "name", "prompt_text"]
+    pattern = F.when(F.col("refusal").isNull(), F.nullif(F.col("cond.description_regex"), F.lit("")))
+    seen = judged.limit(BROADCAST_RULES + 1).agg(
+        F.count("*").alias("n"),
+        F.sum(F.length(F.concat_ws("", *text))).alias("characters"),
+        F.collect_set(pattern).alias("patterns"),  # of BROADCAST_RULES rules at most
+    ).first()
+    # a rule stands about three times in its owner's array: as JSON, parsed, and in lower case; a character has four bytes at most
+    small = seen["n"] <= BROADCAST_RULES and 12 * (seen["characters"] or 0) <= BROADCAST_BYTES
+    patterns = tuple(sorted(seen["patterns"]))
+    return RuleBook(rules, judged, small, patterns if small and len(patterns) <= MAX_LITERALS else None)
+
+
+def refused_rules(rules: DataFrame | RuleBook) -> DataFrame:
     """The live rules that do not run, for their owners to mend."""
-    return with_refusal(live(rules)).filter(F.col("refusal").isNotNull()).select("rule_id", "user_id", "name", "refusal")
+    judged = rules.judged if isinstance(rules, RuleBook) else with_refusal(typed_rules(live(rules)))
+    return judged.filter(F.col("refusal").isNotNull()).select("rule_id", "user_id", "name", "refusal")
 
 
 def _keywords_hold(words: Column, lowered: Column, logic: Column) -> Column:
@@ -96,16 +136,28 @@ def _with_lowered(df: DataFrame, description: Column, raw_text: Column) -> DataF
     )
 
 
+def _fits_pattern(rule: Column, description: Column, patterns: tuple[str, ...] | None) -> Column:
+    """Whether the description holds the rule's pattern; of no pattern true.
+
+    Patterns that are known are literals, each compiled once for a task. A rule names its own by number, and only that
+    branch is looked at.
+    """
+    text = F.coalesce(description, F.lit(""))
+    if patterns is None:
+        pattern = F.coalesce(rule.getField("cond").getField("description_regex"), F.lit(""))
+        return F.when(pattern == "", F.lit(True)).otherwise(F.rlike(text, F.concat(F.lit("(?i)"), pattern)))
+    fits = F.when(rule.getField("pattern_no") == 0, F.lit(True))
+    for number, pattern in enumerate(patterns, start=1):
+        fits = fits.when(rule.getField("pattern_no") == number, F.rlike(text, F.lit(f"(?i){pattern}")))
+    return fits.otherwise(F.lit(False))
+
+
 def conditions_hold(
-    rule: Column,
-    description: Column,
-    amount: Column,
-    source: Column,
-    account_id: Column,
+    rule: Column, description: Column, amount: Column, source: Column, patterns: tuple[str, ...] | None = None
 ) -> Column:
-    """Whether one typed rule fits the record. All stated conditions must hold.
+    """Whether one typed rule fits the record, but for its ``from_account``. All stated conditions must hold.
 
-    Reads the lower-case texts that ``_with_lowered`` adds to the row.
+    Reads the lower-case texts that ``_with_lowered`` adds to the row. Cheap conditions come first, the pattern last.
 
     No condition, or only unknown ones, fits everything. ``to_account`` and ``category`` are
     accepted in rules but never looked at.
@@ -117,145 +169,155 @@ def conditions_hold(
 
     low, high = F.get(part("amount_between"), F.lit(0)), F.get(part("amount_between"), F.lit(1))
     outside = F.coalesce(amount < low, F.lit(False)) | F.coalesce(amount > high, F.lit(False))
-    pattern = part("description_regex")
-    fits_pattern = F.rlike(F.coalesce(description, F.lit("")), F.concat(F.lit("(?i)"), pattern))
-    from_account = part("from_account")
     return (
-        _keywords_hold(rule.getField("description_words"), F.col("_low_description"), rule.getField("logic"))
-        & F.when(F.coalesce(pattern, F.lit("")) == "", F.lit(True)).otherwise(fits_pattern)
-        & _keywords_hold(rule.getField("raw_text_words"), F.col("_low_raw_text"), rule.getField("logic"))
-        & (part("amount_between").isNull() | (amount.isNotNull() & ~outside))
+        (part("amount_between").isNull() | (amount.isNotNull() & ~outside))
         & (~rule.getField("has_amount_equals") | F.coalesce(amount == part("amount_equals"), F.lit(False)))
-        & (
-            (F.coalesce(from_account, F.lit("")) == "")
-            | F.coalesce(account_id == from_account, F.lit(False))
-        )
-        & (
-            part("source").isNull()
-            | F.coalesce(F.array_contains(part("source"), source), F.lit(False))
-        )
+        & (part("source").isNull() | F.coalesce(F.array_contains(part("source"), source), F.lit(False)))
+        & _keywords_hold(rule.getField("description_words"), F.col("_low_description"), rule.getField("logic"))
+        & _keywords_hold(rule.getField("raw_text_words"), F.col("_low_raw_text"), rule.getField("logic"))
+        & _fits_pattern(rule, description, patterns)
     )
 
 
+def _asks_no_other(rule: Column, account_id: Column) -> Column:
+    """Whether the rule asks for no account, or for this one."""
+    asked = rule.getField("cond").getField("from_account")
+    return (F.coalesce(asked, F.lit("")) == "") | F.coalesce(account_id == asked, F.lit(False))
+
+
 FOLDED = ["type", "category_id", "account_id", "transfer_to_account_id", "transfer_id", "notes"]
 RULE_FIELDS = ["rule_id", "name", "priority", "transfer_to_account_id", "actions",
                "cond", "act", "has_amount_equals", "has_set_category", "logic",
-               "description_words", "raw_text_words"]
+               "description_words", "raw_text_words", "pattern_no"]
+
 
+def rules_per_user(rules: DataFrame | RuleBook, rule_types: list[str] | None, out: str = "rules") -> DataFrame:
+    """Per user the live rules that may run as an array, highest priority first, ties by rule id.
 
-def rules_per_user(rules: DataFrame, rule_types: list[str] | None, out: str = "rules") -> DataFrame:
-    """Per user the live rules that may run as an array, highest priority first, ties by rule id."""
-    chosen = live(rules)
+    ``feeds_back`` tells whether a rule asks for an account after one that sets the account.
+    """
+    book = rule_book(rules)
+    chosen = book.sound
     if rule_types is not None:
         chosen = chosen.filter(F.col("rule_type").isin(*rule_types))
     else:
         chosen = chosen.filter(~F.col("rule_type").eqNullSafe(F.lit("account_detection")))
-    sound = with_refusal(chosen).filter(F.col("refusal").isNull()).drop("refusal")
-    typed = typed_rules(sound).withColumns(
+    pattern = F.coalesce("cond.description_regex", F.lit(""))
+    known = F.array_position(F.array(*map(F.lit, book.patterns)), pattern) if book.patterns else F.lit(0)
+    typed = chosen.withColumns(
         {
             "description_words": F.transform("cond.description_contains", F.lower),
             "raw_text_words": F.transform("cond.raw_text_contains", F.lower),
+            "pattern_no": F.when(pattern == "", F.lit(0)).otherwise(known).cast("int"),
         }
     )
     payload = F.struct(*[F.col(f) for f in RULE_FIELDS]).alias("rule")
     entry = F.struct((-F.col("priority")).alias("rank"), F.col("rule_id"), payload)
-    ordered = F.sort_array(F.collect_list(entry))
-    return typed.groupBy("user_id").agg(F.transform(ordered, lambda e: e["rule"]).alias(out))
+    grouped = once(typed.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias(out)), {out: F.transform(out, lambda e: e["rule"])})
+    places = F.transform(F.col(out), lambda r, i: F.struct(
+        F.when(F.coalesce(r["act"]["set_account"], F.lit("")) != "", i).alias("sets"),
+        F.when(F.coalesce(r["cond"]["from_account"], F.lit("")) != "", i).alias("asks"),
+    ))
+    first_set, last_asked = F.array_min(F.transform(places, lambda p: p["sets"])), F.array_max(F.transform(places, lambda p: p["asks"]))
+    return grouped.withColumn("feeds_back", F.coalesce(first_set < last_asked, F.lit(False)))
+
+
+def _with_fits(joined: DataFrame, book: RuleBook, rules_column: Column) -> DataFrame:
+    """Add ``_fits``: one flag per rule of the row's owner, looking at the record as it came in but for the account."""
+    lowered = _with_lowered(joined, F.col("description"), F.col("raw_text"))
+    flags = F.transform(
+        rules_column,
+        lambda r: conditions_hold(r, F.col("description"), F.col("amount"), F.col("source"), book.patterns),
+    )
+    return once(lowered, {"_fits": flags}).drop("_low_description", "_low_raw_text")
 
 
-def match_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(transactions: DataFrame, rules: DataFrame | RuleBook) -> DataFrame:
     """One row per (transaction, fitting rule), looking at the record as it came in."""
-    joined = lookup(
-        transactions, rules_per_user(rules, None), ["user_id"], "inner", is_small(rules, BROADCAST_RULES), costly=True
-    )
-    fitting = F.filter(
-        "rules",
-        lambda r: conditions_hold(
-            r, F.col("description"), F.col("amount"), F.col("source"), F.col("account_id")
-        ),
-    )
-    joined = _with_lowered(joined, F.col("description"), F.col("raw_text"))
-    return joined.select(
+    book = rule_book(rules)
+    joined = lookup(transactions, rules_per_user(book, None), ["user_id"], "inner", book.small, costly=True)
+    fitting = F.filter("rules", lambda r, i: F.get("_fits", i) & _asks_no_other(r, F.col("account_id")))
+    return _with_fits(joined, book, F.col("rules")).select(
         *transactions.columns, F.explode(fitting).alias("rule")
     ).select(*transactions.columns, "rule.rule_id", "rule.name", "rule.priority")
 
 
-def apply_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
+def _through_accounts(start: Column) -> Column:
+    """The flags of the rules, where a rule's ``from_account`` sees the account as earlier rules left it."""
+    seen = F.struct(start.alias("account"), F.array().cast("array<boolean>").alias("fits"))
+    asked = F.transform("rules", lambda r, i: F.struct(r.alias("rule"), F.get("_fits", i).alias("fits")))
+
+    def step(acc: Column, item: Column) -> Column:
+        fits = item["fits"] & _asks_no_other(item["rule"], acc["account"])
+        stated = F.nullif(item["rule"]["act"]["set_account"], F.lit(""))
+        return F.struct(
+            F.when(fits, F.coalesce(stated, acc["account"])).otherwise(acc["account"]).alias("account"),
+            F.concat(acc["fits"], F.array(fits)).alias("fits"),
+        )
+
+    return F.aggregate(asked, seen, step)["fits"]
+
+
+def apply_rules(transactions: DataFrame, rules: DataFrame | RuleBook) -> DataFrame:
     """Run each user's rules over each transaction in priority order.
 
     Highest priority first, so for type, category and account the lowest fitting rule has
     the last word, and notes pile up in order. A rule's ``from_account`` sees the account as
     earlier rules left it. Rows whose ``applied_rules`` is already set are left alone.
 
+    A row gets one flag per rule, and each field the value of the last flagged rule that states
+    it. Only rows of owners whose rules feed back (one asks for an account after one that sets
+    it) walk the rules in order, and only for the account.
+
     Needs id, user_id, type, category_id, account_id, transfer_to_account_id, transfer_id,
     notes, description, raw_text, amount, source; ``applied_rules`` is optional.
     """
+    book = rule_book(rules)
     carried = [c for c in transactions.columns if c != "applied_rules"]
-    joined = lookup(
-        transactions, rules_per_user(rules, None), ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True
-    )
+    joined = lookup(transactions, rules_per_user(book, None), ["user_id"], known_small=book.small, costly=True)
     earlier = (
         F.col("applied_rules")
         if "applied_rules" in transactions.columns
         else F.lit(None).cast(APPLIED_RULES)
     )
-    # a rule may clear a field, so the accumulator's fields must be nullable even where the
-    # incoming column is not; no text holds a NUL
-    start = F.struct(
-        *[F.nullif(F.col(f).cast("string"), F.lit("\0")).alias(f) for f in FOLDED],
-        F.array().cast(APPLIED_RULES).alias("applied"),
-    )
-
-    def step(acc: Column, rule: Column) -> Column:
-        act = rule.getField("act")
-
-        def stated(name: str) -> Column:
-            return F.nullif(act.getField(name), F.lit(""))
-
-        link = F.coalesce(stated("link_to_account"), F.nullif(rule["transfer_to_account_id"], F.lit("")))
-        link_id = F.sha2(F.concat_ws("|", F.col("id"), rule["rule_id"]), 256)
-        note = stated("add_note")
-        notes = F.when(note.isNull(), acc["notes"]).when(
-            F.coalesce(acc["notes"], F.lit("")) == "", note
-        ).otherwise(F.concat(acc["notes"], F.lit("\n"), note))
-        changed = F.struct(
-            F.coalesce(stated("set_type"), acc["type"]).alias("type"),
-            F.when(rule["has_set_category"], stated("set_category"))
-            .otherwise(acc["category_id"])
-            .alias("category_id"),
-            F.coalesce(stated("set_account"), acc["account_id"]).alias("account_id"),
-            F.coalesce(link, acc["transfer_to_account_id"]).alias("transfer_to_account_id"),
-            F.when(link.isNotNull(), link_id).otherwise(acc["transfer_id"]).alias("transfer_id"),
-            notes.alias("notes"),
-            F.concat(
-                acc["applied"],
-                F.array(
-                    F.struct(
-                        rule["rule_id"].alias("rule_id"),
-                        rule["name"].alias("rule_name"),
-                        rule["actions"].alias("actions"),
-                    )
-                ),
-            ).alias("applied"),
-        )
-        fits = conditions_hold(
-            rule, F.col("description"), F.col("amount"), F.col("source"), acc["account_id"]
-        )
-        return F.when(fits, changed).otherwise(acc)
-
-    todo = F.when(earlier.isNull(), F.col("rules"))
-    # a NULL array (no rules, or rules already applied) folds to NULL and keeps the record
-    joined = _with_lowered(joined, F.col("description"), F.col("raw_text"))
-    folded = joined.withColumn("_done", F.aggregate(todo, start, step))
-
-    def final(name: str) -> Column:
-        return F.when(F.col("_done").isNull(), F.col(name)).otherwise(F.col("_done")[name]).alias(name)
-
-    fired = F.col("_done")["applied"]
-    applied = F.when(earlier.isNotNull(), earlier).when(F.size(fired) > 0, fired)
-    return folded.select(
-        *[final(c) if c in FOLDED else F.col(c) for c in carried], applied.alias("applied_rules")
-    )
+    marked = _with_fits(joined, book, F.when(earlier.isNull(), F.col("rules")))
+    account = F.col("account_id").cast("string")
+    as_it_came = F.transform("rules", lambda r, i: F.get("_fits", i) & _asks_no_other(r, account))
+    flags = F.when(F.col("feeds_back"), _through_accounts(account)).otherwise(as_it_came)
+    # no flags (no rules, or rules already applied) flag no rule and keep the record
+    marked = once(marked, {"_fits": F.when(F.col("_fits").isNotNull(), flags)})
+    marked = once(marked, {"_fired": F.filter("rules", lambda r, i: F.coalesce(F.get("_fits", i), F.lit(False)))})
+
+    def last(value, states=None) -> Column:
+        """struct(value) of the last fired rule that states it."""
+        stating = F.filter("_fired", states or (lambda r: value(r).isNotNull()))
+        given = F.transform(stating, lambda r: F.struct(value(r).alias("value"), r["rule_id"].alias("rule_id")))
+        return F.try_element_at(given, F.lit(-1))
+
+    def act(name: str):
+        return lambda r: F.nullif(r["act"][name], F.lit(""))
+
+    def link(r: Column) -> Column:
+        return F.coalesce(act("link_to_account")(r), F.nullif(r["transfer_to_account_id"], F.lit("")))
+
+    def text(name: str) -> Column:
+        return F.col(name).cast("string")
+
+    category = last(act("set_category"), lambda r: r["has_set_category"])
+    linked = last(link)
+    added = F.filter(F.transform("_fired", act("add_note")), lambda n: n.isNotNull())
+    notes = F.concat(F.filter(F.array(text("notes")), lambda n: F.coalesce(n, F.lit("")) != ""), added)
+    new = {
+        "type": F.coalesce(last(act("set_type"))["value"], text("type")),
+        "category_id": F.when(category.isNotNull(), category["value"]).otherwise(text("category_id")),
+        "account_id": F.coalesce(last(act("set_account"))["value"], account),
+        "transfer_to_account_id": F.coalesce(linked["value"], text("transfer_to_account_id")),
+        "transfer_id": F.when(linked.isNotNull(), F.sha2(F.concat_ws("|", F.col("id"), linked["rule_id"]), 256)).otherwise(text("transfer_id")),
+        "notes": F.when(F.size(added) > 0, F.array_join(notes, "\n")).otherwise(text("notes")),
+    }
+    named = F.transform("_fired", lambda r: F.struct(r["rule_id"].alias("rule_id"), r["name"].alias("rule_name"), r["actions"].alias("actions")))
+    applied = F.when(earlier.isNotNull(), earlier).when(F.size("_fired") > 0, named)
+    return marked.select(*[new[c].alias(c) if c in FOLDED else F.col(c) for c in carried], applied.alias("applied_rules"))
 
 
 def override_flags(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -267,25 +329,23 @@ def override_flags(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # -- account detection -------------------------------------------------------------------
-def detect_accounts(messages: DataFrame, rules: DataFrame) -> DataFrame:
+def detect_accounts(messages: DataFrame, rules: DataFrame | RuleBook) -> DataFrame:
     """Add the first fitting account-detection rule and the account it sets.
 
     Detection sees the raw text alone. The first fitting rule decides even where it sets no
     account.
     """
-    per_user = rules_per_user(rules, ["account_detection"], "detection_rules")
+    book = rule_book(rules)
+    per_user = rules_per_user(book, ["account_detection"], "detection_rules").drop("feeds_back")
     nothing = F.lit(None)
     fitting = F.filter(
         "detection_rules",
         lambda r: conditions_hold(
-            r, nothing.cast("string"), nothing.cast("decimal(15,2)"),
-            nothing.cast("string"), nothing.cast("string"),
-        ),
+            r, nothing.cast("string"), nothing.cast("decimal(15,2)"), nothing.cast("string"), book.patterns
+        ) & _asks_no_other(r, nothing.cast("string")),
     )
     first = F.get(fitting, F.lit(0))
-    joined = lookup(
-        messages, per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True
-    )
+    joined = lookup(messages, per_user, ["user_id"], known_small=book.small, costly=True)
     return (
         _with_lowered(joined, nothing.cast("string"), F.col("text"))
         .withColumn("_rule", first)
@@ -367,19 +427,6 @@ def _colons(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (field.split(" ", 1) for field in ddl.split(", ")))
 
 
-# -- pattern quarantine ------------------------------------------------------------------
-def pattern_is_safe(pattern: str) -> bool:
-    """Whether a pattern compiles and means the same in Java; what the dialects read differently is refused."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    bare = re.sub(r"\\.", "", pattern)
-    without_counts = re.sub(r"\{\d+(,\d*)?\}", "", bare)
-    nested_class = re.search(r"\[[^\]]*\[", bare)
-    return not ("{" in without_counts or nested_class or "(?P" in bare or "(?(" in bare)
-
-
 # -- digests -----------------------------------------------------------------------------
 def phone_rules(rules: DataFrame) -> DataFrame:
     """Live rules with a phone to match."""
@@ -477,8 +524,8 @@ def active_prompts(rules: DataFrame) -> DataFrame:
     return _lines_per_user(prompted_rules(rules), F.col("prompt_text"), "prompts")
 
 
-def context_sections(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``sections``: account hint, each prompt, transfer digest and rule digest, as far as there are any."""
+def _owner_context(rules: DataFrame) -> DataFrame:
+    """Per user the sections that do not depend on the message: each prompt, transfer digest, rule digest."""
     per_user = (
         rules.select("user_id")
         .distinct()
@@ -486,21 +533,38 @@ def context_sections(messages: DataFrame, rules: DataFrame) -> DataFrame:
         .join(transfer_digest(rules), "user_id", "left")
         .join(rule_digest(rules), "user_id", "left")
     )
+    every = F.concat(F.coalesce("prompts", F.array().cast("array<string>")), F.array("transfer_digest", "rule_digest"))
+    stated = F.filter(every, lambda s: F.coalesce(s, F.lit("")) != "")
+    return per_user.select("user_id", stated.alias("owner_sections"))
+
+
+def _with_owner_context(messages: DataFrame, book: RuleBook, owners: DataFrame) -> DataFrame:
+    """The detected messages with their owner's columns, and ``hint``: the account section."""
     before, between, after = (F.lit(part) for part in fv.ACCOUNT_HINT)
     hint = F.concat(before, "detection_rule_name", between, "detected_account_id", after)
-    sections = F.concat(
-        F.array(hint),
-        F.coalesce("prompts", F.array().cast("array<string>")),
-        F.array("transfer_digest", "rule_digest"),
-    )
-    stated = F.filter(sections, lambda s: F.coalesce(s, F.lit("")) != "")
-    return (
-        lookup(detect_accounts(messages, rules), per_user, ["user_id"], known_small=is_small(rules, BROADCAST_RULES), costly=True)
-        .withColumn("sections", stated)
-        .drop("prompts", "transfer_digest", "rule_digest")
-    )
+    joined = lookup(detect_accounts(messages, book), owners, ["user_id"], known_small=book.small, costly=True)
+    return joined.withColumn("hint", F.nullif(hint, F.lit("")))
+
+
+def context_sections(messages: DataFrame, rules: DataFrame | RuleBook) -> DataFrame:
+    """Add ``sections``: account hint, each prompt, transfer digest and rule digest, as far as there are any."""
+    book = rule_book(rules)
+    joined = _with_owner_context(messages, book, _owner_context(book.table))
+    stated = F.concat(F.filter(F.array("hint"), lambda s: s.isNotNull()), F.coalesce("owner_sections", F.array().cast("array<string>")))
+    return joined.withColumn("sections", stated).drop("owner_sections", "hint")
+
+
+def context_json(messages: DataFrame, rules: DataFrame | RuleBook) -> DataFrame:
+    """Add ``context``: the sections as a JSON array, NULL without any; an owner's own part is written once per owner."""
+    book = rule_book(rules)
+    inner = lambda sections: F.nullif(F.regexp_replace(F.to_json(sections), r"^\[|\]$", ""), F.lit(""))
+    owners = _owner_context(book.table).select("user_id", inner(F.col("owner_sections")).alias("owner_context"))
+    joined = _with_owner_context(messages, book, owners)
+    hint = F.when(F.col("hint").isNotNull(), inner(F.array("hint")))
+    every = F.nullif(F.concat_ws(",", hint, "owner_context"), F.lit(""))
+    return joined.withColumn("context", F.concat(F.lit("["), every, F.lit("]"))).drop("owner_context", "hint")
 
 
-def parse_context(messages: DataFrame, rules: DataFrame) -> DataFrame:
+def parse_context(messages: DataFrame, rules: DataFrame | RuleBook) -> DataFrame:
     """Add ``context``: the sections by blank lines."""
     return context_sections(messages, rules).withColumn("context", F.array_join("sections", "\n\n")).drop("sections")

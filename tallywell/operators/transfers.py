@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tallywell import fixed_values as fv
 from tallywell.functions import transfer
 from tallywell.operators.resolve import named_category
-from tallywell.operators.rules import phone_rules
-from tallywell.plans.skew import BROADCAST_RULES, is_small, lookup
+from tallywell.operators.rules import RuleBook, phone_rules, rule_book
+from tallywell.plans.skew import is_small, lookup
 
 
 def phone_rule_lookup(rules: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def _noted(notes: Column, line: Column) -> Column:
 
 
 def split_transfers(
-    transactions: DataFrame, rules: DataFrame, categories: DataFrame
+    transactions: DataFrame, rules: DataFrame | RuleBook, categories: DataFrame
 ) -> DataFrame:
     """One ledger row per message, or two legs where a phone rule names the other account.
 
@@ -47,14 +47,15 @@ def split_transfers(
     ``transfer_to_account_id``, ``transfer_id`` and the rule's name. Only the outgoing leg
     names the other account, so balances move once.
     """
+    book = rule_book(rules)
     user_categories = named_category(categories, "missing", "missing_category_id").join(
         named_category(categories, "transfer", "transfer_category_id"), "user_id", "full"
     )
     joined = lookup(
         transactions.withColumn("phone", transfer.plain_phone(F.col("phone"))),
-        phone_rule_lookup(rules),
+        phone_rule_lookup(book.table),
         ["user_id", "phone"],
-        known_small=is_small(rules, BROADCAST_RULES),
+        known_small=book.small,
         costly=True,
     )
     joined = lookup(joined, user_categories, ["user_id"], known_small=is_small(categories), costly=True)

@@ -22,7 +22,7 @@ class Ingested:
     refused_rules: DataFrame
 
 
-def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFrame, rule_table: DataFrame) -> DataFrame:
+def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFrame, rule_table: DataFrame | rules.RuleBook) -> DataFrame:
     """Shaped messages to parsed, dated rows with account and category; ``reject`` says why not.
 
     Skipped messages ride along with ``is_transaction`` false and no reject reason.
@@ -49,7 +49,7 @@ def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFra
     return known.withColumn("reject", F.coalesce(reason, late)).drop("cascade_account_id")
 
 
-def post(resolved: DataFrame, categories: DataFrame, rule_table: DataFrame) -> DataFrame:
+def post(resolved: DataFrame, categories: DataFrame, rule_table: DataFrame | rules.RuleBook) -> DataFrame:
     """Resolved transactions to ledger rows: transfers split, rules applied."""
     none = F.lit(None).cast("string")
     rows = resolved.filter(F.col("is_transaction") & F.col("reject").isNull()).withColumns(
@@ -75,13 +75,14 @@ def ingest(
 
     Both feed several branches (ledger, skipped, rejects; duplicate lookups and the flagged
     result), so a written table costs less than computing them again and outlives an
-    executor. Duplicates are looked for in the API channel only, against ``history`` and
+    executor. Rules are judged and parsed once. Duplicates are looked for in the API channel only, against ``history`` and
     the run's own earlier rows.
     """
+    book = rules.rule_book(rule_table, keep=True)
     resolved = materialise(
-        resolve_messages(shaped, accounts, categories, rule_table), "resolved"
+        resolve_messages(shaped, accounts, categories, book), "resolved"
     )
-    posted = materialise(post(resolved, categories, rule_table), "posted")
+    posted = materialise(post(resolved, categories, book), "posted")
     broken = posted.filter(F.col("account_id").isNull()).select("message_id").distinct()
     # a pair whose rule names no destination is refused as a whole
     sound = posted.join(broken, "message_id", "left_anti")
@@ -110,7 +111,7 @@ def ingest(
         ledger=ledger,
         skipped=parse.skipped(resolved, "parsed_bank"),
         rejects=refused.unionByName(unpaired).unionByName(unread),
-        refused_rules=rules.refused_rules(rule_table),
+        refused_rules=rules.refused_rules(book),
     )
 
 

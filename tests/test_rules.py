@@ -188,6 +188,64 @@ def test_unfit_rules_are_refused_and_stop_nobody(spark):
     assert sorted(r.rule_id for r in rules.match_rules(txn, rows).collect()) == ["b", "c", "j"]
 
 
+PLAIN = ["", "^Nomina.*", "^(uber|pan)", "^ok{2}$", r"pago\s+a\s+\w+", "[a-z]+", "[^0-9-]x", "[-a]", "[a-]", r"[\d.]+", "(?:abc)+x", "(a|b)?c", "caf[ée]",
+         r"\$\d{1,3}(?:\.\d{3})*", "a.*b.*c", r"uber\b", "x{0,3}?", "(uber( eats)?|rappi)", "[.]", "[a-z0-9_]", r"a\-b", "^$", "a|", "ñandú", "a&b"]
+REFUSED = ["[a&b]", "(?#note)uber", "(?a)uber", "(?i)a", "(?P<n>a)", "(?<n>a)", "(?=a)b", "(?<!a)b", "(?>a)", r"(a)\1", "a++", "a**", "*a", "(", "a)", "a{", "}", "a]", "[]a]", "[a", "a\\",
+           "[[x]", "[a-z&&b]", "[a[b]]", "[z-a]", r"\p{L}", r"\x41", r"\Qa\E", r"[\b]", r"\Aa", "a{3,1}", "a{1,9999}", ".*.*.*.*x", "(a+)+$", "(a|b)*c", "(a|aa)+", "(?:(?:a|b))+",
+           r"(\w+\s?)*x", "((a*)b)+", "((a)b)+", "(a{1,2})*", "((a+))*", "x" * 600]
+
+
+def test_patterns_that_may_run(spark, evaluate):
+    """Of the patterns that may run, both engines find the same."""
+    from tallywell.functions.patterns import may_run
+
+    assert [p for p, ok in zip(PLAIN + REFUSED, evaluate(may_run, PLAIN + REFUSED), strict=True) if ok] == PLAIN
+    draw = random.Random(5)
+    tokens = ["a", "b", "ab", ".", "*", "+", "?", "(", ")", "(?:", "|", "[", "]", "[ab]", "[^a]", "-", "{2}", "{1,}", "\\d", "\\w", "\\.", "^", "$", "[a-c]", "\\s", "1", " "]
+    made = list({"".join(draw.choice(tokens) for _ in range(draw.randint(1, 8))) for _ in range(3000)})
+    allowed = [p for p, ok in zip(made, evaluate(may_run, made), strict=True) if ok]
+    assert len(allowed) > 150
+    texts = ["", "a", "ab", "abab 1", "b.a-1", "  aab", "c 1 b"]
+    pairs = spark.createDataFrame([(p, t) for p in allowed for t in texts], "p string, t string")
+    for r in pairs.withColumn("fits", F.rlike("t", "p")).collect():
+        assert r.fits == bool(re.search(r.p, r.t)), (r.p, r.t)
+
+
+def test_no_pattern_ends_the_job(spark):
+    table = spark.createDataFrame([rule(f"p{i:02d}", conditions={"description_regex": p}, actions={"add_note": p[:5]}) for i, p in enumerate(REFUSED + PLAIN)], RULE)
+    rows = spark.createDataFrame([txn(1, "uber eats x" + "a" * 40 + "!"), txn(2, None)], TXN)
+    done = {r.id: [a.rule_id for a in r.applied_rules or []] for r in rules.apply_rules(rows, table).collect()}
+    assert {r.rule_id for r in rules.refused_rules(table).collect()} == {f"p{i:02d}" for i in range(len(REFUSED))}
+    want = [f"p{i + len(REFUSED):02d}" for i, p in enumerate(PLAIN) if re.search(p, "uber eats x" + "a" * 40 + "!", re.I)]
+    assert done["1"] == want and len(want) > 5
+
+
+def test_patterns_are_literals_and_only_feedback_folds(spark, monkeypatch):
+    def plan(table, rows):
+        return rules.apply_rules(rows, table)._jdf.queryExecution().optimizedPlan().toString()
+
+    rows = spark.createDataFrame([txn(i) for i in range(4)], TXN)
+    plain = [rule(f"r{i}", conditions={"description_regex": f"^alm{i % 3}"}, actions={"set_type": "income"}) for i in range(9)]
+    book = rules.rule_book(spark.createDataFrame(plain, RULE))
+    assert book.patterns == ("^alm0", "^alm1", "^alm2") and book.small
+    found = re.findall(r"\(\?i\)(\^alm\d)", plan(book, rows))
+    assert sorted(set(found)) == ["^alm0", "^alm1", "^alm2"] and len(found) == 3  # one literal, so one compile, for each
+    fits = [r.applied_rules for r in rules.apply_rules(rows, book).collect()]
+    monkeypatch.setattr(rules, "MAX_LITERALS", 2)  # beyond it, patterns are read from the rules
+    many = rules.rule_book(spark.createDataFrame(plain, RULE))
+    assert many.patterns is None and [r.applied_rules for r in rules.apply_rules(rows, many).collect()] == fits
+
+
+def test_owners_whose_rules_feed_back(spark):
+    sets, asks = {"set_account": "acc-9"}, {"from_account": "acc-1"}
+    table = [rule("a", 90, actions=sets, user=1), rule("b", 10, asks, {"set_type": "income"}, user=1),
+             rule("a", 10, actions=sets, user=2), rule("b", 90, asks, {"set_type": "income"}, user=2), rule("c", 10, asks, user=3), rule("d", 20, actions=sets, user=4)]
+    owners = rules.rules_per_user(spark.createDataFrame(table, RULE), None)
+    assert {r.user_id: r.feeds_back for r in owners.collect()} == {1: True, 2: False, 3: False, 4: False}
+    done = rules.apply_rules(spark.createDataFrame([txn(u, user=u) for u in (1, 2)], TXN), spark.createDataFrame(table, RULE))
+    assert {r.user_id: (r.type, r.account_id) for r in done.collect()} == {1: ("expense", "acc-9"), 2: ("income", "acc-9")}
+
+
 def test_cache_key_holds_the_owners_context(spark):
     """Owners with other prompts share no entry; a refused result is never a hit."""
     import datetime as dt

@@ -1025,7 +1025,8 @@ def stream_ingest(spark, sf):
 
 def keyed_messages(rows, rule_table):
     """What the cache sees: the text with its owner's context, and whether the result is one that is stored."""
-    parsed_rows = parse.parse_messages(rules.context_json(rows.filter(F.col("problem").isNull()), rule_table))
+    book = rules.rule_book(rule_table, keep=True)
+    parsed_rows = parse.parse_messages(rules.context_json(rows.filter(F.col("problem").isNull()), book))
     refused = parse.reject_reason(F.col("amount"), F.col("description"), F.col("category"), F.col("is_transaction"))
     return parsed_rows.select(
         "message_id", (F.col("is_transaction") & refused.isNull()).alias("is_transaction"),

@@ -92,12 +92,14 @@ class RuleBook:
 
 
 def rule_book(rules: DataFrame | RuleBook, keep: bool = False) -> RuleBook:
-    """Judge and parse a rule table; one look at it tells its size and its patterns. ``keep`` writes the result down."""
+    """Judge and parse a rule table; one look at it tells its size and its patterns. ``keep`` writes table and result down."""
     if isinstance(rules, RuleBook):
         return rules
+    if keep:
+        rules = materialise(rules, "rules")
     judged = with_refusal(typed_rules(live(rules)))
     if keep:
-        judged = materialise(judged, "rules")
+        judged = materialise(judged, "judged-rules")
     text = ["conditions", "actions", "name", "prompt_text"]
     pattern = F.when(F.col("refusal").isNull(), F.nullif(F.col("cond.description_regex"), F.lit("")))
     seen = judged.limit(BROADCAST_RULES + 1).agg(

@@ -42,6 +42,8 @@ STEP = 4 << 20
 HELD_WORDS = 200_000
 #: Words that were merged and that a Python worker keeps.
 KEPT_WORDS = 300_000
+#: Longer words are merged with a heap.
+SHORT = 64
 #: Below this character NFC changes nothing, and letters, numbers and white space are those of any Unicode version.
 PLAIN_END = 0x250
 #: Text that goes the tokenizer's own way: other characters, the one capital letter that becomes two characters, special tokens.
@@ -86,13 +88,13 @@ class Rules:
         model = stated["model"]
         self.vocabulary: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.rank = {tuple(pair): (n, self.vocabulary["".join(pair)]) for n, pair in enumerate(map(tuple, model["merges"]))}
+        self.rank = {tuple(pair): n for n, pair in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in stated["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         whole = Tokenizer.from_file(path)
         self._normalise, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
-        self._text = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
-        self.tokens = [self._text[i].encode() for i in range(max(self._text) + 1)]
+        text = {i: t for t, i in (self.vocabulary | self.special).items()}
+        self.tokens = [text[i].encode() + b" " for i in range(max(text) + 1)]  # each with the blank after it
         self._byte = {b: letter for b, letter in enumerate(_byte_letters())}
         self._kept: dict[str, list[int]] = {}
 
@@ -109,7 +111,7 @@ class Rules:
 
     def letters(self, word: str) -> str:
         """A word of a plain piece in the letters of the vocabulary."""
-        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self._byte)
+        return word.encode().decode("latin-1").translate(self._byte)
 
     def merged(self, word: str) -> list[int]:
         """The ids of a word: of all neighbours the pair with the least rank, the leftmost first, becomes one, until none has a rank."""
@@ -125,8 +127,25 @@ class Rules:
         return ids
 
     def _merge(self, word: str) -> list[int]:
-        symbols: list[str | None] = [*word[:-1], word[-1] + self.suffix]
-        symbols = [s for s in symbols if s in self.vocabulary]
+        symbols = [s for s in (*word[:-1], word[-1] + self.suffix) if s in self.vocabulary]
+        return self._merge_long(symbols) if len(symbols) > SHORT else self._merge_short(symbols)
+
+    def _merge_short(self, symbols: list[str]) -> list[int]:
+        """A list of the neighbours' ranks, looked through for each merge."""
+        rank, never = self.rank, len(self.rank)
+        ranks = [rank.get(pair, never) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((symbols[i - 1], symbols[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank.get((symbols[i], symbols[i + 1]), never)
+        return [self.vocabulary[s] for s in symbols]
+
+    def _merge_long(self, symbols: list[str | None]) -> list[int]:
+        """A heap of the neighbours' ranks over a linked list."""
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         heap: list[tuple[int, int, str, str]] = []
 
@@ -134,7 +153,7 @@ class Rules:
             if i >= 0 and after[i] < len(symbols):
                 pair = (symbols[i], symbols[after[i]])
                 if pair in self.rank:
-                    heapq.heappush(heap, (self.rank[pair][0], i, *pair))
+                    heapq.heappush(heap, (self.rank[pair], i, *pair))
 
         for i in range(len(symbols) - 1):
             offer(i)
@@ -310,20 +329,22 @@ def _words_of(pieces: pa.Array, own: Rules) -> tuple[pa.Array, np.ndarray, np.nd
     found = pa.array(own.plain_words(pieces.filter(pa.array(plain)).to_pylist()), pa.large_string()).dictionary_encode()
     texts, place = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
     line_end = texts.index("\n") if texts else -1
-    number: dict[str, int] = {}
-    own_number = np.array([number.setdefault(own.letters(w), len(number)) if w != "\n" else -1 for w in texts], np.int64)
+    for i in np.flatnonzero(pc.match_substring_regex(found.dictionary, "[^!-~]").to_numpy(zero_copy_only=False)):
+        texts[i] = own.letters(texts[i])
     is_word = place != line_end
     ends = np.cumsum(is_word)[~is_word]
-    words = [own_number[place[is_word]]]
+    words = [place[is_word].astype(np.int64)]
     begin, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
     begin[plain], end[plain] = np.concatenate([[0], ends[:-1]]) if len(ends) else 0, ends
     at = len(words[0])
+    number = {} if plain.all() else {w: n for n, w in enumerate(texts)}
     for i in np.flatnonzero(~plain):
         parts = [number.setdefault(w, len(number)) for w in own.words(pieces[i].as_py())]
         begin[i], end[i] = at, at + len(parts)
         at += len(parts)
         words.append(np.array(parts, np.int64))
-    return pa.array(list(number), pa.large_string()), np.concatenate(words), np.stack([begin, end])
+    texts += list(number)[len(texts) :]
+    return pa.array(texts, pa.large_string()), np.concatenate(words), np.stack([begin, end])
 
 
 def word_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -345,7 +366,8 @@ def word_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 np.subtract.at(by_place, end, times)
                 counts = np.bincount(word, np.cumsum(by_place)[:-1], len(words)).astype(np.int64)
                 for w, n in zip(words.to_pylist(), counts.tolist(), strict=True):
-                    seen[w] += n
+                    if n:
+                        seen[w] += n
                 if len(seen) >= HELD_WORDS:
                     yield handed()
                     seen.clear()
@@ -396,11 +418,15 @@ def encode(texts: pa.Array, lexicon: Lexicon, own: Rules) -> tuple[list[bytes],
     pieces, piece, rows = _pieces(texts)
     words, word, (begin, end) = _words_of(pieces, own)
     held, border, ids = lexicon.look_up(words)
-    data, spelled = ids.astype("<u4").tobytes(), {}
-    for w in np.flatnonzero(~held):
-        spelled[int(w)] = np.array(own.merged(words[w].as_py()), "<u4").tobytes()
-    by_word = [spelled[w] if w in spelled else data[4 * a : 4 * b] for w, (a, b) in enumerate(zip(border.tolist(), border[1:].tolist(), strict=False))]
-    text_of_word = [b"".join([own.tokens[i] + b" " for i in np.frombuffer(x, "<u4").tolist()]) for x in by_word]
+    number, own_ids = ids.tolist(), ids.astype("<u4").tobytes()
+    spans = list(zip(border.tolist(), border[1:].tolist(), strict=False))
+    by_word = [own_ids[4 * a : 4 * b] for a, b in spans]
+    text_of_word = [b"".join([own.tokens[i] for i in number[a:b]]) for a, b in spans]
+    unseen = np.flatnonzero(~held)
+    for w, text in zip(unseen.tolist(), words.take(pa.array(unseen)).to_pylist(), strict=True):
+        merged = own.merged(text)
+        by_word[w] = np.array(merged, "<u4").tobytes()
+        text_of_word[w] = b"".join([own.tokens[i] for i in merged])
     places, spans = word.tolist(), list(zip(begin.tolist(), end.tolist(), strict=True))
     by_piece = [b"".join([by_word[w] for w in places[a:b]]) for a, b in spans]
     text_of_piece = [b"".join([text_of_word[w] for w in places[a:b]]) for a, b in spans]

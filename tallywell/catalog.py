@@ -1000,23 +1000,36 @@ def ledger_rejects(spark, sf):
 
 
 # -- streams -----------------------------------------------------------------------------
-def stream_of(spark, sf, table):
-    """The table's file as a stream, run to its end by an available-now trigger."""
-    reader = spark.readStream.schema(st.raw(spark, sf, table).schema)
-    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+#: Parts that a table arrives in.
+ARRIVALS = 3
 
 
-def stream_message(spark, sf):
-    return st.stage_from(spark, "message", events=stream_of(spark, sf, "events"))
+def run_in_parts(spark, sf, table, at, start):
+    """Let a table arrive part by part in the order of ``at``; after each part ``start(stream)`` runs to its end and stops.
+
+    So every stream sees several micro-batches and goes on from its checkpoint twice.
+    """
+    given, folder = st.raw(spark, sf, table), shared_dir(spark, f"arriving-{table}")
+    cuts = given.select(at.cast("double").alias("at")).approxQuantile("at", [k / ARRIVALS for k in range(1, ARRIVALS)], 0.01)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.coalesce(at.cast("double") >= cut, F.lit(False)).cast("int")
+    for number in range(ARRIVALS):
+        given.filter(part == number).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(given.schema).parquet(folder)).awaitTermination()
+
+
+def run_events(spark, sf, view, start):
+    """Events by arrival, staged as one of their views."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    run_in_parts(spark, sf, "events", at, lambda events: start(st.stage_from(spark, view, events=events)))
 
 
 @query
 def stream_ingest(spark, sf):
     out = shared_dir(spark, "stream-ingest")
-    jobs.ingest_stream(
-        src.by_channel(stream_message(spark, sf)), st.stage(spark, sf, "account"), st.slug_categories(spark, sf),
-        st.rules(spark, sf), out, f"{out}/checkpoint",
-    ).awaitTermination()
+    dims = st.stage(spark, sf, "account"), st.slug_categories(spark, sf), st.rules(spark, sf)
+    run_events(spark, sf, "message", lambda rows: jobs.ingest_stream(src.by_channel(rows), *dims, out, f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/ledger").select(
         "id", "message_id", "user_id", "channel", "source", "date", "time", "amount", "type", "account_id", "category_id",
         "transfer_to_account_id", "description", "notes", "duplicate_status", "duplicate_of",
@@ -1038,27 +1051,26 @@ def keyed_messages(rows, rule_table):
 @query
 def stream_dedup(spark, sf):
     out = shared_dir(spark, "stream-dedup")
-    rows = keyed_messages(src.by_channel(stream_message(spark, sf)), st.rules(spark, sf))
-    jobs.cache_stream(rows, out, f"{out}/checkpoint").awaitTermination()
+    book = rules.rule_book(st.rules(spark, sf), keep=True)
+    run_events(spark, sf, "message", lambda rows: jobs.cache_stream(keyed_messages(src.by_channel(rows), book), out, f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/flagged").select("message_id", "cache_key", "cache_hit")
 
 
 @query
 def stream_balances(spark, sf):
     out = shared_dir(spark, "stream-balances")
-    ledger = st.stage_from(
-        spark, "txn", orders=stream_of(spark, sf, "orders"), customer=st.raw(spark, sf, "customer")
-    )
-    jobs.balance_stream(ledger, out, f"{out}/checkpoint").awaitTermination()
+    customer = st.raw(spark, sf, "customer")
+
+    def start(orders):
+        return jobs.balance_stream(st.stage_from(spark, "txn", orders=orders, customer=customer), out, f"{out}/checkpoint")
+
+    run_in_parts(spark, sf, "orders", F.col("o_orderkey"), start)
     return jobs.latest_balances(spark, out)
 
 
 @query
 def stream_quota(spark, sf):
     out = shared_dir(spark, "stream-quota")
-    requests = st.stage_from(spark, "parse_request", events=stream_of(spark, sf, "events"))
-    jobs.quota_stream(
-        requests, st.stage(spark, sf, "usage_stored"), st.stage(spark, sf, "subscription"), st.settings(spark),
-        out, f"{out}/checkpoint",
-    ).awaitTermination()
+    dims = st.stage(spark, sf, "usage_stored"), st.stage(spark, sf, "subscription"), st.settings(spark)
+    run_events(spark, sf, "parse_request", lambda rows: jobs.quota_stream(rows, *dims, out, f"{out}/checkpoint"))
     return spark.read.parquet(f"{out}/decided").select("request_id", "user_id", "month", "allowed", "used", "limit")

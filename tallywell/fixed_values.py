@@ -92,13 +92,13 @@ MERCHANT_WORDS = {
     "groceries": ["exito", "carrefour", "jumbo", "ara", "d1"],
     "drugstore": ["farmatodo", "cruz verde"],
     "electronics": ["apple", "samsung", "xiaomi", "falabella"],
-    "home-garden": ["sodimac", "home center"],
+    "home-garden": ["home center", "sodimac"],
     "utilities": ["epm", "codensa", "eaab"],
     "taxi": ["uber", "didi", "cabify", "beat", "indriver", "taxi"],
     "public-transport": ["metro", "transmilenio", "sitp", "bus"],
     "fuel": ["terpel", "mobil", "esso"],
     "holiday": ["airbnb"],
-    "streaming": ["netflix", "spotify", "disney", "prime video", "hbo", "youtube premium"],
+    "streaming": ["netflix", "spotify", "disney+", "prime video", "hbo", "youtube premium"],
     "education": ["udemy", "platzi", "coursera"],
     "culture-events": ["cinemark", "procinal"],
     "fitness": ["gym", "smartfit", "bodytech"],

@@ -6,6 +6,8 @@ takes and returns columns, so a whole parse is one projection that stays in gene
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,16 +128,21 @@ def _word_table(words: dict[str, list[str]]) -> dict[str, str]:
     return {word: slug for slug, group in words.items() for word in group}
 
 
-WORD_TO_SLUG = _word_table(MERCHANT_WORDS) | _word_table(PLAIN_WORDS)
+#: Names that are also written without their sign.
+UNSIGNED = {w[:-1]: slug for w, slug in _word_table(MERCHANT_WORDS).items() if not w[-1].isalnum()}
+WORD_TO_SLUG = _word_table(MERCHANT_WORDS) | UNSIGNED | _word_table(PLAIN_WORDS)
 
 
 def _alternation(words) -> str:
+    """Words as wholes, the longest first; one that ends in a sign ends there."""
     longest_first = sorted(words, key=lambda w: (-len(w), w))
-    return r"\b(" + "|".join(longest_first) + r")\b"
+    signed = [re.escape(w) for w in longest_first if not w[-1].isalnum()]
+    plain = "(?:" + "|".join(w for w in longest_first if w[-1].isalnum()) + r")\b"
+    return r"\b(" + "|".join([*signed, plain]) + ")"
 
 
 ANY_WORD = _alternation(WORD_TO_SLUG)
-ANY_MERCHANT = _alternation(_word_table(MERCHANT_WORDS))
+ANY_MERCHANT = _alternation(_word_table(MERCHANT_WORDS) | UNSIGNED)
 
 
 def category(folded_description: Column) -> Column:

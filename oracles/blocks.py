@@ -74,9 +74,15 @@ shaped AS (
 
 
 def _skip() -> str:
-    whens = " ".join(f"WHEN {has('f', words)} THEN {q(name)}" for name, words in fv.SKIP_PHRASES)
+    tests = {name: has("f", words) for name, words in fv.SKIP_PHRASES}
+    for name, (_, pattern) in fv.SKIP_PATTERNS.items():
+        tests[name] += f" OR regexp_matches(f, {q(pattern)})"
+    whens = " ".join(f"WHEN {test} THEN {q(name)}" for name, test in tests.items())
     skipped = f"CASE {whens} WHEN regexp_matches(f, {q(fv.REMINDER)}) THEN 'informational' END"
-    return f"CASE WHEN NOT regexp_matches(f, {q(fv.DONE_WITH_AMOUNT)}) THEN {skipped} END"
+    return (
+        f"CASE WHEN regexp_matches(f, {q(fv.SUMMARY)}) THEN 'spending_summary' "
+        f"WHEN NOT regexp_matches(f, {q(fv.DONE_WITH_AMOUNT)}) THEN {skipped} END"
+    )
 
 
 def _thousands(d: str) -> str:

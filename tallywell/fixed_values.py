@@ -77,12 +77,34 @@ SKIP_PHRASES = [
     ),
 ]
 
-# A reminder opens the text; a purchase, payment, withdrawal or transfer with its amount is a transaction whatever else
-# the text says.
+# A reminder opens the text.
 REMINDER = r"^(?:[a-z ]+: *)?recuerda "
+
+# The same reasons with the amount or code in the sentence: words of which one must occur, and the pattern.
+SKIP_PATTERNS = {
+    "balance_inquiry": (["saldo"], r"\b(?:tu|su|el) saldo(?: [a-z]+){0,4} es\b"),
+    "otp_code": (
+        ["codigo", "clave", "token", "otp"],
+        r"\b(?:tu|su|el) (?:codigo|clave|token)(?: [a-z]+){0,4}(?: es:?|:) *\d"
+        r"|\b(?:codigo|clave) otp\b|\botp(?: es:?|:)|\bcodigo de (?:seguridad|acceso)\b",
+    ),
+    "spending_summary": (["gasta"], r"\b(?:gastaste|has gastado)\b(?:[^.\n]|\.\d)*\b(?:este|el|ultimo|esta|la|ultima) (?:mes|ano|semana)\b"),
+}
+
+# What opens as a summary is one, whatever payments it lists.
+SUMMARY = r"^(?:[a-z ]+: *)?resumen(?: *:| de (?:tus )?gastos| del? (?:mes|la semana|ano)| mensual| semanal)"
+
+# A purchase, payment, withdrawal, transfer or receipt with its amount is a transaction whatever else the text says: a
+# verb of the owner's, a receipt, or a noun that opens the text.
+MOVE_NOUNS = r"(?:compra|pago|retiro|avance|transferencia|consignacion|abono|deposito|giro)"
+AMOUNT_FOLLOWS = r" +(?:(?:por|de) +)?(?:(?:un )?valor de +)?(?:(?:\$|cop) *)?\d"
 DONE_WITH_AMOUNT = (
-    r"\b(?:compraste|pagaste|retiraste|transferiste|enviaste|realizaste una transferencia)\b"
+    r"\b(?:compraste|pagaste|retiraste|transferiste|enviaste|consignaste|depositaste"
+    r"|(?:realizaste|hiciste) una? " + MOVE_NOUNS + r")\b"
     r"(?: +(?:por +)?| +[^.\n$]*(?:\$|\bcop) *|[^.\n$]*\$ *)\d"
+    r"|\b(?:recibiste|te (?:enviaron|consignaron|transfirieron|depositaron|abonaron|pagaron))"
+    r"(?: una? " + MOVE_NOUNS + r")?" + AMOUNT_FOLLOWS + r"|^(?:[a-z ]+: *)?(?:[a-z ]*\binforma:? (?:que )?)?(?:una? )?" + MOVE_NOUNS
+    + r"(?: (?:aprobad[ao]|exitos[ao]|realizad[ao]|recibid[ao]))?" + AMOUNT_FOLLOWS
 )
 
 # ---- fixed values: merchant words by category ------------------------------------------

@@ -18,7 +18,9 @@ from tallywell.fixed_values import (
     PLAIN_WORDS,
     DONE_WITH_AMOUNT,
     REMINDER,
+    SKIP_PATTERNS,
     SKIP_PHRASES,
+    SUMMARY,
     WEEKDAY_WORDS,
 )
 from tallywell.functions.text import contains_any, group1, has_any, pad2
@@ -276,11 +278,19 @@ def original_time(folded: Column) -> Column:
 
 # -- skip reason, description, confidence ------------------------------------------------
 def skip_reason(folded: Column) -> Column:
-    """Why a text is no transaction: a telling phrase, unless the text states a payment with its amount."""
+    """Why a text is no transaction: a telling phrase, unless the text states a payment or receipt with its amount.
+
+    A text that opens as a spending summary is one even so.
+    """
     reason = F.when(folded.rlike(REMINDER), SKIP_PHRASES[-1][0])
     for name, phrases in reversed(SKIP_PHRASES):
-        reason = F.when(has_any(folded, phrases), name).otherwise(reason)
-    return F.when(reason.isNotNull() & ~folded.rlike(DONE_WITH_AMOUNT), reason)
+        told = has_any(folded, phrases)
+        if name in SKIP_PATTERNS:
+            words, pattern = SKIP_PATTERNS[name]
+            told = told | (has_any(folded, words) & folded.rlike(pattern))
+        reason = F.when(told, name).otherwise(reason)
+    summary = has_any(folded, ["resumen"]) & folded.rlike(SUMMARY)
+    return F.when(summary, SKIP_PHRASES[0][0]).when(reason.isNotNull() & ~folded.rlike(DONE_WITH_AMOUNT), reason)
 
 
 MERCHANT = [

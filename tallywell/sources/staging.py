@@ -95,7 +95,14 @@ FROM (SELECT event_id, event_type, user_id, ts,
     WHEN 8 THEN CASE user_id % 8 WHEN 0 THEN 'Consulta de saldo en cajero' WHEN 1 THEN 'Activa tu tarjeta de credito Bancolombia'
       WHEN 2 THEN 'Recuerda pagar tu factura antes del 15' WHEN 3 THEN 'Nequi: Pagaste $' || th || '.000 en ' || shop || '. Tu saldo disponible es $20.000'
       WHEN 4 THEN 'Bancolombia: Compraste $' || th || '.000,00 en EXITO con tu T.Deb *' || four || '. Recuerda no compartir tu clave dinamica'
-      WHEN 5 THEN 'Bancolombia: Compraste $' || th || '.000,00 en EXITO con tu T.Deb *' || four || '. Activa tu tarjeta debito virtual' ELSE 'Pan con efectivo de hoy ' || th || '00' END
+      WHEN 5 THEN 'Bancolombia: Compraste $' || th || '.000,00 en EXITO con tu T.Deb *' || four || '. Activa tu tarjeta debito virtual'
+      WHEN 6 THEN CASE CAST(floor(event_id / 10) AS BIGINT) % 6
+        WHEN 0 THEN 'Bancolombia: Compra por $' || th || '.000 en EXITO. Tu saldo disponible es $5.000'
+        WHEN 1 THEN 'Nequi: Recibiste $' || th || '.000 de JUAN. Tu saldo disponible es $1.000.000'
+        WHEN 2 THEN 'Tu saldo es $' || th || '.000' WHEN 3 THEN 'Tu codigo OTP es 123456'
+        WHEN 4 THEN 'Resumen: gastaste $' || th || '.000 en comida este mes'
+        ELSE 'Bancolombia le informa pago exitoso por $' || th || '.000 en ' || shop || '. Actualizamos tus datos' END
+      ELSE 'Pan con efectivo de hoy ' || th || '00' END
     ELSE 'Hola cliente' || chr(13) || chr(10) || 'Bancolombia: Retiraste $' || th || '.000 en CAJERO ' || CAST(user_id % 7 AS STRING)
       || ' con tu Credito *' || four || ', el ' || slashed || chr(13) || chr(10) || 'Gracias' END AS line
   FROM (SELECT event_id, event_type, user_id, ts,

@@ -125,6 +125,13 @@ def test_a_stated_payment_wins_over_skip_phrases(evaluate):
         "Bancolombia: Compraste $119.000,00 en EXITO. Activa tu tarjeta debito virtual",
         "Bancolombia: Transferiste $20,000 a la cuenta *3104633357. Tu saldo disponible es $1.000",
         "20k almuerzo, recuerda guardar el recibo",
+        "Bancolombia: Compra por $50.000 en EXITO. Tu saldo disponible es 5",
+        "Recibiste $500.000 de JUAN. Tu saldo disponible es $1.000.000",
+        "Nequi: Recibiste una transferencia por $20.000 de ANA. Tu saldo es $30.000",
+        "Bancolombia le informa compra aprobada por COP 50.000 en EXITO. Nunca compartas tu clave dinámica",
+        "Te consignaron 80.000 en tu cuenta. Tu saldo disponible es $90.000",
+        "Realizaste un pago por $30.000 a EPM. Tu extracto está disponible",
+        "gastaste 20k en almuerzo", "pague el saldo del mes 20k", "resumen del libro 20k",
     ]
     others = {
         "Bancolombia: tus gastos entre diciembre y enero cambiaron en $1.615.035": "spending_summary",
@@ -134,6 +141,17 @@ def test_a_stated_payment_wins_over_skip_phrases(evaluate):
         "Activa tu tarjeta de credito Bancolombia": "promotional",
         "Recuerda pagar tu factura antes del 15": "informational",
         "Tu cuenta ha sido bloqueada": "informational",
+        "Tu saldo es $20.000": "balance_inquiry",
+        "Bancolombia: el saldo de tu cuenta es $20.000": "balance_inquiry",
+        "tu codigo OTP es 123456": "otp_code",
+        "Tu código de retiro es 123456": "otp_code",
+        "Tu código OTP es 123456 para la compra por $50.000": "otp_code",
+        "Recibiste un código de verificación para tu compra de $50.000": "otp_code",
+        "Resumen: gastaste $500.000 en comida este mes": "spending_summary",
+        "Nequi: Resumen mensual. Pagaste $500.000 en RAPPI": "spending_summary",
+        "Has gastado $80.000 en taxi esta semana": "spending_summary",
+        "Recuerda que tu pago de $50.000 vence el 15": "informational",
+        "Tu pago mínimo es de $50.000. Tu extracto está disponible": "informational",
     }
     got = evaluate(lambda t: parse.skip_reason(fold(t)), payments + list(others))
     assert got == [None] * len(payments) + list(others.values())

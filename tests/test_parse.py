@@ -61,6 +61,19 @@ def test_skip_reasons(parse_texts):
     assert [r[0] for r in parse_texts(list(cases), ["skip_reason"])] == list(cases.values())
 
 
+def test_amounts_beside_balances_codes_and_summaries(parse_texts):
+    cases = {
+        "Bancolombia: Compra por $50.000 en EXITO. Tu saldo disponible es 5": (True, 50000, "EXITO", "groceries"),
+        "Nequi: Recibiste $500.000 de JUAN. Tu saldo disponible es $1.000.000": (True, 500000, None, None),
+        "Tu saldo es $20.000": (False, 0, "", "missing"),
+        "tu codigo OTP es 123456": (False, 0, "", "missing"),
+        "Resumen: gastaste $500.000 en comida este mes": (False, 0, "", "missing"),
+    }
+    got = parse_texts(list(cases), ["is_transaction", "amount", "description", "category"])
+    for row, want in zip(got, cases.values()):
+        assert [g for g, w in zip(row, want) if w is not None] == [w for w in want if w is not None]
+
+
 def test_spoken_dates(parse_texts):
     cases = {
         "5k pan ayer": "15/02/2026", "5k pan anteayer": "14/02/2026", "5k el lunes": "16/02/2026",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell.fixed_values import RETENTION_MONTHS
 from tallywell.functions.eventtime import usage_month
 from tallywell.operators.resolve import setting, with_pro_flag
-from tallywell.plans.skew import lookup, running_total
+from tallywell.plans.skew import first_rows, lookup, running_total
+from tallywell.session import materialise
 
 
 def monthly_usage(parses: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -125,57 +126,127 @@ def resource_counts(**tables: DataFrame) -> DataFrame:
     return out.select("user_id", "resource", "used")
 
 
+SLICES = 64  # parts of one user's batches of one size before their first ones are picked
+HEAD_SETS = 2_000  # sets of one user that one round folds
+
+
+def _owner(user: Column) -> Column:
+    """A key that is never missing: rows without a user belong to one unnamed user."""
+    return F.coalesce(F.concat(F.lit("u"), user.cast("string")), F.lit(""))
+
+
+def _offers(batches: DataFrame, own: DataFrame, limit: Column, subscriptions: DataFrame) -> DataFrame:
+    """Batches beside what their user held at first (``held`` of ``own``), the cap and the plan; written down."""
+    known = with_pro_flag(lookup(batches, own, ["_owner"], costly=True), subscriptions)
+    held = F.coalesce("held", F.lit(0).cast("bigint"))
+    return materialise(known.withColumns({"held": held, "cap": limit.cast("bigint")}), "offers")
+
+
+def _settled(decided: DataFrame, batch_key: str) -> DataFrame:
+    """(user, batch, held before it, wanted, accepted): accepted sizes are summed over ranges of the batch order."""
+    added = F.when(F.col("accepted"), F.col("wanted")).otherwise(F.lit(0).cast("bigint"))
+    done = running_total(decided, ["_owner"], ["_batch"], added, "_total")
+    before = F.col("held") + F.col("_total") - added
+    return done.select("user_id", F.col("_batch").alias(batch_key), before.alias("held"), "wanted", "accepted")
+
+
 def enforce_limit(
     existing: DataFrame, batch: DataFrame, batch_key: str, limit: Column, subscriptions: DataFrame
 ) -> DataFrame:
     """Per user, in the order of batches: whether a whole batch still fits, given those accepted before it.
 
-    A refused batch takes nothing up. Active pro users are never refused. The fold runs over
-    one entry per batch, not per row.
+    A refused batch takes nothing up. Active pro users are never refused. Room only shrinks, so once a
+    batch of some size is refused all later ones of that size are: the accepted batches of size n are the first ones,
+    at most room / n of them. Only those candidates meet in one fold, so its length is bounded by the limit and
+    not by the batches of a user; what was held before each batch is a running total over ranges.
     """
-    held = existing.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
-    wanted = batch.groupBy("user_id", batch_key).agg(F.count(F.lit(1)).alias("wanted"))
-    entry = F.struct(F.col(batch_key), F.col("wanted"))
-    users = wanted.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("batches")).join(held, "user_id", "left")
-    users = with_pro_flag(users.withColumn("held", F.coalesce("held", F.lit(0).cast("bigint"))), subscriptions)
-    users = users.withColumn("cap", F.when(F.col("is_pro"), F.lit(2**62)).otherwise(limit.cast("bigint")))
+    owner = _owner(F.col("user_id")).alias("_owner")
+    own = existing.groupBy(owner).agg(F.count(F.lit(1)).alias("held"))
+    wanted = batch.groupBy(owner, "user_id", F.col(batch_key).alias("_batch")).agg(F.count(F.lit(1)).alias("wanted"))
+    offers = _offers(wanted, own, limit, subscriptions)
+    room = F.col("cap") - F.col("held")
+    fitting = offers.filter(~F.col("is_pro") & (F.col("wanted") <= room))
+    fitting = fitting.withColumn("_slice", F.pmod(F.xxhash64("_batch"), F.lit(SLICES)))
+    for keys in (["_owner", "wanted", "_slice"], ["_owner", "wanted"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_batch"))
+        fitting = fitting.withColumn("_nth", nth).filter(F.col("_nth") * F.col("wanted") <= room)
 
     def step(done: Column, b: Column) -> Column:
         fits = done["at"] + b["wanted"] <= F.col("cap")
-        row = F.struct(b[batch_key].alias(batch_key), done["at"].alias("held"), b["wanted"].alias("wanted"), fits.alias("accepted"))
-        return F.struct(F.when(fits, done["at"] + b["wanted"]).otherwise(done["at"]).alias("at"), F.concat(done["rows"], F.array(row)).alias("rows"))
-
-    kind = f"array<struct<{batch_key}:{dict(batch.dtypes)[batch_key]},held:bigint,wanted:bigint,accepted:boolean>>"
-    start = F.struct(F.col("held").alias("at"), F.array().cast(kind).alias("rows"))
-    folded = F.aggregate("batches", start, step, lambda done: done["rows"])
-    return users.select("user_id", F.explode(folded).alias("r")).select("user_id", f"r.{batch_key}", "r.held", "r.wanted", "r.accepted")
+        return F.when(fits, F.struct(
+            (done["at"] + b["wanted"]).alias("at"), F.concat(done["taken"], F.array(F.struct(b["_batch"].alias("_batch")))).alias("taken")
+        )).otherwise(done)
+
+    kind = f"array<struct<_batch:{dict(offers.dtypes)['_batch']}>>"
+    users = fitting.groupBy("_owner", "held", "cap").agg(F.sort_array(F.collect_list(F.struct("_batch", "wanted"))).alias("batches"))
+    start = F.struct(F.col("held").alias("at"), F.array().cast(kind).alias("taken"))
+    taken = users.select(F.col("_owner").alias("_of"), F.explode(F.aggregate("batches", start, step, lambda done: done["taken"])).alias("_t"))
+    same = (F.col("_owner") == F.col("_of")) & F.col("_batch").eqNullSafe(F.col("_t._batch"))
+    accepted = F.col("is_pro") | F.col("_of").isNotNull()
+    return _settled(offers.join(taken, same, "left").withColumn("accepted", accepted).drop("_of", "_t"), batch_key)
+
+
+def _brought_items(sets: DataFrame) -> DataFrame:
+    """(_owner, _item) that limited users come to hold, from (_owner, _items, _at, held, cap): distinct sets of new items.
+
+    A set that does not fit never fits later: what others bring takes as much room as it can spare the set. So a set is
+    decided once, at its first batch, and accepted if in the end all of it is held. A round folds the first
+    sets of every user and leaves only those open that would still fit, of which the first is then accepted; there
+    are no more rounds than room, and usually one.
+    """
+    left = materialise(sets.withColumns({"at": F.col("held"), "own": F.array().cast("array<string>")}), "open-sets")
+    out = None
+
+    def new(items: Column, own: Column) -> Column:
+        return F.array_except(items, own)
+
+    def step(done: Column, s: Column) -> Column:
+        more = new(s["_items"], done["own"])
+        fits = done["at"] + F.size(more) <= F.col("cap")
+        return F.when(fits, F.struct((done["at"] + F.size(more)).alias("at"), F.concat(done["own"], more).alias("own"))).otherwise(done)
+
+    while not left.isEmpty():
+        head = first_rows(left, ["_owner"], [F.col("_at"), F.col("_items")], HEAD_SETS)
+        users = head.groupBy("_owner", "held", "cap", "at", "own").agg(F.sort_array(F.collect_list(F.struct("_at", "_items"))).alias("sets"))
+        folded = F.aggregate("sets", F.struct(F.col("at").cast("bigint").alias("at"), F.col("own").alias("own")), step)
+        state = materialise(users.select("_owner", folded.alias("_s"), F.col("own").alias("_before")), "brought")
+        brought = state.select("_owner", F.explode(F.array_except("_s.own", "_before")).alias("_item"))
+        out = brought if out is None else out.unionByName(brought)
+        moved = lookup(left.drop("at", "own"), state.select("_owner", "_s.at", "_s.own"), ["_owner"])
+        more = F.size(new(F.col("_items"), F.col("own")))
+        left = materialise(moved.filter((more > 0) & (F.col("at") + more <= F.col("cap"))), "open-sets")
+    return left.select("_owner", F.lit("").alias("_item")) if out is None else out
 
 
 def enforce_new(held: DataFrame, offered: DataFrame, batch_key: str, item: str, limit: Column, subscriptions: DataFrame) -> DataFrame:
     """``enforce_limit`` for batches that name what they bring: only items count that a user does not hold yet.
 
-    What an accepted batch brought is held from then on. Missing items bring nothing.
+    What an accepted batch brought is held from then on. Missing items bring nothing. No user's batches meet in one
+    task: sets larger than the room are refused by their count, equal sets are decided once, and an item is
+    new in the batches up to the first accepted one that names it.
     """
-    own = held.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"), F.collect_set(item).alias("own"))
-    named = offered.groupBy("user_id", batch_key).agg(F.collect_set(item).alias("items"))
-    entry = F.struct(F.col(batch_key), F.col("items"))
-    users = named.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("batches")).join(own, "user_id", "left")
-    users = with_pro_flag(users, subscriptions).withColumns({
-        "held": F.coalesce("held", F.lit(0).cast("bigint")), "own": F.coalesce("own", F.array().cast("array<string>")),
-        "cap": F.when(F.col("is_pro"), F.lit(2**62)).otherwise(limit.cast("bigint")),
-    })
-
-    def step(done: Column, b: Column) -> Column:
-        new = F.array_except(b["items"], done["own"])
-        fits = done["at"] + F.size(new) <= F.col("cap")
-        row = F.struct(b[batch_key].alias(batch_key), done["at"].alias("held"), F.size(new).cast("bigint").alias("wanted"), fits.alias("accepted"))
-        return F.struct(
-            F.when(fits, done["at"] + F.size(new)).otherwise(done["at"]).alias("at"),
-            F.when(fits, F.concat(done["own"], new)).otherwise(done["own"]).alias("own"),
-            F.concat(done["rows"], F.array(row)).alias("rows"),
-        )
-
-    kind = f"array<struct<{batch_key}:{dict(offered.dtypes)[batch_key]},held:bigint,wanted:bigint,accepted:boolean>>"
-    start = F.struct(F.col("held").alias("at"), F.col("own").alias("own"), F.array().cast(kind).alias("rows"))
-    folded = F.aggregate("batches", start, step, lambda done: done["rows"])
-    return users.select("user_id", F.explode(folded).alias("r")).select("user_id", f"r.{batch_key}", "r.held", "r.wanted", "r.accepted")
+    owner = _owner(F.col("user_id")).alias("_owner")
+    name = F.col(item).cast("string").alias("_item")
+    own = held.groupBy(owner).agg(F.count(F.lit(1)).alias("held"))
+    known = held.select(owner, name).distinct().withColumn("_own", F.lit(True))
+    named = offered.select(owner, "user_id", F.struct(F.col(batch_key).alias("_batch")).alias("_at"), name).distinct()
+    fresh = F.col("_item").isNotNull() & F.col("_own").isNull()
+    rows = materialise(lookup(named, known, ["_owner", "_item"], costly=True).select(*named.columns, fresh.alias("_new")), "offered-items")
+    offers = _offers(rows.groupBy("_owner", "user_id", "_at").agg(F.count_if("_new").alias("_size")), own, limit, subscriptions)
+
+    small = offers.filter(~F.col("is_pro") & (F.col("_size") > 0) & (F.col("_size") <= F.col("cap") - F.col("held")))
+    sets = rows.filter("_new").join(small.select("_owner", "_at", "held", "cap"), ["_owner", "_at"])
+    sets = sets.groupBy("_owner", "_at", "held", "cap").agg(F.array_sort(F.collect_set("_item")).alias("_items"))
+    sets = sets.groupBy("_owner", "_items", "held", "cap").agg(F.min("_at").alias("_at"))
+
+    got = _brought_items(sets).withColumn("_got", F.lit(True))
+    rows = lookup(rows, got, ["_owner", "_item"])
+    missing = rows.groupBy("_owner", "_at").agg(F.count_if(F.col("_new") & F.col("_got").isNull()).alias("_missing"))
+    fits = F.col("is_pro") | ((F.col("_missing") == 0) & (F.col("held") <= F.col("cap")))
+    decided = materialise(offers.join(missing, ["_owner", "_at"]).withColumn("accepted", fits), "decided")
+    placed = materialise(rows.filter("_new").join(decided.select("_owner", "_at", "accepted"), ["_owner", "_at"]), "placed-items")
+    since = placed.filter("accepted").groupBy("_owner", "_item").agg(F.min("_at").alias("_since"))
+    still_new = F.col("_since").isNull() | (F.col("_at") <= F.col("_since"))
+    counted = lookup(placed, since, ["_owner", "_item"]).groupBy("_owner", "_at").agg(F.count_if(still_new).alias("wanted"))
+    full = decided.join(counted, ["_owner", "_at"], "left").withColumns({"wanted": F.coalesce("wanted", F.lit(0).cast("bigint")), "_batch": F.col("_at._batch")})
+    return _settled(full.drop("_at", "_size", "_missing"), batch_key)

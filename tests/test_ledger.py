@@ -266,6 +266,66 @@ def test_categories_held_or_brought_before_are_not_new(spark):
     }
 
 
+def _folded(own, offers, cap, pro):
+    """One user's batches in order, one at a time: (held before, wanted, accepted) of each."""
+    at, own, out = own[0], set(own[1]), {}
+    for batch in sorted(offers, key=lambda b: (b is not None, b)):
+        brings = offers[batch]
+        new = brings if isinstance(brings, int) else len(set(brings) - own - {None})
+        fits = pro or at + new <= cap
+        out[batch] = (at, new, fits)
+        if fits:
+            at += new
+            own |= set() if isinstance(brings, int) else set(brings)
+    return out
+
+
+@pytest.mark.parametrize("head_sets", [2, 2_000])
+def test_limits_equal_one_batch_at_a_time(spark, monkeypatch, head_sets):
+    """Random users, with missing users, batches and items, against a plain walk."""
+    import random
+
+    from tallywell.operators import usage
+
+    monkeypatch.setattr(usage, "HEAD_SETS", head_sets)
+    rng, items = random.Random(7), "abcdefghij"
+    users = [None, *range(30)]
+    held = {u: [rng.choice([*items, None]) for _ in range(rng.randrange(8))] for u in users}
+    offers = {
+        u: {b: [rng.choice([*items[: rng.randrange(2, 11)], None]) for _ in range(rng.randrange(1, 6))] for b in rng.sample([None, *range(12)], 9)}
+        for u in users
+    }
+    have = spark.createDataFrame([(u, i) for u in users for i in held[u]], "user_id long, name string")
+    brought = spark.createDataFrame([(u, b, i) for u in users for b in offers[u] for i in offers[u][b]], "user_id long, import_id long, name string")
+    plans = spark.createDataFrame([(u, "pro", "active") for u in (1, 2)], "user_id long, plan string, status string")
+    got = {(r.user_id, r.import_id): (r.held, r.wanted, r.accepted) for r in usage.enforce_new(have, brought, "import_id", "name", F.lit(8), plans).collect()}
+    want = {(u, b): v for u in users for b, v in _folded((len(held[u]), held[u]), offers[u], 8, u in (1, 2)).items()}
+    assert got == want
+    counts = {u: {b: len(v) for b, v in offers[u].items()} for u in users}
+    got = {(r.user_id, r.import_id): (r.held, r.wanted, r.accepted) for r in usage.enforce_limit(have, brought, "import_id", F.lit(14), plans).collect()}
+    assert got == {(u, b): v for u in users for b, v in _folded((len(held[u]), ()), counts[u], 14, u in (1, 2)).items()}
+
+
+def test_batches_of_one_user_are_many_tasks(spark):
+    """100,000 batches of one user: what the limit lets in is picked in slices, and the rest spreads over ranges."""
+    from tallywell.operators import usage
+
+    batch = spark.range(100_000).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("batch"), F.explode(F.sequence(F.lit(1), 1 + F.col("id") % 3)))
+    none = spark.createDataFrame([], "user_id long, plan string, status string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join small partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = usage.enforce_limit(batch.limit(0), batch, "batch", F.lit(50), none)
+        parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = [r for r in out.collect() if r.accepted]
+    assert sum(r["count"] for r in parts) == 100_000 and max(r["count"] for r in parts) < 40_000
+    assert sum(r.wanted for r in rows) == 50 and [r.batch for r in sorted(rows, key=lambda r: r.batch)][:3] == [0, 1, 2]
+
+
 def test_every_resource_is_enforced(spark):
     from tallywell.catalog import QUERIES
 

@@ -77,6 +77,23 @@ def test_jump_hash():
     assert np.bincount(a, minlength=40).min() > 20
 
 
+def test_shards_of_one_id_and_of_copies(spark, monkeypatch):
+    """An id on most rows is cut into buckets, and the copies of one row are written in runs; slots stay gapless."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(sharding, "RUN", 64)
+    ids = spark.range(3_000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    copies = spark.range(2_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'same' AS text")
+    others = spark.range(1_000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
+    out = sharding.sharded(ids.unionByName(copies).unionByName(others), 4)
+    rows = out.collect()
+    assert len(rows) == 6_000 and len({(r.shard, r.slot) for r in rows}) == 6_000
+    for shard in range(4):
+        slots = [r.slot for r in rows if r.shard == shard]
+        assert sorted(slots) == list(range(len(slots)))
+    assert {r.shard for r in rows if r.doc_id == 7} == {jump_slowly(int(mix(np.array([7], np.uint64))[0]), 4)}
+    assert sum(r.doc_id is None for r in rows) == 2_000
+
+
 def test_shards(odd_docs, odd_texts, no_docs, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)  # several buckets per shard
     rows = sharding.sharded(odd_docs, 4).collect()

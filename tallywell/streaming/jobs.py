@@ -7,6 +7,8 @@ Nothing is kept in a driver or executor between batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,7 @@ from tallywell.operators.sinks import write_batch
 from tallywell.plans import flows
 from tallywell.plans.skew import lookup
 from tallywell.session import materialise
+from tallywell.sources.messages import spread
 
 
 def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -65,7 +68,7 @@ def ingest_stream(
             named = [r["bucket"] for r in batch.select(owner_bucket().alias("bucket")).distinct().collect()]  # OWNER_BUCKETS at most
             owners = batch.select("user_id").distinct().withColumn("_named", F.lit(True))
             history = lookup(history.filter(F.col("bucket").isin(named)), owners, ["user_id"], "inner").drop("_named", "bucket")
-        done = flows.ingest(batch, accounts, categories, rules, history)
+        done = flows.ingest(spread(batch), accounts, categories, rules, history)
         write_batch(done.ledger, f"{out}/ledger", batch_id)
         write_batch(done.skipped, f"{out}/skipped", batch_id)
         write_batch(done.rejects, f"{out}/rejects", batch_id)
@@ -76,15 +79,21 @@ def ingest_stream(
 
 
 # -- 24-hour de-duplication --------------------------------------------------------------
-def cache_stream(keyed: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def cache_stream(
+    messages: DataFrame, out: str, checkpoint: str, available_now: bool = True,
+    keyed: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
     """Cache hit or miss per message (see ``dedup.cache_hits``) across micro-batches.
 
+    The messages are keyed already, or ``keyed`` does so with each micro-batch, dealt out to
+    more tasks than its files have splits.
+
     State is the folder of misses. A miss matters for 24 hours, and the misses are stored by
     day, so a batch reads the days it can depend on and no others.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = materialise(batch, "cache-batch")
+        batch = materialise(keyed(spread(batch)) if keyed else batch, "cache-batch")
         misses = earlier(spark, f"{out}/misses", batch_id)
         last = None
         if misses is not None:
@@ -102,7 +111,7 @@ def cache_stream(keyed: DataFrame, out: str, checkpoint: str, available_now: boo
         )
         stored.write.mode("overwrite").partitionBy("day").parquet(f"{out}/misses/batch_id={batch_id}")
 
-    return start(keyed, step, checkpoint, available_now)
+    return start(messages, step, checkpoint, available_now)
 
 
 # -- balances ----------------------------------------------------------------------------

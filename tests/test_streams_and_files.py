@@ -56,6 +56,28 @@ def test_cache_in_batches_equals_one_batch(spark, event_files, tmp_path):
     assert rows(spark.read.parquet(f"{out}/flagged"), "message_id", "cache_hit") == rows(whole, "message_id", "cache_hit")
 
 
+def test_a_batch_is_dealt_out_before_it_is_keyed(spark, event_files, tmp_path):
+    """A stream's files may have fewer splits than there are cores; keying parses every text."""
+    out, seen, table = str(tmp_path), [], st.rules(spark, SF)
+
+    def keyed(batch):
+        seen.append(batch.rdd.getNumPartitions())
+        return keyed_messages(batch, table)
+
+    rows_in = src.by_channel(stream(spark, event_files, "message"))
+    jobs.cache_stream(rows_in, out, f"{out}/check", keyed=keyed).awaitTermination()
+    whole = dedup.cache_hits(keyed_messages(src.by_channel(st.stage(spark, SF, "message")), table))
+    assert rows(spark.read.parquet(f"{out}/flagged"), "message_id", "cache_hit") == rows(whole, "message_id", "cache_hit")
+    assert seen == [spark.sparkContext.defaultParallelism] * 3
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    cores = spark.sparkContext.defaultParallelism
+    scan = spark.range(0, 3 * cores * src.TASK_ROWS, 1, cores)
+    assert src.spread(scan).rdd.getNumPartitions() == 3 * cores
+    assert src.spread(spark.range(0, 10, 1, cores)).rdd.getNumPartitions() == cores
+
+
 def test_quota_in_batches_equals_one_batch(spark, event_files, tmp_path):
     out = str(tmp_path)
     dims = (st.stage(spark, SF, "usage_stored"), st.stage(spark, SF, "subscription"), st.settings(spark))

@@ -169,3 +169,13 @@ def test_bulk_lines_commands_and_mail_lines(spark):
     assert out[2][1] == out[3][1] == src.REJECT_SERVICE and out[4][1] is None and out[5][1] == src.REJECT_TEXT
     mail = spark.createDataFrame([(1, "Hola\r\n Bancolombia le informa 5 \r\nx", None, None)], "message_id long, body string, text string, subject string")
     assert [r.text for r in src.email_messages(mail).collect()] == ["Bancolombia le informa 5"]
+
+
+def test_wide_trim_looks_at_the_ends_alone(evaluate):
+    from tallywell.fixed_values import WIDE_SPACE
+    from tallywell.functions.text import WIDE_SPACES, wide_trim
+
+    texts = [*(f"{c}a{c}b{c}{c}" for c in WIDE_SPACES), WIDE_SPACES, "", "a", None]
+    by_pattern = evaluate(lambda t: F.regexp_replace(t, f"^{WIDE_SPACE}+|{WIDE_SPACE}+$", ""), texts)
+    assert evaluate(wide_trim, texts) == by_pattern
+    assert evaluate(wide_trim, ["x \x85"]) == ["x \x85"]  # no white space of the pattern, so nothing before it is at the end

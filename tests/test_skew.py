@@ -148,3 +148,14 @@ def test_once_is_a_barrier(spark):
     assert out.columns == ["x", "y"] and sorted(map(tuple, out.collect()), key=str) == [("a", "A"), ("z", None)]
     plan = out.filter(F.col("y").isNotNull())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate")
+
+
+def test_running_balance_carries_no_texts(spark, monkeypatch):
+    """The rows are dealt out by range and written, so each column that nobody reads is moved for nothing."""
+    from tallywell import catalog
+
+    seen, run = [], catalog.posting.running_balance
+    monkeypatch.setattr(catalog.posting, "running_balance", lambda ledger, *rest: seen.extend(ledger.columns) or run(ledger, *rest))
+    done = catalog.QUERIES["running_balance"](spark, "/root/testdata/sf0.001")
+    assert done.columns == ["id", "effect_account_id", "delta", "balance_after"]
+    assert not {"raw_text", "description", "notes", "category_id"} & set(seen)

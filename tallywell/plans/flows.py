@@ -3,29 +3,90 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell.fixed_values import PARSE_LIMIT_REACHED
 from tallywell.operators import dedup, parse, posting, resolve, rules, transfers, usage
+from tallywell.plans.skew import is_small
 from tallywell.session import materialise
 
 
 @dataclass
 class Ingested:
-    """What one ingest run produced."""
+    """What one ingest run produced. Each result is made when it is first asked for, so a reader of one pays for no other."""
+
+    shaped: DataFrame
+    resolved: DataFrame
+    categories: DataFrame
+    book: rules.RuleBook
+    history: DataFrame | None
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        return split(self.resolved, self.categories, self.book)
+
+    @cached_property
+    def posted(self) -> DataFrame:
+        """Ledger rows, written once: duplicate lookups and the flagged result read them."""
+        return materialise(ruled(self.legs, self.book), "posted")
+
+    @cached_property
+    def broken(self) -> DataFrame:
+        """The messages that rules leave without an account; a pair whose rule names no destination is refused as a whole.
+
+        A rule takes no account away, so only legs without one can end without one.
+        """
+        posted = self.__dict__.get("posted")
+        rows = ruled(self.legs.filter(F.col("account_id").isNull()), self.book) if posted is None else posted
+        broken = materialise(rows.filter(F.col("account_id").isNull()).select("message_id").distinct(), "broken")
+        return F.broadcast(broken) if is_small(broken) else broken
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        sound = self.posted.join(self.broken, "message_id", "left_anti")
+        columns = ["id", "message_id", "user_id", "source", "raw_text", "date", "amount", "account_id",
+                   "created_at", "deleted_at"]
+        stored = sound.select(*columns)
+        if self.history is not None:
+            stored = stored.unionByName(self.history.select(*columns))
+        checked = dedup.flag_duplicates(
+            sound.filter(F.col("channel") == "api"), stored, "parsed_account_id"
+        )
+        unchecked = sound.filter(F.col("channel") != "api")
+        return unchecked.unionByName(checked, allowMissingColumns=True)
 
-    ledger: DataFrame
-    skipped: DataFrame
-    rejects: DataFrame
-    refused_rules: DataFrame
+    @cached_property
+    def skipped(self) -> DataFrame:
+        return parse.skipped(self.resolved, "parsed_bank")
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        refused = self.resolved.filter(F.col("reject").isNotNull()).select(
+            "message_id", "channel", "user_id", F.col("reject").alias("reason")
+        )
+        unpaired = (
+            self.legs.join(self.broken, "message_id", "left_semi")
+            .filter(F.col("leg") == 0)
+            .select("message_id", "channel", "user_id", F.lit("No destination account").alias("reason"))
+        )
+        unread = self.shaped.filter(F.col("problem").isNotNull()).select(
+            "message_id", "channel", "user_id", F.col("problem").alias("reason")
+        )
+        return refused.unionByName(unpaired).unionByName(unread)
+
+    @cached_property
+    def refused_rules(self) -> DataFrame:
+        return rules.refused_rules(self.book)
 
 
 def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFrame, rule_table: DataFrame | rules.RuleBook) -> DataFrame:
     """Shaped messages to parsed, dated rows with account and category; ``reject`` says why not.
 
-    Skipped messages ride along with ``is_transaction`` false and no reject reason.
+    Skipped messages ride along with ``is_transaction`` false and no reject reason. The parsed
+    rows are written down: they are the costly part, and every reader of the result starts from them.
     """
     detected = rules.detect_accounts(shaped.filter(F.col("problem").isNull()), rule_table)
     dated = parse.with_event_time(parse.parse_messages(detected))
@@ -37,7 +98,8 @@ def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFra
             "source": F.coalesce("source", "parsed_source"),
         }
     )
-    accounted = resolve.with_fallback(resolve.resolve_accounts(dated, accounts), accounts)
+    dated = materialise(dated, "parsed")
+    accounted = resolve.with_fallback(resolve.resolve_accounts(dated, accounts, written=True), accounts)
     known = resolve.resolve_categories(accounted, categories)
     reason = parse.reject_reason(
         F.col("amount"), F.col("description"), F.col("category"), F.col("is_transaction")
@@ -49,8 +111,8 @@ def resolve_messages(shaped: DataFrame, accounts: DataFrame, categories: DataFra
     return known.withColumn("reject", F.coalesce(reason, late)).drop("cascade_account_id")
 
 
-def post(resolved: DataFrame, categories: DataFrame, rule_table: DataFrame | rules.RuleBook) -> DataFrame:
-    """Resolved transactions to ledger rows: transfers split, rules applied."""
+def split(resolved: DataFrame, categories: DataFrame, rule_table: DataFrame | rules.RuleBook) -> DataFrame:
+    """Resolved transactions to ledger rows as they are before rules: transfers split."""
     none = F.lit(None).cast("string")
     rows = resolved.filter(F.col("is_transaction") & F.col("reject").isNull()).withColumns(
         {
@@ -63,7 +125,10 @@ def post(resolved: DataFrame, categories: DataFrame, rule_table: DataFrame | rul
             "parsed_data": parse.stored_record("parsed_bank"),
         }
     )
-    legs = transfers.split_transfers(rows, rule_table, categories)
+    return transfers.split_transfers(rows, rule_table, categories)
+
+
+def ruled(legs: DataFrame, rule_table: DataFrame | rules.RuleBook) -> DataFrame:
     return rules.apply_rules(legs, rule_table).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
 
 
@@ -79,49 +144,47 @@ def ingest(
     the run's own earlier rows.
     """
     book = rules.rule_book(rule_table, keep=True)
-    resolved = materialise(
-        resolve_messages(shaped, accounts, categories, book), "resolved"
-    )
-    posted = materialise(post(resolved, categories, book), "posted")
-    broken = posted.filter(F.col("account_id").isNull()).select("message_id").distinct()
-    # a pair whose rule names no destination is refused as a whole
-    sound = posted.join(broken, "message_id", "left_anti")
-    columns = ["id", "message_id", "user_id", "source", "raw_text", "date", "amount", "account_id",
-               "created_at", "deleted_at"]
-    stored = sound.select(*columns)
-    if history is not None:
-        stored = stored.unionByName(history.select(*columns))
-    checked = dedup.flag_duplicates(
-        sound.filter(F.col("channel") == "api"), stored, "parsed_account_id"
-    )
-    unchecked = sound.filter(F.col("channel") != "api")
-    ledger = unchecked.unionByName(checked, allowMissingColumns=True)
-    refused = resolved.filter(F.col("reject").isNotNull()).select(
-        "message_id", "channel", "user_id", F.col("reject").alias("reason")
-    )
-    unpaired = (
-        posted.join(broken, "message_id", "left_semi")
-        .filter(F.col("leg") == 0)
-        .select("message_id", "channel", "user_id", F.lit("No destination account").alias("reason"))
-    )
-    unread = shaped.filter(F.col("problem").isNotNull()).select(
-        "message_id", "channel", "user_id", F.col("problem").alias("reason")
-    )
-    return Ingested(
-        ledger=ledger,
-        skipped=parse.skipped(resolved, "parsed_bank"),
-        rejects=refused.unionByName(unpaired).unionByName(unread),
-        refused_rules=rules.refused_rules(book),
-    )
+    resolved = resolve_messages(shaped, accounts, categories, book)
+    return Ingested(shaped, resolved, categories, book, history)
 
 
 @dataclass
 class Previewed:
-    """What one run of parse-only requests produced."""
+    """What one run of parse-only requests produced. Each result is made when it is first asked for: who was denied needs no parse."""
+
+    decided: DataFrame
+    accounts: DataFrame
+    categories: DataFrame
+    rule_table: DataFrame
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        detected = rules.detect_accounts(self.decided.filter("allowed"), self.rule_table)
+        return parse.with_preview_time(parse.parse_messages(detected.withColumn("channel", F.lit("parse"))))
+
+    @cached_property
+    def previews(self) -> DataFrame:
+        wanted = parse.transactions_only(self.parsed)
+        placed = resolve.with_fallback(resolve.resolve_accounts(wanted, self.accounts), self.accounts)
+        known = resolve.resolve_categories(placed, self.categories)
+        fields = ["amount", "description", "category", "bank", "payment_type", "confidence",
+                  "original_date", "original_time", "last_four", "account_type", "is_transaction"]
+        return known.select(
+            "message_id",
+            "user_id",
+            F.struct(*fields, F.col("parsed_source").alias("source")).alias("parsed"),
+            F.struct("account_id", "category_id").alias("resolved"),
+        )
+
+    @cached_property
+    def skipped(self) -> DataFrame:
+        return parse.skipped(self.parsed)
 
-    previews: DataFrame
-    skipped: DataFrame
-    denied: DataFrame
+    @cached_property
+    def denied(self) -> DataFrame:
+        return self.decided.filter("NOT allowed").select(
+            "message_id", "user_id", "used", "limit", F.lit(PARSE_LIMIT_REACHED).alias("reason")
+        )
 
 
 def preview(
@@ -137,25 +200,7 @@ def preview(
     decided = materialise(
         usage.quota_admission(asked, stored_usage, subscriptions, settings), "decided"
     )
-    detected = rules.detect_accounts(decided.filter("allowed"), rule_table)
-    parsed = parse.with_preview_time(parse.parse_messages(detected.withColumn("channel", F.lit("parse"))))
-    wanted = parse.transactions_only(parsed)
-    placed = resolve.with_fallback(resolve.resolve_accounts(wanted, accounts), accounts)
-    known = resolve.resolve_categories(placed, categories)
-    fields = ["amount", "description", "category", "bank", "payment_type", "confidence",
-              "original_date", "original_time", "last_four", "account_type", "is_transaction"]
-    return Previewed(
-        previews=known.select(
-            "message_id",
-            "user_id",
-            F.struct(*fields, F.col("parsed_source").alias("source")).alias("parsed"),
-            F.struct("account_id", "category_id").alias("resolved"),
-        ),
-        skipped=parse.skipped(parsed),
-        denied=decided.filter("NOT allowed").select(
-            "message_id", "user_id", "used", "limit", F.lit(PARSE_LIMIT_REACHED).alias("reason")
-        ),
-    )
+    return Previewed(decided, accounts, categories, rule_table)
 
 
 def month_closing(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
